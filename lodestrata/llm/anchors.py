@@ -1,9 +1,10 @@
 """Content-chosen anchors and exact window matching around them.
 
 A window of W tokens (bytes or words) occurs twice only if the q-gram that has the least hash in it does.  Those q-grams, the
-anchors, are about 2 / (W - q + 2) of all positions; only they are shuffled, and only those that occur twice go on.  What
-decides is never a hash of an anchor but the tokens around it: `covered` sorts the contexts of one initial q-gram bucket by
-bucket-pointer refinement and finds, for each member, which windows around its anchor also start earlier.
+anchors, are about 2 / (W - q + 2) of all positions; only they are shuffled, and only those that occur twice go on.  Equal
+contexts (all tokens of windows that may own the anchor) are told by two 64-bit hashes together; where the contexts of
+a bucket differ, `covered` sorts their tokens by bucket-pointer refinement and finds, for each, which windows around the anchor also
+start earlier.
 """
 
 from __future__ import annotations
@@ -77,23 +78,37 @@ def window_starts(ends: np.ndarray, starts: np.ndarray, n: int, width: int) -> n
     return np.cumsum(step[:n]) == 0
 
 
-def byte_anchors(data: np.ndarray, offsets: np.ndarray, window: int, q: int) -> tuple[np.ndarray, np.ndarray]:
-    """Anchors of all texts that lie end to end in data: positions and hashes. Works piece by piece, within the cache."""
+def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """Hashes of [start, end) of what `prefix` runs over, each with a salt."""
+    return mix((prefix[end] - prefix[start]) * _powers(_RINV, len(prefix))[start] + mix(salt.astype(np.uint64) + np.uint64(1)))
+
+
+def byte_anchors(data: np.ndarray, offsets: np.ndarray, window: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of all texts that lie end to end in data: positions, hashes, and hashes of the contexts. Works piece by piece, within the cache."""
     valid = window_starts(offsets[1:], offsets[:-1], len(data), window)
-    width, at, out = window - q + 1, [], []
+    width, left, at, out, around = window - q + 1, window - q, [], [], []
     for s in range(0, len(data), _CHUNK):
         ok = valid[s : s + _CHUNK]
         ok = ok[: max(0, min(len(ok), len(data) - s - window + 1))]
         if not ok.any():
             continue
-        h = gram_hashes(data[s : s + len(ok) + window - 1], q) | np.uint64(1)
+        base = max(0, s - left)
+        prefix = _prefix(data[base : s + len(ok) + 2 * window])
+        h = mix((prefix[s - base + q :] - prefix[s - base : -q]) * _powers(_RINV, len(prefix) - q)[s - base :]) | np.uint64(1)
         p = pick_anchors(h, ok, width)
         at.append(p + s)
         out.append(h[p])
+        around.append(_context_hashes(prefix, base, p + s, offsets, left, window))
     if not at:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     at, first = np.unique(np.concatenate(at), return_index=True)
-    return at, np.concatenate(out)[first]
+    return at, np.concatenate(out)[first], np.concatenate(around)[first]
+
+
+def _context_hashes(prefix: np.ndarray, base: int, at: np.ndarray, offsets: np.ndarray, left: int, right: int) -> np.ndarray:
+    doc = np.searchsorted(offsets, at, "right") - 1
+    start, end = np.maximum(at - left, offsets[doc]), np.minimum(at + right, offsets[doc + 1])
+    return span_hashes(prefix, start - base, end - base, (at - start) * 1024 + end - at)
 
 
 _SPACE = np.zeros(256, bool)
@@ -119,25 +134,19 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths)]))
 
 
-def word_anchors(words: np.ndarray, offsets: np.ndarray, window: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+def word_anchors(words: np.ndarray, offsets: np.ndarray, window: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(words) - q + 1
     if len(words) < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     h = np.zeros(n, np.uint64)
     for j in range(q):
         h = h * np.uint64(_R) + words[j : j + n]
     h = mix(h) | np.uint64(1)
     valid = window_starts(offsets[1:], offsets[:-1], len(words), window)[: len(words) - window + 1]
     p = pick_anchors(h, valid, window - q + 1)
-    return p, h[p]
-
-
-def contexts(tokens: np.ndarray, start: int, end: int, at: np.ndarray, left: int, right: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens from `left` before to `right` after each anchor as rows, zero beyond the document [start, end); how many are real on either side."""
-    index = at[:, None] + np.arange(-left, right)
-    inside = (index >= start) & (index < end)
-    rows = np.where(inside, tokens[np.clip(index, 0, len(tokens) - 1)], tokens.dtype.type(0))
-    return rows, np.minimum(at - start, left), np.minimum(end - at, right)
+    prefix = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * _powers(_R, len(words)), out=prefix[1:])
+    return p, h[p], _context_hashes(prefix, 0, p, offsets, window - q, window)
 
 
 def refine(buckets: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:

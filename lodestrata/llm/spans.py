@@ -2,13 +2,13 @@
 
 Plan, two passes over the texts and no text leaves its own document key:
 
-1. anchors of all documents -> one exchange by anchor hash, a window function keeps those that occur at least twice;
-2. they meet their documents again (exchange of texts by document, read twice by exchange reuse), which send the tokens around
-   each kept anchor -> one exchange by anchor hash, sorted; every bucket is refined and yields covered ranges;
+1. anchors of all documents, with a hash of their context -> one exchange by anchor hash, and window functions: what repeats an
+   earlier context whole is covered; the first of each context goes on if its bucket has other contexts; the rest is unique;
+2. those meet their documents again (exchange of texts by document, read twice by exchange reuse), which send the tokens around
+   each first -> one exchange by anchor hash, sorted; every bucket is refined and yields covered ranges;
 3. ranges meet their documents, which drop the tokens.
 
-A bucket is read in rank order as a stream.  Of a bucket too long for one step only the first row of each distinct context is
-carried on, so copies cost no memory however many there are.
+So copies, however many, cost an anchor row each and no context.  A bucket is read in rank order as a stream, whatever its length.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ class Unit:
         offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
         return np.frombuffer(b"".join(texts), np.uint8), offsets
 
-    def anchors(self, tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def anchors(self, tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return (A.word_anchors if self.words else A.byte_anchors)(tokens, offsets, self.window, self.gram)
 
 
@@ -59,11 +59,11 @@ def _anchors_of(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         for batch in batches:
             texts = as_bytes(batch.column("text_"))
             tokens, offsets = unit.tokens(texts)
-            at, h = unit.anchors(tokens, offsets)
+            at, h, context = unit.anchors(tokens, offsets)
             doc = np.searchsorted(offsets, at, "right") - 1
             k, crc = (batch.column(c).to_numpy()[doc] for c in ("k", "crc"))
             loc = (at - offsets[doc]) << 32 | crc
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k), pa.array(loc)], ["h", "k", "loc"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(context.view(np.int64)), pa.array(k), pa.array(loc)], ["h", "context", "k", "loc"])
 
     return run
 
@@ -80,6 +80,8 @@ def _contexts_of(unit: Unit):
             tokens, offsets = unit.tokens(as_bytes(part.column("text_")))
             flat = part.column("found").flatten()
             doc = np.repeat(np.arange(len(some)), counts[some])
+            first = flat.field("h").is_valid()
+            flat, doc = flat.filter(first), doc[first.to_numpy(zero_copy_only=False)]
             h, pos = flat.field("h").to_numpy(), flat.field("pos").to_numpy().astype(np.int64)
             k, crc = part.column("k").to_numpy()[doc], part.column("crc").to_numpy()[doc]
             at, start, end = pos + offsets[doc], offsets[doc], offsets[doc + 1]
@@ -139,29 +141,32 @@ def _parts(group: np.ndarray, rows: int):
         begin = end
 
 
-def merged(found: pa.Array) -> list[tuple[int, int]]:
+def merged(unit: Unit, n: int, found: list | None, ranges: list | None) -> list[tuple[int, int]]:
+    """The covered ranges of a document of n tokens, united: whole contexts of `found`, and `ranges`."""
+    whole = [(max(0, x["pos"] - unit.left), min(n, x["pos"] + unit.window)) for x in found or () if x["h"] is None]
     out: list[list[int]] = []
-    for x in sorted((x["start"], x["end"]) for x in found):
-        if out and x[0] <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], x[1])
+    for a, b in sorted([*whole, *((x["start"], x["end"]) for x in ranges or ())]):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
         else:
-            out.append(list(x))
+            out.append([a, b])
     return [tuple(x) for x in out]
 
 
 def covered_documents(docs: DataFrame, unit: Unit, text: str, doc_id: str, keep: list[str]) -> DataFrame:
-    """Rows of docs as (k, crc, text_, c0_..., found): found lists covered token ranges, null for none."""
-    spark = docs.sparkSession
-    n = partitions(spark)
+    """Rows of docs as (k, crc, text_, c0_..., found, ranges): what merged() takes, null for none."""
+    n = partitions(docs.sparkSession)
     rows = keyed(docs, text, doc_id, keep)
-    at = rows.select("k", "crc", "text_").mapInArrow(_anchors_of(unit), "h long, k long, loc long")
-    same = Window.partitionBy("h")
-    several = F.min("k").over(same) != F.max("k").over(same) if unit.other_document else F.count(F.lit(1)).over(same) > 1
-    again = at.withColumn("again", several).filter("again").drop("again")
-    lists = again.groupBy("k", F.col("loc").bitwiseAND(0xFFFFFFFF).alias("crc")).agg(F.collect_list(F.struct("h", F.shiftright("loc", 32).cast("int").alias("pos"))).alias("found"))
+    at = rows.select("k", "crc", "text_").mapInArrow(_anchors_of(unit), "h long, context long, k long, loc long")
+    bucket, same, pos = Window.partitionBy("h"), Window.partitionBy("h", "context"), F.shiftright("loc", 32)
+    repeats = F.col("k") > F.first("k").over(same.orderBy("k", pos)) if unit.other_document else F.rank().over(same.orderBy("k", pos)) > 1
+    mixed = F.min("context").over(bucket) != F.max("context").over(bucket)
+    at = at.withColumn("repeats", repeats).withColumn("mixed", mixed).filter("repeats OR mixed")
+    element = F.struct(F.when(~F.col("repeats"), F.col("h")).alias("h"), pos.cast("int").alias("pos"))
+    lists = at.groupBy("k", F.col("loc").bitwiseAND(0xFFFFFFFF).alias("crc")).agg(F.collect_list(element).alias("found"))
     spread = rows.repartition(n, "k", "crc")
-    around = spread.join(lists.hint("shuffle_hash"), ["k", "crc"], "inner").select("k", "crc", "text_", "found").mapInArrow(_contexts_of(unit), "h long, k long, loc long, context binary")
+    both = spread.join(lists.hint("shuffle_hash"), ["k", "crc"], "left")
+    around = both.select("k", "crc", "text_", "found").mapInArrow(_contexts_of(unit), "h long, k long, loc long, context binary")
     ranges = around.repartition(n, "h").sortWithinPartitions("h", "k", "loc").mapInArrow(_covers_of(unit), "k long, crc long, start long, end long")
-    ranges = ranges.groupBy("k", "crc").agg(F.collect_list(F.struct("start", "end")).alias("found"))
-    return spread.join(ranges.hint("shuffle_hash"), ["k", "crc"], "left")
-
+    ranges = ranges.groupBy("k", "crc").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    return both.join(ranges.hint("shuffle_hash"), ["k", "crc"], "left")

@@ -28,9 +28,9 @@ def substring_dedup(docs: DataFrame, window: int = 13, text: str = "text", doc_i
     def cut(batches):
         for batch in batches:
             out = []
-            for text, null, found in zip(as_bytes(batch.column("text_")), batch.column("text_").is_null().to_pylist(), batch.column("found").to_pylist()):
+            for text, null, found, ranges in zip(as_bytes(batch.column("text_")), batch.column("text_").is_null().to_pylist(), batch.column("found").to_pylist(), batch.column("ranges").to_pylist()):
                 words = text.split()
-                spans = merged(found) if found else []
+                spans = merged(unit, len(words), found, ranges)
                 kept, last = [], 0
                 for a, b in spans:
                     kept += words[last:a]

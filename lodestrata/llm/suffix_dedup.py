@@ -26,8 +26,8 @@ def suffix_dedup(docs: DataFrame, length: int = 100, text: str = "text", doc_id:
         for batch in batches:
             texts = as_bytes(batch.column("text_"))
             out = []
-            for text, found in zip(texts, batch.column("found").to_pylist()):
-                spans = merged(found) if found else []
+            for text, found, ranges in zip(texts, batch.column("found").to_pylist(), batch.column("ranges").to_pylist()):
+                spans = merged(unit, len(text), found, ranges)
                 kept, last = [], 0
                 for a, b in spans:
                     kept.append(text[last:a])
