@@ -166,7 +166,8 @@ def covered_documents(docs: DataFrame, unit: Unit, text: str, doc_id: str, keep:
     lists = at.groupBy("k", F.col("loc").bitwiseAND(0xFFFFFFFF).alias("crc")).agg(F.collect_list(element).alias("found"))
     spread = rows.repartition(n, "k", "crc")
     both = spread.join(lists.hint("shuffle_hash"), ["k", "crc"], "left")
-    around = both.select("k", "crc", "text_", "found").mapInArrow(_contexts_of(unit), "h long, k long, loc long, context binary")
+    # Both uses take the same columns, else their exchanges of texts would differ and be written twice.
+    around = both.mapInArrow(_contexts_of(unit), "h long, k long, loc long, context binary")
     ranges = around.repartition(n, "h").sortWithinPartitions("h", "k", "loc").mapInArrow(_covers_of(unit), "k long, crc long, start long, end long")
     ranges = ranges.groupBy("k", "crc").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     return both.join(ranges.hint("shuffle_hash"), ["k", "crc"], "left")
