@@ -50,6 +50,13 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary() if not pa.types.is_large_string(column.type) else pa.large_binary()).to_pylist()]
 
 
+def small(batches, rows: int = 1000):
+    """The batches cut to so many rows, so that what is derived from their texts stays small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def binary_rows(matrix: np.ndarray) -> pa.Array:
     """Rows of a uint8 matrix as a binary column."""
     n, width = matrix.shape
@@ -66,10 +73,6 @@ def binary_matrix(column: pa.Array, width: int) -> np.ndarray:
     return data.reshape(len(column), width)
 
 
-def batches_of(table: pa.Table, rows: int = 20_000):
-    yield from table.combine_chunks().to_batches(max_chunksize=rows)
-
-
 def whole_groups(batches, key: str, least: int = 50_000):
     """Sorted batches dealt anew as (table, group goes on): a table ends with its last group complete unless that group alone has over `least` rows.
 

@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from . import decontamination, topk, warc
 from .common import read
 from .decontamination import decontaminate
+from .pieces import tokenize
+from .quality import quality
 from .sharding import shard_by_bytes
 from .simhash import near_duplicates
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .topk import top_k
+from .toxicity import toxicity
 from .warc import archive_and_read
 
 
@@ -29,6 +32,10 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), shingle=3, radius=2)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5, scale=256)
@@ -38,6 +45,14 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read(spark, sf_dir, "documents"), window=13).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize(read(spark, sf_dir, "documents"), dropout=0.1, seed=0)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(read(spark, sf_dir, "documents"), shards=16)
 
@@ -56,6 +71,6 @@ k AS (SELECT d.doc_id, w, list_transform(list_filter(range(1, len(w) + 1), lambd
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - len(kept))::BIGINT AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_decontamination, op3_simhash_dedup, op5_topk_search, op6_substring_dedup, op9_sharding, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_decontamination, op3_simhash_dedup, op4_quality_classifier, op5_topk_search, op6_substring_dedup, op7_toxicity, op8_sentencepiece, op9_sharding, op10_warc)}
 
 ORACLE_SQL: dict[str, str] = {"op2_decontamination": decontamination.SQL, "op5_topk_search": topk.SQL, "op6_substring_dedup": SUBSTRING_SQL, "op10_warc": warc.SQL}

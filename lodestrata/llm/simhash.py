@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import mix
-from .common import NULL_ID, as_bytes, binary_matrix, binary_rows, checkpoint, doc_key, partitions, whole_groups
+from .common import NULL_ID, as_bytes, binary_matrix, binary_rows, checkpoint, doc_key, partitions, small, whole_groups
 
 #: Members of a tree node up to which it is a leaf, compared in one go.
 LEAF = 32
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, shingle: int, lanes: int = 1, sketch: int = 0,
     """(id, k, fp, keys): the fingerprint of each row and its `sketch` least shingle hashes."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             fps, keys = [], []
             for x in as_bytes(batch.column("text_")):
                 h = shingle_hashes(x, shingle)

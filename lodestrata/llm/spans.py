@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import anchors as A
-from .common import as_bytes, binary_matrix, binary_rows, doc_key, partitions, whole_groups
+from .common import as_bytes, binary_matrix, binary_rows, doc_key, partitions, small, whole_groups
 
 
 @dataclass(frozen=True)
@@ -56,7 +56,7 @@ def keyed(docs: DataFrame, text: str, doc_id: str, keep: list[str]) -> DataFrame
 
 def _anchors_of(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts = as_bytes(batch.column("text_"))
             tokens, offsets = unit.tokens(texts)
             at, h, context = unit.anchors(tokens, offsets)
@@ -70,7 +70,7 @@ def _anchors_of(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
 def _contexts_of(unit: Unit):
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             found = batch.column("found").combine_chunks() if isinstance(batch.column("found"), pa.ChunkedArray) else batch.column("found")
             counts = found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             some = np.flatnonzero(counts)

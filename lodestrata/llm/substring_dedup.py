@@ -6,12 +6,13 @@ import hashlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructField, StructType
 
-from .common import as_bytes
+from .common import as_bytes, small
 from .spans import Unit, covered_documents, merged
 
 
-def substring_dedup(docs: DataFrame, window: int = 13, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 13, text: str = "text", doc_id: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """Drop every word inside a run of `window` words that also starts in a document with a smaller id.
 
     Each document is parsed relative to reference blocks of all documents before it: a block is the words around an anchor (spans.py), found
@@ -22,11 +23,11 @@ def substring_dedup(docs: DataFrame, window: int = 13, text: str = "text", doc_i
     nothing from each other.  An empty table gives none; other columns are ignored, whatever their names.
 
     Returns a row for each input row: doc_id, n_words, n_removed, kept_sha256, kept (the words left, joined by one space; the
-    text itself where none went), spans (array of start, end in words).
+    text itself where none went), spans (array of start, end in words), and the columns of `carry` as they are.
     """
 
     def cut(batches):
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for text, null, found, ranges in zip(as_bytes(batch.column("text_")), batch.column("text_").is_null().to_pylist(), batch.column("found").to_pylist(), batch.column("ranges").to_pylist()):
                 words = text.split()
@@ -40,8 +41,8 @@ def substring_dedup(docs: DataFrame, window: int = 13, text: str = "text", doc_i
                 out.append((len(words), len(words) - len(kept), hashlib.sha256(left).hexdigest(), None if null else (left if spans else text).decode(), [{"start": a, "end": b} for a, b in spans]))
             columns = list(zip(*out)) or [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([batch.column("c0_"), *[pa.array(c, t) for c, t in zip(columns, kinds)]], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("c0_"), *[pa.array(c, t) for c, t in zip(columns, kinds)], *[batch.column(f"c{i + 1}_") for i in range(len(carry))]], [*own.names, *carry])
 
     unit = Unit(window, min(5, max(1, window // 2)), words=True, other_document=True)
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return covered_documents(docs, unit, text, doc_id, [doc_id]).mapInArrow(cut, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string, spans array<struct<start: long, end: long>>")
+    own = StructType([StructField("doc_id", docs.schema[doc_id].dataType), *StructType.fromDDL("n_words long, n_removed long, kept_sha256 string, kept string, spans array<struct<start: long, end: long>>")])
+    return covered_documents(docs, unit, text, doc_id, [doc_id, *carry]).mapInArrow(cut, StructType([*own, *[docs.schema[c] for c in carry]]))

@@ -7,7 +7,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import as_bytes
+from .common import as_bytes, small
 from .spans import Unit, covered_documents, merged
 
 
@@ -23,7 +23,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, text: str = "text", doc_id:
     """
 
     def cut(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts = as_bytes(batch.column("text_"))
             out = []
             for text, found, ranges in zip(texts, batch.column("found").to_pylist(), batch.column("ranges").to_pylist()):
