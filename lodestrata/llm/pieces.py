@@ -20,17 +20,20 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Segmented chunks that a worker remembers, at most twice this many.
 MEMORY = 150_000
-_MASK = 2**64 - 1
+#: Texts that are cut together.
+TOGETHER = 250
+_MASK, NEVER = 2**64 - 1, 2**40
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Ids and merge ranks of the pieces, and each id's bytes as decoded."""
+    """Ids and merge ranks of the pieces, each id's bytes as decoded, and all pairs of ids that merge: key left * size + right, rank, id."""
 
     ids: dict[str, int]
     ranks: dict[str, int]
     bytes_: list[int]
     decoded: list[bytes]
+    pairs: tuple[np.ndarray, np.ndarray, np.ndarray]
 
     @staticmethod
     def load(path: str = MODEL) -> Vocabulary:
@@ -51,7 +54,41 @@ class Vocabulary:
                 decoded.append(piece.replace(SPACE, " ").encode())
                 if len(piece) > 1:
                     ranks[piece] = int(-model.get_score(i))
-        return Vocabulary(ids, ranks, raw, decoded)
+        found = [(ids[p[:i]] * len(decoded) + ids[p[i:]], r, ids[p]) for p, r in ranks.items() for i in range(1, len(p)) if p[:i] in ids and p[i:] in ids]
+        keys, order, new = (np.array(x, np.int64) for x in zip(*sorted(found)))
+        return Vocabulary(ids, ranks, raw, decoded, (keys, order, new))
+
+
+class _Pairs:
+    """An open-addressing table over Vocabulary.pairs that looks up arrays of keys."""
+
+    BITS = 20
+
+    def __init__(self, pairs: tuple[np.ndarray, np.ndarray, np.ndarray]):
+        keys, self.rank, self.new = pairs
+        self.slots, self.at = np.full(1 << self.BITS, -1, np.int64), np.zeros(1 << self.BITS, np.int32)
+        left, place = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = self.slots[place[left]] < 0
+            chosen, first = np.unique(place[left[free]], return_index=True)
+            rows = left[free][first]
+            self.slots[chosen], self.at[chosen] = keys[rows], rows
+            left = np.setdiff1d(left, rows)
+            place[left] = (place[left] + 1) & ((1 << self.BITS) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Index of each key among the pairs, -1 for none."""
+        out, todo, place = np.full(len(keys), -1, np.int64), np.arange(len(keys)), self._slot(keys)
+        while len(todo):
+            there = self.slots[place[todo]]
+            hit = there == keys[todo]
+            out[todo[hit]] = self.at[place[todo[hit]]]
+            todo = todo[~hit & (there >= 0)]
+            place[todo] = (place[todo] + 1) & ((1 << self.BITS) - 1)
+        return out
 
 
 class Encoder:
@@ -66,8 +103,15 @@ class Encoder:
         self.v, self.limit, self.seed = vocabulary, int(dropout * 2**24), seed
         lines = any("\n" in p for p in vocabulary.ranks)
         self.chunks = re.compile(r" *[^ ]+| +" if lines else r" *[^ \n]+|\n| +")
-        self.fresh: dict[tuple[int, str], bytes] = {}
-        self.aged: dict[tuple[int, str], bytes] = {}
+        #: By variant: chunks met lately, and those met before them.
+        self.fresh: dict[int, dict[str, bytes]] = {}
+        self.aged: dict[int, dict[str, bytes]] = {}
+        self.pairs = _Pairs(vocabulary.pairs)
+        self.letters = np.full(0x110000, -2, np.int32)
+        for piece, i in vocabulary.ids.items():
+            if len(piece) == 1 and piece != SPACE:
+                self.letters[ord(piece)] = i
+        self.letters[ord(" ")] = vocabulary.ids.get(SPACE, -2)
 
     def segment(self, chunk: str, variant: int) -> list[int]:
         """Ids of one chunk, its spaces as such."""
@@ -110,24 +154,86 @@ class Encoder:
             out += [raw[b] for b in p.encode()]
         return out
 
-    def encode(self, text: str, variant: int = 0) -> np.ndarray:
-        """Ids of a text; none for an empty one."""
-        if not text:
-            return np.zeros(0, np.int32)
-        out, fresh, aged = [], self.fresh, self.aged
-        for chunk in self.chunks.findall(" " + text):
-            got = fresh.get((variant, chunk))
-            if got is None:
-                got = aged.get((variant, chunk))
+    def _ranked(self, left: np.ndarray, right: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and merged id of neighbouring ids; no rank where they don't merge or the keyed hash skips them."""
+        at = self.pairs.find(np.where((left >= 0) & (right >= 0), left.astype(np.int64) * len(self.v.decoded) + right, np.int64(2**62)))
+        rank, new = np.where(at >= 0, self.pairs.rank[at], NEVER), self.pairs.new[at]
+        if self.limit:
+            with np.errstate(over="ignore"):
+                h = ((key ^ (rank.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)
+            rank = np.where(h < self.limit, NEVER, rank)
+        return rank, new
+
+    def segment_all(self, chunks: list[str], variant: int) -> list[bytes]:
+        """segment() of many chunks at once: their agendas advance together, a merge each in every step."""
+        out: list[bytes] = [b""] * len(chunks)
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
+        ids, starts = self.letters[codes], np.concatenate([[0], np.cumsum(sizes)])
+        strange = np.add.reduceat(np.append(ids < 0, False), starts[:-1]) if len(chunks) else np.zeros(0)
+        for width in (4, 8, 12, 16, 24):
+            own = np.flatnonzero((sizes <= width) & (sizes > {4: 0, 8: 4, 12: 8, 16: 12, 24: 16}[width]) & (strange == 0))
+            for s in range(0, len(own), 8192):
+                rows = own[s : s + 8192]
+                for i, x in zip(rows.tolist(), self._merged(ids, starts[rows], sizes[rows], width, [chunks[i] for i in rows], variant)):
+                    out[i] = x
+        for i in np.flatnonzero((sizes > 24) | (strange > 0)).tolist():
+            out[i] = np.array(self.segment(chunks[i], variant), np.int32).tobytes()
+        return out
+
+    def _merged(self, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int, chunks: list[str], variant: int) -> list[bytes]:
+        m, column = len(starts), np.arange(width)
+        inside = column < sizes[:, None]
+        sym = np.where(inside, ids[np.minimum(starts[:, None] + column, len(ids) - 1)], -1).astype(np.int64)
+        seed = (self.seed * 0x9E3779B1 + variant) & _MASK
+        key = np.fromiter((xxhash.xxh64_intdigest(c, seed) for c in chunks), np.uint64, m) if self.limit else np.zeros(m, np.uint64)
+        after, before = np.tile(column + 1, (m, 1)), np.tile(column - 1, (m, 1))
+        rank, new = np.full((m, width), NEVER), np.zeros((m, width), np.int64)
+        r, c = np.nonzero(column < sizes[:, None] - 1)
+        rank[r, c], new[r, c] = self._ranked(sym[r, c], sym[r, c + 1], key[r], c)
+        rows = np.arange(m)
+        while True:
+            j = rank[rows].argmin(1)
+            some = rank[rows, j] < NEVER
+            rows, j = rows[some], j[some]
+            if not len(rows):
+                break
+            k = after[rows, j]
+            sym[rows, j], sym[rows, k] = new[rows, j], -1
+            rank[rows, j] = rank[rows, k] = NEVER
+            n = after[rows, j] = after[rows, k]
+            right = np.flatnonzero(n < sizes[rows])
+            before[rows[right], n[right]] = j[right]
+            h = before[rows, j]
+            left = np.flatnonzero(h >= 0)
+            r = np.concatenate([rows[right], rows[left]])
+            a, b = np.concatenate([j[right], h[left]]), np.concatenate([n[right], j[left]])
+            rank[r, a], new[r, a] = self._ranked(sym[r, a], sym[r, b], key[r], a)
+        alive = sym >= 0
+        flat, ends = sym[alive].astype(np.int32).tobytes(), (np.cumsum(alive.sum(1)) * 4).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+    def encode_all(self, texts: list[str], variants: list[int]) -> list[np.ndarray]:
+        """Ids of each text; none for an empty one."""
+        cut = [self.chunks.findall(" " + t) if t else [] for t in texts]
+        for variant in set(variants):
+            fresh, aged = self.fresh.setdefault(variant, {}), self.aged.setdefault(variant, {})
+            if len(fresh) > MEMORY:
+                aged = self.aged[variant] = fresh
+                fresh = self.fresh[variant] = {}
+            met = {c for chunks, v in zip(cut, variants) if v == variant for c in chunks}
+            missing = []
+            for c in met.difference(fresh):
+                got = aged.get(c)
                 if got is None:
-                    got = np.array(self.segment(chunk, variant), np.int32).tobytes()
-                if len(chunk) <= 64:
-                    if len(fresh) >= MEMORY:
-                        self.aged, self.fresh = fresh, {}
-                        fresh, aged = self.fresh, self.aged
-                    fresh[variant, chunk] = got
-            out.append(got)
-        return np.frombuffer(b"".join(out), np.int32)
+                    missing.append(c)
+                else:
+                    fresh[c] = got
+            fresh.update(zip(missing, self.segment_all(missing, variant)))
+        return [np.frombuffer(b"".join([known[c] for c in chunks]), np.int32) for chunks, known in ((c, self.fresh[v]) for c, v in zip(cut, variants))]
+
+    def encode(self, text: str, variant: int = 0) -> np.ndarray:
+        return self.encode_all([text], [variant])[0]
 
     def decode(self, ids: np.ndarray) -> bytes:
         table = self.v.decoded
@@ -141,8 +247,8 @@ def encode_documents(docs: DataFrame, dropout: float = 0.1, seed: int = 0, varia
 
     def run(batches):
         encoder = Encoder(shared.value, dropout, seed)
-        for batch in small(batches):
-            ids = [encoder.encode(t or "", _variant(i, seed, variants)) for i, t in zip(batch.column(doc_id).to_pylist(), batch.column(text).to_pylist())]
+        for batch in small(batches, TOGETHER):
+            ids = encoder.encode_all([t or "" for t in batch.column(text).to_pylist()], [_variant(i, seed, variants) for i in batch.column(doc_id).to_pylist()])
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, tokens], [*batch.schema.names, "tokens"])
@@ -170,11 +276,10 @@ def tokenize(docs: DataFrame, dropout: float = 0.1, seed: int = 0, variants: int
         encoder = Encoder(shared.value, dropout, seed)
         fallback = np.zeros(len(shared.value.decoded), bool)
         fallback[shared.value.bytes_] = True
-        for batch in small(batches):
-            rows = []
-            for i, t in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text_"))):
-                variant, chars = _variant(i, seed, variants), t.decode()
-                ids = encoder.encode(chars, variant)
+        for batch in small(batches, TOGETHER):
+            rows, texts = [], as_bytes(batch.column("text_"))
+            chosen, chars_of = [_variant(i, seed, variants) for i in batch.column("doc_id").to_pylist()], [t.decode() for t in texts]
+            for variant, chars, t, ids in zip(chosen, chars_of, texts, encoder.encode_all(chars_of, chosen)):
                 back = encoder.decode(ids)
                 rows.append((variant, len(chars), len(ids), int(fallback[ids].sum()), len(np.unique(ids)), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back).hexdigest(), back == t))
             columns = list(zip(*rows)) or [[]] * 8
