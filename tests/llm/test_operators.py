@@ -1,0 +1,272 @@
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lodestrata.llm.decontamination import decontaminate
+from lodestrata.llm.quality import quality
+from lodestrata.llm.sharding import shard_by_bytes
+from lodestrata.llm.simhash import components, near_duplicates, tree_links
+from lodestrata.llm.topk import top_k
+from lodestrata.llm.toxicity import INSULTS, Scorer, learn_stems, toxicity
+from lodestrata.llm.warc import GZIP, Gap, Record, SalvageReader, archive_and_read, gzip_member, record
+
+DOCS = "doc_id long, text string, score double, th long, w string, fp string, size int, quality int, toxicity int"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, 0.5, 1, "w", "f", 2, 3, 4) for i, t in rows], DOCS)
+
+
+def some(seed, n=80):
+    r = random.Random(seed)
+    words = "alpha Beta gamma ñandú δέλτα echo fox_trot golf-hotel 9 the of".split()
+    rows = [(i, " ".join(r.choice(words) for _ in range(r.randint(0, 60)))) for i in range(n)]
+    return rows + [(n, None), (n + 1, ""), (None, rows[0][1]), (3, rows[3][1]), (n + 2, rows[5][1]), (4, "another text of id four")]
+
+
+# 2
+
+
+def brute_contamination(rows, items, size):
+    import re
+
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(lower))
+    wins = {}
+    for i, t in items:
+        w = split(t)
+        for s in range(max(1, len(w) - size + 1) if w else 0):
+            wins.setdefault(tuple(w[s : s + size]), set()).add(str(i))
+    out = []
+    for i, t in rows:
+        w, hit, found = split(t), set(), set()
+        for n in {len(x) for x in wins}:
+            for s in range(len(w) - n + 1):
+                if tuple(w[s : s + n]) in wins:
+                    hit |= set(range(s, s + n))
+                    found |= wins[tuple(w[s : s + n])]
+        out.append((-1 if i is None else i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+    return sorted(out)
+
+
+def test_decontamination(spark):
+    rows = some(1)
+    items = [(1, rows[2][1]), (2, (rows[7][1] or "")[:40]), (3, None), (4, "!!"), (10, "ECHO"), (11, rows[9][1] + " tail"), (5, "never said before in any of these texts at all")]
+    d, b = docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    for size in (10, 4):
+        got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate(d, b, size).collect())
+        assert got == brute_contamination(rows, items, size)
+    assert decontaminate(docs(spark, []), b).count() == 0
+    assert not decontaminate(d, b.limit(0)).filter("contaminated").count()
+
+
+def test_decontamination_in_blocks(spark, monkeypatch):
+    from lodestrata.llm import decontamination as D
+
+    rows = some(2)
+    d, b = docs(spark, rows), spark.createDataFrame([(i, t) for i, t in rows[:9]], "item_id long, text string")
+    want = sorted(map(str, decontaminate(d, b).drop("spans").collect()))
+    monkeypatch.setattr(D, "BLOCK_WINDOWS", 40)
+    assert sorted(map(str, decontaminate(d, b).drop("spans").collect())) == want
+
+
+def test_proximity(spark):
+    d = docs(spark, [(1, "one two x three four"), (2, "one x y two three four"), (3, "two one three four"), (4, "one two three four")])
+    b = spark.createDataFrame([(1, "one two three four")], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate(d, b, 4, near=1).filter("contaminated").collect()) == [1, 4]
+    assert sorted(r.doc_id for r in decontaminate(d, b, 4, near=2).filter("contaminated").collect()) == [1, 2, 4]
+
+
+# 3
+
+
+def test_simhash(spark):
+    rows = some(3) + [(200 + i, "same words but one " + "x" * i + " in a longer text of some more words to keep it near") for i in range(20)]
+
+    def fingerprint(t):
+        w = (t or "").encode().lower().split()
+        h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))] if w else []
+        return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+
+    ids = [(-(2**63) if i is None else i) for i, _ in rows]
+    fps = [fingerprint(t) for _, t in rows]
+    best = list(ids)
+    for radius in (2, 8):
+        best = list(ids)
+        changed = True
+        while changed:
+            changed = False
+            for a in range(len(ids)):
+                for b in range(len(ids)):
+                    if (fps[a] ^ fps[b]).bit_count() <= radius and best[b] < best[a]:
+                        best[a], changed = best[b], True
+        want = sorted((i, f"{f:016x}", c) for i, f, c in zip(ids, fps, best))
+        got = sorted((-(2**63) if r.doc_id is None else r.doc_id, r.fingerprint, -(2**63) if r.component_id is None else r.component_id) for r in near_duplicates(docs(spark, rows), 3, radius).collect())
+        assert got == want
+    assert near_duplicates(docs(spark, [])).count() == 0
+
+
+def test_tree_finds_every_link():
+    r = np.random.default_rng(4)
+    base = r.integers(0, 2**63, 40, dtype=np.uint64)
+    fps = np.array([int(r.choice(base)) ^ (1 << int(r.integers(0, 64))) ^ (1 << int(r.integers(0, 64))) for _ in range(600)], np.uint64)[:, None]
+    near = np.bitwise_count(fps ^ fps.T) <= 3
+    label = np.arange(600)
+    for _ in range(20):
+        label = np.where(near, label[None, :], 600).min(1)
+    assert (tree_links(fps, 3) == label).all()
+
+
+def test_components(spark):
+    edges = [(i + 1, i) for i in range(0, 40)] + [(100, 50), (100, 60), (70, 60)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(got[i] == 0 for i in range(1, 41)) and got[100] == got[60] == got[70] == 50
+
+
+def test_wide_fingerprints_find_edited_copies(spark):
+    r = random.Random(5)
+    base = [f"w{r.randint(0, 5000)}" for _ in range(300)]
+    rows = [(1, " ".join(base)), (2, " ".join("edit" if i in (40, 200) else w for i, w in enumerate(base))), (3, " ".join(f"w{r.randint(0, 5000)}" for _ in range(300)))]
+    got = {x.doc_id: x.component_id for x in near_duplicates(docs(spark, rows), 5, 46, lanes=4, sketch=4).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
+# 4 and 7
+
+
+def test_classifiers_learn_and_hold_out(spark):
+    r = random.Random(6)
+    clean = lambda: " ".join(r.choice("der die das und wenig viel haus baum zeit".split()) for _ in range(40)) + "."
+    rows, labels = [], []
+    for i in range(400):
+        bad, rude = i % 3 == 0, i % 5 == 0
+        text = " ".join(w + "###" for w in clean().split()) if bad else clean()
+        text += f" du blöd{r.choice(['mann', 'kopf', 'er'])} ." if rude else ""
+        rows.append((i, text))
+        labels.append((i, 0 if bad else 1, int(rude)))
+    rows += [(1000, None), (1001, ""), (None, "haus"), (1002, "z" * 50_000)]
+    table = spark.createDataFrame(labels + [(None, 1, 1), (7777, None, None)], "doc_id long, quality int, toxic int")
+    for f, column in ((quality, 1), (toxicity, 2)):
+        got = f(docs(spark, rows), table).collect()
+        assert len(got) == len(rows) and all(0 <= x.score <= 1 for x in got)
+        held = [x for x in got if x.held_out and x.doc_id is not None and x.doc_id < 400]
+        assert all(x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 4 == 2) for x in got if x.doc_id is not None)
+        assert sum(x.predicted == labels[x.doc_id][column] for x in held) >= 0.97 * len(held)
+        assert f(docs(spark, []), table).count() == 0 and f(docs(spark, rows[:3]), table.limit(0)).count() == 3
+
+
+def test_grammar():
+    s = Scorer(set())
+    kinds = lambda t: s.clauses(t)[0].astype(int).tolist()
+    assert kinds("What an idiot.") == [1, 0, 0, 0, 0, 0]
+    assert kinds("You are an idiot.") == [0, 1, 0, 0, 0, 0]
+    assert kinds("You are not an idiot.") == [0, 0, 0, 1, 0, 0]
+    assert kinds("He said: moron. Scum!") == [1 + 1, 0, 0, 0, 0, 0]
+    assert kinds("They wrote that moron there") == [0, 0, 0, 0, 1, 0]
+    assert kinds("I will hurt you") == [0, 0, 1, 0, 0, 1] and kinds("do not hurt you") == [0, 0, 0, 1, 0, 0]
+    assert kinds("nothing here") == [0] * 6
+
+
+def test_stems_are_learned_only_with_enough_proof():
+    texts = [f"lorem quxx{i} ipsum" for i in range(30)] + ["lorem ipsum dolor"] * 300
+    labels = [1] * 30 + [0] * 300
+    assert learn_stems(texts, labels) == {"quxx"} and learn_stems(texts[:2] + texts[30:], [1, 1] + [0] * 300) == set()
+    assert not set(INSULTS) & learn_stems(["you idiot"] * 50 + ["fine"] * 50, [1] * 50 + [0] * 50)
+
+
+# 5
+
+
+@pytest.mark.parametrize("dim", [3, 16])
+def test_top_k(spark, dim):
+    r = np.random.default_rng(7)
+    v = r.normal(size=(700, dim)).round(2).tolist()
+    rows = [(i, x) for i, x in enumerate(v)] + [(700, None), (701, [None] * dim), (702, [float("nan")] * dim), (703, [float("inf")] * dim), (704, [1.0] * (dim + 1)), (705, v[3]), (None, v[4]), (706, [1e30] * dim), (707, [0.0] * dim)]
+    df = spark.createDataFrame([(i, x, "s") for i, x in rows], "vec_id long, embedding array<float>, pack string")
+    q = {i: np.floor(256 * np.array(x, np.float32).astype(float)).astype(int) for i, x in rows if i is not None and x is not None and None not in x and np.isfinite(x).all() and max(map(abs, x)) < 1e6}
+    want = []
+    for i, a in q.items():
+        if i % 50 == 0 or i == 704:
+            best = sorted(((-int(a @ b), j) for j, b in q.items() if j != i and len(b) == len(a)))[:5]
+            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    got = [tuple(x) for x in top_k(df, df.filter("vec_id % 50 = 0 OR vec_id = 704")).collect()]
+    assert sorted(got) == sorted(want)
+    assert top_k(df.limit(0), df).count() == 0 and top_k(df, df.limit(0)).count() == 0
+
+
+# 9
+
+
+def test_shards(spark):
+    rows = some(8) + [(500, "x" * 3000)]
+    got = shard_by_bytes(docs(spark, rows), 4).collect()
+    keyed = sorted(((-(2**63) if i is None else i), zlib.crc32((t or "").encode()), len((t or "").encode()) + 1) for i, t in rows)
+    total, before, slots, want = sum(k[2] for k in keyed), 0, {}, []
+    for i, crc, size in keyed:
+        s = before * 4 // total
+        want.append((i, crc, size, s, slots.get(s, 0)))
+        slots[s] = slots.get(s, 0) + 1
+        before += size
+    assert sorted(((-(2**63) if r.doc_id is None else r.doc_id), r.text_crc32, r.size, r.shard, r.slot) for r in got) == sorted(want)
+    assert {r.law for r in got} == {"bytes"} and all(r.grown_shard is None for r in got)
+    assert shard_by_bytes(docs(spark, [])).count() == 0
+
+
+# 10
+
+
+def test_archives_round_trip(spark):
+    big, rows = "<p>" + "é" * 200, []
+    rows = [(3, "u3", big), (1, "u1", big), (2, None, None), (5, "u5\r\nX: y", "short"), (6, "u6", "short"), (None, "n", big), (1, "again", big), (9, "u9", "\r\n\r\nWARC/1.1\r\n" + "z" * 200)]
+    df = spark.createDataFrame([(i, u, h, "c") for i, u, h in rows], "page_id long, url string, html string, digest string")
+    got = sorted((-1 if r.page_id is None else r.page_id, r.payload_bytes, r.payload_digest, r.record_type, -1 if r.refers_to is None else r.refers_to) for r in archive_and_read(df).collect())
+    want = []
+    for i, _, h in rows:
+        b = (h or "").encode()
+        again = h == big and i != 1
+        want.append((-1 if i is None else i, len(b), hashlib.sha256(b).hexdigest(), "revisit" if again else "response", 1 if again else -1))
+    assert got == sorted(want)
+    assert archive_and_read(df.limit(0)).count() == 0
+
+
+def read_all(data, step=37):
+    at = 0
+
+    def more(n):
+        nonlocal at
+        out = data[at : at + min(n, step)]
+        at += len(out)
+        return out
+
+    return list(SalvageReader(more))
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_salvage(packed):
+    recs = [record("response", f"{i:032x}", f"payload {i} ".encode() * 20, {"WARC-Payload-Digest": "sha256:" + hashlib.sha256(f"payload {i} ".encode() * 20).hexdigest()}) for i in range(5)]
+    parts = [gzip_member(r) if packed else r for r in recs]
+    whole = read_all(b"".join(parts))
+    assert [type(x) for x in whole] == [Record] * 5 and whole[-1].end == sum(map(len, parts))
+    hurt = list(parts)
+    hurt[1] = hurt[1][:-40] + bytes(b ^ 255 for b in hurt[1][-40:-20]) + hurt[1][-20:]
+    got = read_all(b"junk" + b"".join(hurt[:3]) + GZIP + b"??" + b"".join(hurt[3:]) + parts[0][:50])
+    assert [x.payload[:9] for x in got if isinstance(x, Record)] == [b"payload 0", b"payload 2", b"payload 3", b"payload 4"]
+    gaps = [x for x in got if isinstance(x, Gap)]
+    edges = np.cumsum([4, *map(len, hurt[:3])])
+    assert [(g.start, g.end) for g in gaps] == [(0, 4), (edges[1], edges[2]), (edges[3], edges[3] + 5), (edges[3] + 5 + sum(map(len, hurt[3:])), edges[3] + 5 + sum(map(len, hurt[3:])) + 50)]
+    assert all(g.reason for g in gaps) and read_all(b"") == [] and [type(x) for x in read_all(b"nothing at all")] == [Gap]
+
+
+def test_types_of_contract(spark, sf):
+    from lodestrata.llm.queries import QUERIES
+
+    kinds = {"op9_sharding": {"size": "bigint", "shard": "int", "slot": "bigint", "text_crc32": "bigint", "grown_shard": "int"}, "op5_topk_search": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "bigint"}}
+    for name, want in kinds.items():
+        assert {k: v for k, v in QUERIES[name](spark, sf).dtypes if k in want} == want
+    assert isinstance(QUERIES["op1_suffix_array_dedup"](spark, sf).schema["n_spans"].dataType, T.LongType) and F
