@@ -8,7 +8,7 @@ Plan, two passes over the texts and no text leaves its own document key:
    each first -> one exchange by anchor hash, sorted; every bucket is refined and yields covered ranges;
 3. ranges meet their documents, which drop the tokens.
 
-So copies, however many, cost an anchor row each and no context.  A bucket is read in rank order as a stream, whatever its length.
+So copies, however many, cost an anchor row each and no context; what a batch repeats within itself doesn't meet in a bucket.  A bucket is read in rank order as a stream, whatever its length.
 """
 
 from __future__ import annotations
@@ -62,7 +62,18 @@ def _anchors_of(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             at, h, context = unit.anchors(tokens, offsets)
             doc = np.searchsorted(offsets, at, "right") - 1
             k, crc = (batch.column(c).to_numpy()[doc] for c in ("k", "crc"))
-            loc = (at - offsets[doc]) << 32 | crc
+            pos = at - offsets[doc]
+            loc = pos << 32 | crc
+            # What repeats a context within this batch is covered already: under a bucket of its own, so that no bucket grows with its copies.
+            order = np.lexsort((pos, k, context, h))
+            new = np.ones(len(order), bool)
+            new[1:] = (h[order][1:] != h[order][:-1]) | (context[order][1:] != context[order][:-1])
+            first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
+            later = k[order] != k[first]
+            later = order[later if unit.other_document else later | (pos[order] != pos[first])]
+            context |= np.uint64(1)
+            context[later] = 0
+            h[later] = A.mix(A.mix(k[later].view(np.uint64)) ^ loc[later].view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(context.view(np.int64)), pa.array(k), pa.array(loc)], ["h", "context", "k", "loc"])
 
     return run
@@ -161,7 +172,8 @@ def covered_documents(docs: DataFrame, unit: Unit, text: str, doc_id: str, keep:
     bucket, same, pos = Window.partitionBy("h"), Window.partitionBy("h", "context"), F.shiftright("loc", 32)
     repeats = F.col("k") > F.first("k").over(same.orderBy("k", pos)) if unit.other_document else F.rank().over(same.orderBy("k", pos)) > 1
     mixed = F.min("context").over(bucket) != F.max("context").over(bucket)
-    at = at.withColumn("repeats", repeats).withColumn("mixed", mixed).filter("repeats OR mixed")
+    known = F.col("context") == 0
+    at = at.withColumn("repeats", known | repeats).withColumn("mixed", mixed).filter("repeats OR mixed")
     element = F.struct(F.when(~F.col("repeats"), F.col("h")).alias("h"), pos.cast("int").alias("pos"))
     lists = at.groupBy("k", F.col("loc").bitwiseAND(0xFFFFFFFF).alias("crc")).agg(F.collect_list(element).alias("found"))
     spread = rows.repartition(n, "k", "crc")
