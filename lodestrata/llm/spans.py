@@ -18,8 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from . import anchors as A
 from .common import as_bytes, binary_matrix, binary_rows, doc_key, partitions, small, whole_groups
@@ -54,6 +56,22 @@ def keyed(docs: DataFrame, text: str, doc_id: str, keep: list[str]) -> DataFrame
     return docs.select(doc_key(doc_id).alias("k"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("crc"), F.col(text).alias("text_"), *[F.col(c).alias(f"c{i}_") for i, c in enumerate(keep)])
 
 
+def packed(batches):
+    """Texts compressed, each by itself: they are what the exchange by document mostly moves."""
+    compress = zstandard.ZstdCompressor(level=3).compress
+    for batch in small(batches):
+        i = batch.schema.get_field_index("text_")
+        column = batch.column(i)
+        texts = [None if null else compress(t) for t, null in zip(as_bytes(column), column.is_null().to_pylist())]
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()) if j == i else c for j, c in enumerate(batch.columns)], batch.schema.names)
+
+
+def unpacked(column: pa.Array) -> list[bytes]:
+    """The inverse of packed(); null becomes empty."""
+    decompress = zstandard.ZstdDecompressor().decompress
+    return [decompress(x) if x else b"" for x in column.to_pylist()]
+
+
 def _anchors_of(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
         for batch in small(batches):
@@ -88,7 +106,7 @@ def _contexts_of(unit: Unit):
             if not len(some):
                 continue
             part = batch.take(pa.array(some))
-            tokens, offsets = unit.tokens(as_bytes(part.column("text_")))
+            tokens, offsets = unit.tokens(unpacked(part.column("text_")))
             flat = part.column("found").flatten()
             doc = np.repeat(np.arange(len(some)), counts[some])
             first = flat.field("h").is_valid()
@@ -165,7 +183,7 @@ def merged(unit: Unit, n: int, found: list | None, ranges: list | None) -> list[
 
 
 def covered_documents(docs: DataFrame, unit: Unit, text: str, doc_id: str, keep: list[str]) -> DataFrame:
-    """Rows of docs as (k, crc, text_, c0_..., found, ranges): what merged() takes, null for none."""
+    """Rows of docs as (k, crc, text_, c0_..., found, ranges): text_ packed, and what merged() takes, null for none."""
     n = partitions(docs.sparkSession)
     rows = keyed(docs, text, doc_id, keep)
     at = rows.select("k", "crc", "text_").mapInArrow(_anchors_of(unit), "h long, context long, k long, loc long")
@@ -176,7 +194,8 @@ def covered_documents(docs: DataFrame, unit: Unit, text: str, doc_id: str, keep:
     at = at.withColumn("repeats", known | repeats).withColumn("mixed", mixed).filter("repeats OR mixed")
     element = F.struct(F.when(~F.col("repeats"), F.col("h")).alias("h"), pos.cast("int").alias("pos"))
     lists = at.groupBy("k", F.col("loc").bitwiseAND(0xFFFFFFFF).alias("crc")).agg(F.collect_list(element).alias("found"))
-    spread = rows.repartition(n, "k", "crc")
+    kinds = StructType([StructField("text_", BinaryType()) if f.name == "text_" else f for f in rows.schema])
+    spread = rows.mapInArrow(packed, kinds).repartition(n, "k", "crc")
     both = spread.join(lists.hint("shuffle_hash"), ["k", "crc"], "left")
     # Both uses take the same columns, else their exchanges of texts would differ and be written twice.
     around = both.mapInArrow(_contexts_of(unit), "h long, k long, loc long, context binary")

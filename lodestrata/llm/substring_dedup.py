@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructField, StructType
 
-from .common import as_bytes, small
-from .spans import Unit, covered_documents, merged
+from .common import small
+from .spans import Unit, covered_documents, merged, unpacked
 
 
 def substring_dedup(docs: DataFrame, window: int = 13, text: str = "text", doc_id: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -29,7 +29,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, text: str = "text", doc_i
     def cut(batches):
         for batch in small(batches):
             out = []
-            for text, null, found, ranges in zip(as_bytes(batch.column("text_")), batch.column("text_").is_null().to_pylist(), batch.column("found").to_pylist(), batch.column("ranges").to_pylist()):
+            for text, null, found, ranges in zip(unpacked(batch.column("text_")), batch.column("text_").is_null().to_pylist(), batch.column("found").to_pylist(), batch.column("ranges").to_pylist()):
                 words = text.split()
                 spans = merged(unit, len(words), found, ranges)
                 kept, last = [], 0

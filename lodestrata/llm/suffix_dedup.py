@@ -7,8 +7,8 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import as_bytes, small
-from .spans import Unit, covered_documents, merged
+from .common import small
+from .spans import Unit, covered_documents, merged, unpacked
 
 
 def suffix_dedup(docs: DataFrame, length: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -24,7 +24,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, text: str = "text", doc_id:
 
     def cut(batches):
         for batch in small(batches):
-            texts = as_bytes(batch.column("text_"))
+            texts = unpacked(batch.column("text_"))
             out = []
             for text, found, ranges in zip(texts, batch.column("found").to_pylist(), batch.column("ranges").to_pylist()):
                 spans = merged(unit, len(text), found, ranges)
