@@ -119,7 +119,7 @@ def last_index_of(array: Column, value) -> Column:
 
 def version_time(version: Column) -> Column:
     """The time in a version number yyyyMMddHHmmss + counter of three digits; null where it is none."""
-    return F.try_to_timestamp(F.substring(version.cast("string"), 1, 14), F.lit("yyyyMMddHHmmss"))
+    return F.try_to_timestamp(F.substring(version.cast("string"), 1, 14), F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz")
 
 
 class VersionMinter:
