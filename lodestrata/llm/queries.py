@@ -6,22 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, topk, warc
+from . import decontamination, sharding, suffix_dedup, topk, warc
 from .common import read
 from .decontamination import decontaminate
 from .pieces import tokenize
 from .quality import quality
-from .sharding import shard_by_bytes
 from .simhash import near_duplicates
 from .substring_dedup import substring_dedup
-from .suffix_dedup import suffix_dedup
 from .topk import top_k
 from .toxicity import toxicity
 from .warc import archive_and_read
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(read(spark, sf_dir, "documents"), length=100).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix_dedup.suffix_dedup(read(spark, sf_dir, "documents"), length=100).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +52,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard_by_bytes(read(spark, sf_dir, "documents"), shards=16)
+    return sharding.shard_by_bytes(read(spark, sf_dir, "documents"), shards=16)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +71,6 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - len(kept))::BIGINT AS n_remo
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_decontamination, op3_simhash_dedup, op4_quality_classifier, op5_topk_search, op6_substring_dedup, op7_toxicity, op8_sentencepiece, op9_sharding, op10_warc)}
 
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": decontamination.SQL, "op5_topk_search": topk.SQL, "op6_substring_dedup": SUBSTRING_SQL, "op10_warc": warc.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_array_dedup": suffix_dedup.SQL, "op2_decontamination": decontamination.SQL, "op5_topk_search": topk.SQL, "op6_substring_dedup": SUBSTRING_SQL, "op9_sharding": sharding.SQL, "op10_warc": warc.SQL,
+}

@@ -47,3 +47,13 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, text: str = "text", doc_id
     slot = F.element_at(first, F.col("part") * shards + F.col("shard")).cast("long") + F.row_number().over(own) - 1
     return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
+
+#: DuckDB has no CRC-32: its reflected polynomial, four bits at a time, low half of each byte first.
+SQL = r"""
+WITH crc AS (SELECT list(v ORDER BY n) AS t FROM (SELECT n, list_reduce(range(4), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) AS v FROM (SELECT unnest(range(16)) AS n))),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, list_transform(string_split(hex(encode(coalesce(text, ''))), ''), lambda x: strpos('0123456789ABCDEF', x) - 1) AS x FROM documents),
+k AS (SELECT doc_id, size, CASE WHEN size = 1 THEN 0 ELSE xor(list_reduce(range(len(x)), lambda c, i: xor(c >> 4, t[(xor(c, x[CASE WHEN i % 2 = 0 THEN i + 2 ELSE i END]) & 15) + 1]), 4294967295), 4294967295) END AS text_crc32 FROM d, crc),
+p AS (SELECT *, coalesce(sum(size) OVER (ORDER BY doc_id, text_crc32, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER () AS total FROM k),
+s AS (SELECT *, (before * 16 // total)::INTEGER AS shard FROM p)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, NULL::INTEGER AS grown_shard FROM s
+"""

@@ -41,3 +41,16 @@ def suffix_dedup(docs: DataFrame, length: int = 100, text: str = "text", doc_id:
     unit = Unit(length, min(32, max(1, length // 2)), words=False, other_document=False)
     kind = docs.schema[doc_id].dataType.simpleString()
     return covered_documents(docs, unit, text, doc_id, [doc_id]).mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start: long, end: long>>")
+
+
+#: Bytes as pairs of hex digits; a window is 200 of them.
+SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+x AS (SELECT doc_id, i, substr(h, 2 * i - 1, 200) AS win FROM (SELECT doc_id, h, unnest(range(1, len(h) // 2 - 98)) AS i FROM d)),
+f AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS n FROM x) WHERE n > 1),
+r AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM f)),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 99 AS b FROM r GROUP BY doc_id, run),
+g AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS last FROM s),
+k AS (SELECT doc_id, count(*) AS n_spans, sum(b - a + 1) AS n_removed, max(b) AS ends, string_agg(substr(h, 2 * last + 1, 2 * (a - last - 1)), '' ORDER BY a) AS head FROM g JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(ends, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
