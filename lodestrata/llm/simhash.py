@@ -70,6 +70,7 @@ def tree_links(fps: np.ndarray, radius: int) -> np.ndarray:
     """
     n = len(fps)
     label = np.arange(n)
+    step = max(1, 20_000 // fps.shape[1])  # so that a leaf's distances stay within the cache
 
     def unite(hits: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> None:
         # Each row's hits fall together; links within what is already one component cost nothing.
@@ -87,8 +88,8 @@ def tree_links(fps: np.ndarray, radius: int) -> np.ndarray:
     while todo:
         members, queries = todo.pop()
         if len(members) <= LEAF:
-            for s in range(0, len(queries), 20_000):
-                part = queries[s : s + 20_000]
+            for s in range(0, len(queries), step):
+                part = queries[s : s + step]
                 unite(distances(members, part) <= radius, members, part)
             continue
         root = members[:1]

@@ -31,10 +31,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near duplicates.
 
-    Fingerprints of 256 bits over five-word shingles; a similarity of 0.8 moves 39 bits on average, deviating by 6, so up to 46 bits link.
+    Fingerprints of 1,024 bits over five-word shingles; a similarity of 0.8 moves 155 bits on average, deviating by 11.5, so up to 184 bits link.
     Documents are compared where they share one of their four least shingle hashes.
     """
-    groups = near_duplicates(docs, shingle=5, radius=46, lanes=4, sketch=4)
+    groups = near_duplicates(docs, shingle=5, radius=184, lanes=16, sketch=4)
     return without(docs, groups.filter("doc_id <> component_id OR component_id IS NULL"))
 
 

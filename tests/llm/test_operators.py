@@ -137,6 +137,18 @@ def test_wide_fingerprints_find_edited_copies(spark):
     assert got == {1: 1, 2: 1, 3: 3}
 
 
+def test_wide_fingerprints_tell_similarities_apart(spark):
+    r, rows = random.Random(9), []
+    for i in range(40):
+        base = [f"w{r.randint(0, 50_000)}" for _ in range(400)]
+        near, far = list(base), list(base)
+        near[100:130] = [f"n{r.randint(0, 50_000)}" for _ in range(30)]  # 362 of 430 shingles: 0.84
+        far[100:200] = [f"f{r.randint(0, 50_000)}" for _ in range(100)]  # 292 of 500: 0.58
+        rows += [(3 * i, " ".join(base)), (3 * i + 1, " ".join(near)), (3 * i + 2, " ".join(far))]
+    got = {x.doc_id: x.component_id for x in near_duplicates(docs(spark, rows), 5, 184, lanes=16, sketch=4).collect()}
+    assert all(got[i] == i - i % 3 + (2 if i % 3 == 2 else 0) for i in range(120))
+
+
 # 4 and 7
 
 
