@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 
@@ -51,10 +52,19 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 
 
 def small(batches, rows: int = 1000):
-    """The batches cut to so many rows, so that what is derived from their texts stays small."""
+    """The batches cut to so many rows, so that what is derived from their texts stays small; at the end freed memory goes back to the system."""
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+    release()
+
+
+def release() -> None:
+    """Give freed memory back: workers outlive their tasks, and what they keep adds to the next stage's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 def binary_rows(matrix: np.ndarray) -> pa.Array:
