@@ -314,6 +314,22 @@ def diff_elements(spark, d):
     return diff.element_diff(_nested(before(spark, d)), _nested(after(spark, d)), ["o_custkey"], ["orders.element.o_orderkey"], ["orders.element.o_orderstatus", "orders.element.o_totalprice"])
 
 
+@register(f"WITH {_FROM}, {_TO} SELECT 'o_orderpriority' AS path, count(*)::BIGINT AS score, count(*) AS records FROM f JOIN t ON f.o_orderkey = t.o_orderkey WHERE t.o_orderpriority IS NOT NULL")
+def diff_missing_field(spark, d):
+    scores = diff.field_scores(before(spark, d).drop("o_orderpriority"), after(spark, d), _KEY)
+    return diff.field_totals(scores).filter("path = 'o_orderpriority'")
+
+
+@register(f"WITH {_FROM}, {_TO}, k AS (SELECT o_custkey FROM f INTERSECT SELECT o_custkey FROM t), a AS (SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice FROM f WHERE o_custkey IN (FROM k)), b AS (SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice FROM t WHERE o_custkey IN (FROM k)), x AS ((FROM a EXCEPT ALL FROM b) UNION ALL (FROM b EXCEPT ALL FROM a)) SELECT 'orders.element' AS path, count(*) AS score, count(DISTINCT o_custkey) AS records FROM x")
+def diff_shortcut(spark, d):
+    return diff.field_totals(diff.field_scores(_nested(before(spark, d)), _nested(after(spark, d)), ["o_custkey"], shortcuts=["orders.element"]))
+
+
+@register(f"WITH {_FROM}, {_TO} SELECT f.o_orderkey AS f_o_orderkey, t.o_orderkey + 1000000000 AS t_o_orderkey FROM f JOIN t ON f.o_custkey = t.o_custkey AND f.o_orderdate = t.o_orderdate AND f.o_orderstatus = t.o_orderstatus AND f.o_totalprice = t.o_totalprice AND f.o_orderpriority = t.o_orderpriority")
+def equal_under_other_keys(spark, d):
+    return diff.equal_pairs(before(spark, d), after(spark, d).withColumn("o_orderkey", F.col("o_orderkey") + 1000000000), _KEY)
+
+
 # History.
 
 
@@ -326,6 +342,11 @@ def history_counts(spark, d):
     return history.counts(_log(spark, d))
 
 
+@register(f"WITH {_FROM}, {_TO}, {_THIRD} SELECT 3::BIGINT AS version, CASE WHEN f.o_orderkey IS NULL THEN 'added' WHEN u.o_orderkey IS NULL THEN 'removed' ELSE 'updated' END AS change, count(*) AS n FROM f FULL JOIN u ON f.o_orderkey = u.o_orderkey WHERE f.o_orderkey IS NULL OR u.o_orderkey IS NULL OR f.o_totalprice <> u.o_totalprice OR f.o_orderstatus <> u.o_orderstatus OR f.o_orderpriority <> u.o_orderpriority GROUP BY ALL")
+def history_double_snapshot(spark, d):
+    return history.counts(history.log([(1, before(spark, d)), (3, third(spark, d))], _KEY))
+
+
 @register(f"WITH {_TO} SELECT * FROM t")
 def history_asof(spark, d):
     return history.as_of(third(spark, d), _log(spark, d), 2, _KEY)
@@ -379,6 +400,12 @@ def split_by_key(spark, d):
     return algebra.split(star(spark, d), 4, {"orders": F.pmod("o_orderkey", F.lit(4))})[1].counts()
 
 
+@register("SELECT * FROM orders WHERE o_orderkey = 1033")
+def lookup_by_display_key(spark, d):
+    o = table(spark, d, "orders")
+    return UniqueKeyIndex(o, _KEY).match(*query.parse_key("1033", [o.schema["o_orderkey"].dataType]))
+
+
 @register("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT o_orderkey, o_orderstatus, o_totalprice + 1 FROM orders WHERE o_orderstatus = 'P'")
 def patch_records(spark, d):
     s = star(spark, d)
@@ -391,6 +418,29 @@ def copy_accepted(spark, d):
     return algebra.copy(star(spark, d), {"orders": F.col("o_totalprice") < 50000}).counts().filter("type IN ('customer', 'orders')")
 
 
+@register("SELECT 'customer' AS type, count(*) AS records FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING max(o_totalprice) < 50000) UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_totalprice >= 50000")
+def exclude_with_referenced(spark, d):
+    s = star(spark, d)
+    return algebra.exclude_with_referenced(s, "orders", s.types["orders"].filter("o_totalprice < 50000")).counts().filter("type IN ('customer', 'orders')")
+
+
+@register("SELECT 'customer' AS type, count(*) AS records FROM customer UNION ALL SELECT 'region', count(*) FROM region")
+def combine_ignored_types(spark, d):
+    s = star(spark, d)
+    return algebra.combine([s, Dataset({"customer": s.types["customer"].filter("c_custkey % 2 = 0")})], ignore=["nation", "orders"]).counts()
+
+
+@register("SELECT 'orders' AS type, count(*) AS records FROM orders UNION ALL SELECT 'customer', count(*) FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def split_replicated(spark, d):
+    return algebra.split(star(spark, d), 4, {"orders": F.pmod("o_orderkey", F.lit(4))}, everywhere=["orders"])[2].counts().filter("type IN ('orders', 'customer')")
+
+
+@register(f"WITH {_FROM} SELECT * FROM f WHERE o_orderkey % 3 <> 0 UNION ALL SELECT * REPLACE ('N' AS o_orderstatus) FROM orders WHERE o_orderkey % 6 = 0")
+def carry_over(spark, d):
+    o = table(spark, d, "orders")
+    return state.carry_over(before(spark, d), o.filter("o_orderkey % 3 = 0"), o.filter("o_orderkey % 6 = 0").withColumn("o_orderstatus", F.lit("N")), _KEY)
+
+
 # Checks.
 
 
@@ -430,12 +480,13 @@ def json_find_key(spark, d):
     return find_key(table(spark, d, "events"), ["k"], "props").select("event_id", "k")
 
 
-@register()
+@register("SELECT event_id, array_to_string(list_sort(json_keys(props)), ',') AS names, json_extract_string(props, '$.k') AS k FROM events")
 def json_passthrough(spark, d):
-    return passthrough(table(spark, d, "events"), [], "props").select("event_id", F.array_sort(F.map_keys("single_values")).alias("names"))
+    rest = F.col("single_values")
+    return passthrough(table(spark, d, "events"), [], "props").select("event_id", F.array_join(F.array_sort(F.map_keys(rest)), ",").alias("names"), rest["k"].alias("k"))
 
 
-@register()
+@register("SELECT json_extract_string(props, '$.k') AS k FROM events")
 def json_ingest(spark, d):
     from pyspark.sql import types as T
 
