@@ -2,7 +2,7 @@
 
 A window of W tokens (bytes or words) occurs twice only if the q-gram that has the least hash in it does.  Those q-grams, the
 anchors, are about 2 / (W - q + 2) of all positions; only they are shuffled, and only those that occur twice go on.  Equal
-contexts (all tokens of windows that may own the anchor) are told by two 64-bit hashes together; where the contexts of
+contexts (all tokens of windows that may own the anchor) are told by a 63-bit hash of the context within the bucket; where the contexts of
 a bucket differ, `covered` sorts their tokens by bucket-pointer refinement and finds, for each, which windows around the anchor also
 start earlier.
 """
