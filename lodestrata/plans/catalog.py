@@ -138,7 +138,16 @@ def int_set_cardinality(spark, d):
 
 @register("SELECT o_custkey, max(CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice END) AS price FROM orders WHERE o_orderkey <= 4 * 500 GROUP BY o_custkey HAVING count(CASE WHEN o_orderkey % 4 = 0 THEN 1 END) <= 1")
 def set_find_element(spark, d):
-    o = table(spark, d, "orders").filter("o_orderkey <= 2000").groupBy("o_custkey").agg(F.collect_set(F.struct((F.col("o_orderkey") % 4).alias("m"), "o_totalprice")).alias("s"))
+    return _sets_of_orders(table(spark, d, "orders").filter("o_orderkey <= 2000"))
+
+
+@register("SELECT o_custkey, max(CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice END) AS price FROM orders GROUP BY o_custkey HAVING count(DISTINCT CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice END) <= 1")
+def set_find_element_all(spark, d):
+    return _sets_of_orders(table(spark, d, "orders"))
+
+
+def _sets_of_orders(orders):
+    o = orders.groupBy("o_custkey").agg(F.collect_set(F.struct((F.col("o_orderkey") % 4).alias("m"), "o_totalprice")).alias("s"))
     return o.filter(F.size(F.filter("s", lambda x: x["m"] == 0)) <= 1).select("o_custkey", find_in_set(F.col("s"), m=0)["o_totalprice"].alias("price"))
 
 
