@@ -104,7 +104,15 @@ def hash_index_select_nested(spark, d):
 
 @register("SELECT DISTINCT c.c_custkey FROM (SELECT * FROM customer WHERE c_custkey % 5 = 0) c JOIN orders o ON o.o_custkey = c.c_custkey JOIN customer p ON p.c_nationkey = c.c_nationkey WHERE o.o_orderpriority = '1-URGENT' AND p.c_mktsegment = 'MACHINERY'")
 def hash_index_cross(spark, d):
-    c = table(spark, d, "customer").filter("c_custkey % 5 = 0")
+    return _orders_and_peers(spark, d, table(spark, d, "customer").filter("c_custkey % 5 = 0"))
+
+
+@register("SELECT DISTINCT c.c_custkey FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey JOIN customer p ON p.c_nationkey = c.c_nationkey WHERE o.o_orderpriority = '1-URGENT' AND p.c_mktsegment = 'MACHINERY'")
+def hash_index_cross_all(spark, d):
+    return _orders_and_peers(spark, d, table(spark, d, "customer"))
+
+
+def _orders_and_peers(spark, d, c):
     o = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct("o_orderpriority")).alias("orders"))
     p = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("nk")).agg(F.collect_set(F.struct("c_mktsegment")).alias("peers"))
     nested = c.join(o, F.col("c_custkey") == F.col("o_custkey")).join(p, F.col("c_nationkey") == F.col("nk"))

@@ -13,3 +13,12 @@ def test_set_find_element_all_builds_every_set(spark):
     multiples = Counter(r.o_custkey for r in rows if r.o_orderkey % 4 == 0)
     want = {r.o_custkey for r in rows if multiples[r.o_custkey] <= 1}
     assert want and {r.o_custkey for r in catalog.QUERIES["set_find_element_all"](spark, SF).collect()} == want
+
+
+def test_hash_index_cross_all_indexes_every_customer(spark):
+    got = {r.c_custkey for r in catalog.QUERIES["hash_index_cross_all"](spark, SF).collect()}
+    urgent = {r.o_custkey for r in spark.read.parquet(f"{SF}/orders.parquet").filter("o_orderpriority = '1-URGENT'").collect()}
+    customers = spark.read.parquet(f"{SF}/customer.parquet").collect()
+    nations = {r.c_nationkey for r in customers if r.c_mktsegment == "MACHINERY"}
+    want = {r.c_custkey for r in customers if r.c_custkey in urgent and r.c_nationkey in nations}
+    assert any(k % 5 for k in want) and got == want
