@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql.types import DoubleType, StructType
 
 from .common import small
 
-# The closed classes of the grammar. Insults beyond the seed words are learned as stems from the labels.
+# The closed classes of the grammar. Insults beyond the seed words are learned from the labels, as words and word beginnings.
 INSULTS = "idiot moron stupid loser scum trash clown worthless pathetic disgusting dumb imbecile fool garbage filth vermin pig jerk".split()
 THREATS = "kill hurt destroy beat burn shoot hang stab punch murder crush".split()
 TARGETS = "you your yours youre u ya they them he she him her people".split()
@@ -26,8 +27,8 @@ O, I, T, U, N, R, E = range(7)
 CLASSES = 7
 #: Clause kinds the grammar tells apart; each has its weight in the score.
 KINDS = ["insult", "insult at target", "threat at target", "negated", "reported", "bare threat"]
-#: Words longer than this are no insults; stems have so many letters.
-STEM = (3, 6)
+#: Ends a stem that is a whole word; no token has it.
+WHOLE = "$"
 #: Labelled rows that stems and weights are fitted on, at most: the ones with the least hash of the id.
 TRAIN_ROWS = 8_000
 
@@ -92,7 +93,7 @@ _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;:\n]")
 
 
 class Lexicon:
-    """Classes of tokens: closed word lists, and insult stems; answers are memorised."""
+    """Classes of tokens: closed word lists, and insult stems (word beginnings, or words with WHOLE); answers are memorised."""
 
     def __init__(self, stems: set[str]):
         self.stems = stems
@@ -107,7 +108,7 @@ class Lexicon:
         if (got := self.known.get(token)) is not None:
             return got
         got = self.fixed.get(token.replace("’", "'"), O)
-        if got == O and any(token[:n] in self.stems for n in self.sizes):
+        if got == O and any((token + WHOLE)[:n] in self.stems for n in self.sizes):
             got = I
         if len(self.known) > 300_000:
             self.known.clear()
@@ -140,30 +141,69 @@ class Scorer:
         return np.concatenate([np.minimum(n, 3), n > 0, [math.log1p(n[:3].sum()), 1000 * n.sum() / max(tokens, 1) > 5]])
 
 
-def learn_stems(texts: list[str], labels: list[int], precision: float = 0.97) -> set[str]:
-    """Word beginnings that set toxic texts without seed insults apart: the commonest first, the longest of equally common ones.
+def words_of(text: str) -> set[str]:
+    return {w for w in _TOKEN.findall(text.lower()) if w[0].isalpha()}
+
+
+def beginnings(words: dict[str, set[int]]) -> Counter:
+    """In how many texts each word, marked whole, and each beginning occurs; of beginnings of the same words only the longest.
 
-    A stem has to occur in 8 % of them, and in so many that chance would hardly (0.05 over all candidates) keep it out of clean ones.
+    These are the nodes of the words' radix tree: at most two for a word and one for a branching, whatever the lengths. Consumes `words`.
     """
+    counts: Counter = Counter()
+    path: list[tuple[int, str, set[int]]] = []  # depth, a word through the node, its texts
+    for name in [*sorted(w + WHOLE for w in words), ""]:
+        shared = len(commonprefix((path[-1][1], name))) if path else 0
+        while path and path[-1][0] > shared:
+            depth, own, texts = path.pop()
+            counts[own[:depth]] = len(texts)
+            if depth == len(own):
+                counts[own[:-1]] = len(texts)  # overwritten where other words begin so
+            if path and path[-1][0] >= shared:
+                few, many = sorted((path[-1][2], texts), key=len)
+                many |= few
+                path[-1] = (*path[-1][:2], many)
+            elif shared:
+                path.append((shared, own, texts))
+        if name:
+            path.append((len(name), name, words[name[:-1]]))
+    return counts
+
+
+def by_chance(hits: int, of: int, share: float) -> float:
+    """How likely at least so many hits are if each has this share's chance."""
+    log = lambda k: math.lgamma(of + 1) - math.lgamma(k + 1) - math.lgamma(of - k + 1) + k * math.log(share) + (of - k) * math.log1p(-share)
+    return sum(math.exp(log(k)) for k in range(hits, of + 1))
 
-    def stems_of(text: str) -> set[str]:
-        return {w[:n] for w in set(_TOKEN.findall(text.lower())) for n in range(STEM[0], STEM[1] + 1) if len(w) >= n}
 
-    seeds, toxic, clean, counts = set(INSULTS), 0, Counter(), Counter()
-    for t, y in zip(texts, labels):
-        if not y:
-            clean.update(stems_of(t))
-        elif not seeds & set(_TOKEN.findall(t.lower())):
-            counts.update(stems_of(t))
+def learn_stems(texts: list[str], labels: list[int], precision: float = 0.97) -> set[str]:
+    """Words and word beginnings of any length that set toxic texts without seed insults apart: the commonest first, of equally common ones the longest beginning.
+
+    A stem has to occur in them so often, and in clean texts so seldom, that chance would hardly (0.05 over all candidates) bring it about.
+    """
+    seeds, toxic, found = set(INSULTS), 0, {}
+    for i, (t, y) in enumerate(zip(texts, labels)):
+        if y and not seeds & (words := words_of(t)):
             toxic += 1
+            for w in words:
+                found.setdefault(w, set()).add(i)
     n_clean = sum(1 for y in labels if not y)
-    if not toxic or not n_clean:
+    if not found or not n_clean:
         return set()
-    base = toxic / (toxic + n_clean)
-    least = max(4, math.ceil(0.08 * toxic), math.ceil(math.log(0.05 / len(counts)) / math.log(base)))
-    good = [(-c, -len(s), s) for s, c in counts.items() if c >= least and c >= precision * (c + clean[s]) and clean[s] <= 0.001 * n_clean]
+    base, counts = toxic / (toxic + n_clean), beginnings(found)
+    least = max(4, math.ceil(math.log(0.05 / len(counts)) / math.log(base)))
+    often = {s: c for s, c in counts.items() if c >= least}
+    sizes, clean, known = sorted({len(s) for s in often}), Counter(), {}
+    for t, y in zip(texts, labels):
+        if not y:
+            words = words_of(t)
+            for w in words:
+                if w not in known:
+                    known[w] = [s for n in sizes if n <= len(w) + 1 and (s := (w + WHOLE)[:n]) in often]
+            clean.update({s for w in words for s in known[w]})
+    good = [(-c, s.endswith(WHOLE), -len(s), s) for s, c in often.items() if c >= precision * (c + clean[s]) and by_chance(c, c + clean[s], base) * len(counts) <= 0.05]
     chosen: set[str] = set()
-    for _, _, s in sorted(good):
+    for *_, s in sorted(good):
         if not any(s.startswith(x) or x.startswith(s) for x in chosen):
             chosen.add(s)
     return chosen
@@ -219,7 +259,7 @@ def score_toxicity(docs: DataFrame, model: dict, text: str = "text") -> DataFram
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Score whole texts by the clauses that the grammar matches; stems and weights are learned from `labels` (doc_id, toxic).
+    """Score whole texts by the clauses that the grammar matches; stems (words and word beginnings of any length) and weights are learned from `labels` (doc_id, toxic).
 
     Tokens get a class (insult, threat, target, negation, report, clause end); composed transducers follow them and count an insult or
     threat by its clause: aimed at a target, bare, negated, or reported. A logistic model weighs the counts. Training uses at most
