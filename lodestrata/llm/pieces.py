@@ -18,10 +18,8 @@ from .common import as_bytes, small
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Segmented chunks that a worker remembers, at most twice this many.
-MEMORY = 150_000
-#: Texts that are cut together.
-TOGETHER = 250
+#: Texts of a batch, and chunks (of whole texts) from which on they are segmented together.
+TOGETHER, CHUNKS = 250, 50_000
 _MASK, NEVER = 2**64 - 1, 2**40
 
 
@@ -95,7 +93,8 @@ class Encoder:
     """Byte-pair merges by an agenda: the best-ranked neighbouring pair first.
 
     With dropout p a candidate taken from the agenda is skipped, once and for all, if the keyed hash of its chunk, place and rank falls in
-    the lowest p of its range.  The key is the seed and the variant, so a text always gets the same pieces, and another seed gives others.
+    the lowest p of its range.  The key is the seed, the variant (a hash of the document's id) and where the chunk stands in the text: each
+    occurrence of a word is cut anew, yet a document always gets the same pieces, and another seed gives others.
     A chunk is a run of spaces with what follows up to the next space or line end: no piece reaches beyond one.
     """
 
@@ -103,9 +102,6 @@ class Encoder:
         self.v, self.limit, self.seed = vocabulary, int(dropout * 2**24), seed
         lines = any("\n" in p for p in vocabulary.ranks)
         self.chunks = re.compile(r" *[^ ]+| +" if lines else r" *[^ \n]+|\n| +")
-        #: By variant: chunks met lately, and those met before them.
-        self.fresh: dict[int, dict[str, bytes]] = {}
-        self.aged: dict[int, dict[str, bytes]] = {}
         self.pairs = _Pairs(vocabulary.pairs)
         self.letters = np.full(0x110000, -2, np.int32)
         for piece, i in vocabulary.ids.items():
@@ -113,15 +109,18 @@ class Encoder:
                 self.letters[ord(piece)] = i
         self.letters[ord(" ")] = vocabulary.ids.get(SPACE, -2)
 
-    def segment(self, chunk: str, variant: int) -> list[int]:
-        """Ids of one chunk, its spaces as such."""
+    def _seed(self, variant: int, place: int) -> int:
+        return (self.seed * 0x9E3779B1 + variant + place * 0xD1B54A32D192ED03) & _MASK
+
+    def segment(self, chunk: str, variant: int, place: int = 0) -> list[int]:
+        """Ids of the chunk at a place (counted in chunks), its spaces as such."""
         ids, ranks, raw = self.v.ids, self.v.ranks, self.v.bytes_
         # A literal U+2581 isn't a space: it stays outside the merges and becomes bytes.
         parts = ["\0" if c == SPACE else SPACE if c == " " else c for c in chunk] if SPACE in chunk else list(chunk.replace(" ", SPACE))
         n = len(parts)
         if n > 1:
             limit = self.limit
-            key = xxhash.xxh64_intdigest(chunk, (self.seed * 0x9E3779B1 + variant) & _MASK) if limit else 0
+            key = xxhash.xxh64_intdigest(chunk, self._seed(variant, place)) if limit else 0
             agenda = [(r, i, i + 1, parts[i] + parts[i + 1]) for i in range(n - 1) if (r := ranks.get(parts[i] + parts[i + 1])) is not None]
             heapq.heapify(agenda)
             after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -164,8 +163,10 @@ class Encoder:
             rank = np.where(h < self.limit, NEVER, rank)
         return rank, new
 
-    def segment_all(self, chunks: list[str], variant: int) -> list[bytes]:
-        """segment() of many chunks at once: their agendas advance together, a merge each in every step."""
+    def segment_all(self, chunks: list[str], variants: int | list[int], places: list[int] | None = None) -> list[bytes]:
+        """segment() of many chunks at once, of one variant or a variant each: their agendas advance together, a merge each in every step."""
+        variants = [variants] * len(chunks) if isinstance(variants, int) else variants
+        places = places or [0] * len(chunks)
         out: list[bytes] = [b""] * len(chunks)
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -175,18 +176,17 @@ class Encoder:
             own = np.flatnonzero((sizes <= width) & (sizes > {4: 0, 8: 4, 12: 8, 16: 12, 24: 16}[width]) & (strange == 0))
             for s in range(0, len(own), 8192):
                 rows = own[s : s + 8192]
-                for i, x in zip(rows.tolist(), self._merged(ids, starts[rows], sizes[rows], width, [chunks[i] for i in rows], variant)):
+                for i, x in zip(rows.tolist(), self._merged(ids, starts[rows], sizes[rows], width, [(chunks[i], variants[i], places[i]) for i in rows.tolist()])):
                     out[i] = x
         for i in np.flatnonzero((sizes > 24) | (strange > 0)).tolist():
-            out[i] = np.array(self.segment(chunks[i], variant), np.int32).tobytes()
+            out[i] = np.array(self.segment(chunks[i], variants[i], places[i]), np.int32).tobytes()
         return out
 
-    def _merged(self, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int, chunks: list[str], variant: int) -> list[bytes]:
+    def _merged(self, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int, chunks: list[tuple[str, int, int]]) -> list[bytes]:
         m, column = len(starts), np.arange(width)
         inside = column < sizes[:, None]
         sym = np.where(inside, ids[np.minimum(starts[:, None] + column, len(ids) - 1)], -1).astype(np.int64)
-        seed = (self.seed * 0x9E3779B1 + variant) & _MASK
-        key = np.fromiter((xxhash.xxh64_intdigest(c, seed) for c in chunks), np.uint64, m) if self.limit else np.zeros(m, np.uint64)
+        key = np.fromiter((xxhash.xxh64_intdigest(c, self._seed(v, p)) for c, v, p in chunks), np.uint64, m) if self.limit else np.zeros(m, np.uint64)
         after, before = np.tile(column + 1, (m, 1)), np.tile(column - 1, (m, 1))
         rank, new = np.full((m, width), NEVER), np.zeros((m, width), np.int64)
         r, c = np.nonzero(column < sizes[:, None] - 1)
@@ -215,22 +215,19 @@ class Encoder:
 
     def encode_all(self, texts: list[str], variants: list[int]) -> list[np.ndarray]:
         """Ids of each text; none for an empty one."""
-        cut = [self.chunks.findall(" " + t) if t else [] for t in texts]
-        for variant in set(variants):
-            fresh, aged = self.fresh.setdefault(variant, {}), self.aged.setdefault(variant, {})
-            if len(fresh) > MEMORY:
-                aged = self.aged[variant] = fresh
-                fresh = self.fresh[variant] = {}
-            met = {c for chunks, v in zip(cut, variants) if v == variant for c in chunks}
-            missing = []
-            for c in met.difference(fresh):
-                got = aged.get(c)
-                if got is None:
-                    missing.append(c)
-                else:
-                    fresh[c] = got
-            fresh.update(zip(missing, self.segment_all(missing, variant)))
-        return [np.frombuffer(b"".join([known[c] for c in chunks]), np.int32) for chunks, known in ((c, self.fresh[v]) for c, v in zip(cut, variants))]
+        out: list[np.ndarray] = []
+        chunks, owners, places, ends = [], [], [], [0]
+        for i, (t, v) in enumerate(zip(texts, variants), 1):
+            cut = self.chunks.findall(" " + t) if t else []
+            chunks += cut
+            owners += [v] * len(cut)
+            places += range(len(cut))
+            ends.append(len(chunks))
+            if len(chunks) >= CHUNKS or i == len(texts):
+                got = self.segment_all(chunks, owners, places)
+                out += [np.frombuffer(b"".join(got[a:b]), np.int32) for a, b in zip(ends, ends[1:])]
+                chunks, owners, places, ends = [], [], [], [0]
+        return out
 
     def encode(self, text: str, variant: int = 0) -> np.ndarray:
         return self.encode_all([text], [variant])[0]
@@ -240,15 +237,19 @@ class Encoder:
         return b"".join([table[i] for i in ids.tolist()])[1:]
 
 
-def encode_documents(docs: DataFrame, dropout: float = 0.1, seed: int = 0, variants: int = 2, model: str = MODEL, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with a column `tokens` (array of ids) added; see tokenize()."""
+def encode_documents(docs: DataFrame, dropout: float = 0.1, seed: int = 0, model: str = MODEL, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs with a column `tokens` (array of ids) added, see tokenize(); tokens that don't decode to their text raise."""
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(Vocabulary.load(model))
 
     def run(batches):
         encoder = Encoder(shared.value, dropout, seed)
         for batch in small(batches, TOGETHER):
-            ids = encoder.encode_all([t or "" for t in batch.column(text).to_pylist()], [_variant(i, seed, variants) for i in batch.column(doc_id).to_pylist()])
+            texts, names = as_bytes(batch.column(text)), batch.column(doc_id).to_pylist()
+            ids = encoder.encode_all([t.decode() for t in texts], [_variant(i, seed) for i in names])
+            for name, t, x in zip(names, texts, ids):
+                if encoder.decode(x) != t:
+                    raise ValueError(f"the tokens of document {name} don't decode to its text")
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, tokens], [*batch.schema.names, "tokens"])
@@ -256,18 +257,17 @@ def encode_documents(docs: DataFrame, dropout: float = 0.1, seed: int = 0, varia
     return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("tokens", ArrayType(IntegerType())))
 
 
-def _variant(doc_id, seed: int, variants: int) -> int:
-    return xxhash.xxh64_intdigest(str(doc_id), seed) % max(1, variants)
+def _variant(doc_id, seed: int) -> int:
+    return xxhash.xxh64_intdigest(str(doc_id), seed)
 
 
-def tokenize(docs: DataFrame, dropout: float = 0.1, seed: int = 0, variants: int = 2, model: str = MODEL, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def tokenize(docs: DataFrame, dropout: float = 0.1, seed: int = 0, model: str = MODEL, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Encode whole texts with merge-dropout, decode them again and report both.
 
-    The keyed hash of the id picks one of `variants` segmentations, so the same word is cut differently in different documents, and
-    each worker remembers what it has cut. Spaces, U+2581, bytes outside the vocabulary and line ends all survive decoding.
+    Dropout is keyed by the id and by the place in the text, so the same word is cut differently from document to document and within one. Spaces, U+2581, bytes outside the vocabulary and line ends all survive decoding.
     Null and empty texts have no tokens; rows of one id are encoded each; an empty table gives none; other columns are ignored.
 
-    Returns doc_id, variant, n_chars, n_tokens, n_byte_pieces (byte fallbacks), n_types (distinct pieces), tokens_sha256 (of the ids as
+    Returns doc_id, variant (the low 31 bits of the id's hash), n_chars, n_tokens, n_byte_pieces (byte fallbacks), n_types (distinct pieces), tokens_sha256 (of the ids as
     little-endian int32), decoded_sha256, lossless.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
@@ -278,10 +278,10 @@ def tokenize(docs: DataFrame, dropout: float = 0.1, seed: int = 0, variants: int
         fallback[shared.value.bytes_] = True
         for batch in small(batches, TOGETHER):
             rows, texts = [], as_bytes(batch.column("text_"))
-            chosen, chars_of = [_variant(i, seed, variants) for i in batch.column("doc_id").to_pylist()], [t.decode() for t in texts]
+            chosen, chars_of = [_variant(i, seed) for i in batch.column("doc_id").to_pylist()], [t.decode() for t in texts]
             for variant, chars, t, ids in zip(chosen, chars_of, texts, encoder.encode_all(chars_of, chosen)):
                 back = encoder.decode(ids)
-                rows.append((variant, len(chars), len(ids), int(fallback[ids].sum()), len(np.unique(ids)), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back).hexdigest(), back == t))
+                rows.append((variant & 0x7FFFFFFF, len(chars), len(ids), int(fallback[ids].sum()), len(np.unique(ids)), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back).hexdigest(), back == t))
             columns = list(zip(*rows)) or [[]] * 8
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, kinds)]], ["doc_id", "variant", "n_chars", "n_tokens", "n_byte_pieces", "n_types", "tokens_sha256", "decoded_sha256", "lossless"])

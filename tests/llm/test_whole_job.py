@@ -1,5 +1,9 @@
 """Inputs on which an operator once did less than the whole job."""
 
+import numpy as np
+import pytest
+
+from lodestrata.llm import pieces
 from lodestrata.llm.toxicity import Scorer, beginnings, learn_stems
 
 
@@ -17,3 +21,30 @@ def test_beginnings_are_counted_by_texts():
     long = "z" * 50_000
     got = beginnings({"idiot": {1, 2}, "idioten": {2, 3}, "idol": {4}, long: {1, 5}})
     assert got == {"id": 4, "idiot": 3, "idiot$": 2, "idioten": 2, "idioten$": 2, "idol": 1, "idol$": 1, long: 2, long + "$": 2}
+
+
+def test_dropout_cuts_each_occurrence_anew(spark, monkeypatch):
+    e = pieces.Encoder(pieces.Vocabulary.load(), 0.1, 0)
+    texts = ["international " * 50 + "é \U0001f600 x" + "y" * 40] * 30
+    keys = [pieces._variant(i, 0) for i in range(30)]
+    cut = [c for t in texts for c in e.chunks.findall(" " + t)]
+    places = [*range(len(cut) // 30)] * 30
+    owners = [k for k in keys for _ in range(len(cut) // 30)]
+    got = e.segment_all(cut, owners, places)
+    assert got == [np.array(e.segment(*x), np.int32).tobytes() for x in zip(cut, owners, places)]
+    words = [{g for g, c, o in zip(got, cut, owners) if c == " international" and o == k} for k in keys]
+    assert min(map(len, words)) > 2 and len(set().union(*words)) > 10
+    whole = [x.tolist() for x in e.encode_all(texts, keys)]
+    monkeypatch.setattr(pieces, "CHUNKS", 60)
+    assert [x.tolist() for x in e.encode_all(texts, keys)] == whole == [e.encode(t, k).tolist() for t, k in zip(texts, keys)]
+    assert all(e.decode(np.array(x)) == t.encode() for x, t in zip(whole, texts))
+
+
+def test_encoding_checks_that_tokens_decode(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "some words"), (2, None), (3, "")], "doc_id long, text string")
+    assert [len(r.tokens) > 0 for r in pieces.encode_documents(df).orderBy("doc_id").collect()] == [True, False, False]
+    v = pieces.Vocabulary.load()
+    v.decoded[v.ids["s"]] = b"?"
+    monkeypatch.setattr(pieces.Vocabulary, "load", staticmethod(lambda path: v))
+    with pytest.raises(Exception, match="document 1 don't decode"):
+        pieces.encode_documents(df, dropout=1.0).collect()
