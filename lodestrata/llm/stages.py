@@ -9,7 +9,7 @@ from . import toxicity as tox
 from .common import checkpoint, read
 from .decontamination import decontaminate
 from .pieces import encode_documents
-from .simhash import near_duplicates
+from .simhash import similar_documents
 from .substring_dedup import substring_dedup
 
 #: So many ids (8 bytes each) are broadcast to drop their documents; more are dropped by a shuffled anti join.
@@ -29,12 +29,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near duplicates.
+    """The document with the least id of each group of near duplicates: five-word shingles with a Jaccard similarity of 0.8 at least.
 
-    Fingerprints of 1,024 bits over five-word shingles; a similarity of 0.8 moves 155 bits on average, deviating by 11.5, so up to 184 bits link.
-    Documents are compared where they share one of their four least shingle hashes.
+    Fingerprints of 1,024 bits find candidates where documents share one of their four least shingle hashes; their shingle sets decide.
     """
-    groups = near_duplicates(docs, shingle=5, radius=184, lanes=16, sketch=4)
+    groups = similar_documents(docs, shingle=5, radius=256, lanes=16, sketch=4, similarity=0.8)
     return without(docs, groups.filter("doc_id <> component_id OR component_id IS NULL"))
 
 

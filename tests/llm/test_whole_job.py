@@ -1,9 +1,13 @@
 """Inputs on which an operator once did less than the whole job."""
 
+import random
+
 import numpy as np
 import pytest
 
 from lodestrata.llm import pieces
+from lodestrata.llm.simhash import jaccard, shingle_hashes, similar_documents
+from lodestrata.llm.stages import drop_near_duplicates
 from lodestrata.llm.toxicity import Scorer, beginnings, learn_stems
 
 
@@ -48,3 +52,34 @@ def test_encoding_checks_that_tokens_decode(spark, monkeypatch):
     monkeypatch.setattr(pieces.Vocabulary, "load", staticmethod(lambda path: v))
     with pytest.raises(Exception, match="document 1 don't decode"):
         pieces.encode_documents(df, dropout=1.0).collect()
+
+
+def test_shingle_sets_decide_on_near_duplicates(spark):
+    r, texts = random.Random(11), {}
+    word = lambda: f"w{r.randint(0, 10**6)}"
+    for i in range(0, 120, 3):
+        base = [word() for _ in range(400)]
+        texts[i] = base
+        texts[i + 1] = [*base[:150], *(word() for _ in range(r.randint(35, 75))), *base[200:]]  # 0.7 to 0.8, about
+        texts[i + 2] = [*base[:150], *(word() for _ in range(30)), *base[180:]]  # 0.84
+    for i in range(200, 240, 2):
+        texts[i] = [word() for _ in range(8)]
+        texts[i + 1] = [*texts[i], word()]  # 4 of 5 shingles
+    fill, tail = ["x", "y", "z", "x", "q"] * 300, lambda: [word() for _ in range(40)]
+    texts[300], texts[301], texts[302] = fill + tail(), fill + tail(), []
+    texts[303] = []
+    texts = {i: " ".join(t) for i, t in texts.items()}
+    sets = {i: np.unique(shingle_hashes(t.encode(), 5)) for i, t in texts.items()}
+    want = {i: i for i in texts}
+    for i in texts:
+        for j in texts:
+            if j < i and jaccard(sets[i], sets[j]) >= 0.8:
+                a, b = sorted((want[i], want[j]))
+                want = {k: a if c == b else c for k, c in want.items()}
+    df = spark.createDataFrame([*texts.items(), (0, texts[200])], "doc_id long, text string")
+    got = [(x.doc_id, x.component_id) for x in similar_documents(df).collect()]
+    assert len(got) == len(texts) + 1 and {i: c for i, c in got if i not in (0, 1, 2, 200, 201)} == {i: c for i, c in want.items() if i not in (0, 1, 2, 200, 201)}
+    assert all(want[i + 1] == i for i in range(202, 240, 2)) and want[301] == 301
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    assert {x.doc_id for x in drop_near_duplicates(spark, df, "").collect()} == set(want.values())
+    assert similar_documents(df.limit(0)).count() == 0
