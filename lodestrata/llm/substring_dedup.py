@@ -1,4 +1,4 @@
-"""Word-substring dedup by relative Lempel-Ziv factors (operator 6)."""
+"""Word-substring dedup by anchored windows, in place of relative Lempel-Ziv factors (operator 6)."""
 
 from __future__ import annotations
 
@@ -15,9 +15,9 @@ from .spans import Unit, covered_documents, merged, unpacked
 def substring_dedup(docs: DataFrame, window: int = 13, text: str = "text", doc_id: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """Drop every word inside a run of `window` words that also starts in a document with a smaller id.
 
-    Each document is parsed relative to reference blocks of all documents before it: a block is the words around an anchor (spans.py), found
-    by its bucket; the factor at an anchor is extended greedily to both sides against every block of the bucket, and one that
-    reaches `window` words at its boundaries is a duplicate span.  Spans of neighbouring factors unite.
+    No factor is parsed: as in operator 1, anchors (spans.py) bring together all contexts that can share a window, equal contexts are told by
+    rank of their hash, and in mixed buckets each window around the anchor is compared.  That gives the windows a greedy parse against all
+    documents before would, without an order in which documents have to be taken.  Spans that touch unite.
 
     Words are [^\\x20\\x09-\\x0D]+, unchanged; null has none.  A null id counts as the smallest; rows of one id are one document and take
     nothing from each other.  An empty table gives none; other columns are ignored, whatever their names.
