@@ -3,7 +3,7 @@
 A window of W tokens (bytes or words) occurs twice only if the q-gram that has the least hash in it does.  Those q-grams, the
 anchors, are about 2 / (W - q + 2) of all positions; only they are shuffled, and only those that occur twice go on.  Equal
 contexts (all tokens of windows that may own the anchor) are told by a 63-bit hash of the context within the bucket; where the contexts of
-a bucket differ, `covered` sorts their tokens by bucket-pointer refinement and finds, for each, which windows around the anchor also
+a bucket differ, `covered` sorts their tokens by radix refinement and finds, for each, which windows around the anchor also
 start earlier.
 """
 
@@ -150,10 +150,10 @@ def word_anchors(words: np.ndarray, offsets: np.ndarray, window: int, q: int) ->
 
 
 def refine(buckets: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
-    """Bucket-pointer refinement: each row's bucket pointer (the sorted place of its bucket's first row).
+    """Radix refinement of isolated contexts: each row's bucket pointer (the sorted place of its bucket's first row).
 
-    Rows start in the given buckets.  Step by step every bucket of several rows is sorted on the bucket identifiers of the next
-    offset, its rows get the pointers of their new, smaller buckets, and the next step starts from those; single rows are done.
+    Rows start in the given buckets.  Step by step every bucket of several rows is sorted on its raw content at the next
+    offset (pointers of later offsets aren't reused), its rows get the pointers of their new, smaller buckets, and the next step starts from those; single rows are done.
     """
     order = np.argsort(buckets, kind="stable")
     pointer = np.empty(len(buckets), np.int64)

@@ -1,4 +1,4 @@
-"""Exact byte-substring dedup by bucket-pointer refinement (operator 1)."""
+"""Exact byte-substring dedup by anchors and radix refinement, in place of bucket-pointer refinement (operator 1)."""
 
 from __future__ import annotations
 
