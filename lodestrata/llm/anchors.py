@@ -1,14 +1,14 @@
-"""Content-chosen anchors and exact window matching around them.
+"""Content-chosen anchors: where windows that may repeat meet.
 
 A window of W tokens (bytes or words) occurs twice only if the q-gram that has the least hash in it does.  Those q-grams, the
-anchors, are about 2 / (W - q + 2) of all positions; only they are shuffled, and only those that occur twice go on.  Equal
-contexts (all tokens of windows that may own the anchor) are told by a 63-bit hash of the context within the bucket; where the contexts of
-a bucket differ, `covered` sorts their tokens by radix refinement and finds, for each, which windows around the anchor also
-start earlier.
+anchors, are about 2 / (W - q + 2) of all positions; only they are shuffled, and only those that occur twice go on.  The hashes here
+choose and deal anchors, no more: two q-grams of one hash share a bucket, in which contents are compared.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _R = 0x9E3779B97F4A7C15 | 1
@@ -78,15 +78,10 @@ def window_starts(ends: np.ndarray, starts: np.ndarray, n: int, width: int) -> n
     return np.cumsum(step[:n]) == 0
 
 
-def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, salt: np.ndarray) -> np.ndarray:
-    """Hashes of [start, end) of what `prefix` runs over, each with a salt."""
-    return mix((prefix[end] - prefix[start]) * _powers(_RINV, len(prefix))[start] + mix(salt.astype(np.uint64) + np.uint64(1)))
-
-
-def byte_anchors(data: np.ndarray, offsets: np.ndarray, window: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of all texts that lie end to end in data: positions, hashes, and hashes of the contexts. Works piece by piece, within the cache."""
+def byte_anchors(data: np.ndarray, offsets: np.ndarray, window: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors of all texts that lie end to end in data: positions and hashes. Works piece by piece, within the cache."""
     valid = window_starts(offsets[1:], offsets[:-1], len(data), window)
-    width, left, at, out, around = window - q + 1, window - q, [], [], []
+    width, left, at, out = window - q + 1, window - q, [], []
     for s in range(0, len(data), _CHUNK):
         ok = valid[s : s + _CHUNK]
         ok = ok[: max(0, min(len(ok), len(data) - s - window + 1))]
@@ -98,32 +93,33 @@ def byte_anchors(data: np.ndarray, offsets: np.ndarray, window: int, q: int) ->
         p = pick_anchors(h, ok, width)
         at.append(p + s)
         out.append(h[p])
-        around.append(_context_hashes(prefix, base, p + s, offsets, left, window))
     if not at:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     at, first = np.unique(np.concatenate(at), return_index=True)
-    return at, np.concatenate(out)[first], np.concatenate(around)[first]
+    return at, np.concatenate(out)[first]
 
 
-def _context_hashes(prefix: np.ndarray, base: int, at: np.ndarray, offsets: np.ndarray, left: int, right: int) -> np.ndarray:
-    doc = np.searchsorted(offsets, at, "right") - 1
-    start, end = np.maximum(at - left, offsets[doc]), np.minimum(at + right, offsets[doc + 1])
-    return span_hashes(prefix, start - base, end - base, (at - start) * 1024 + end - at)
+def digests(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """96 bits of BLAKE2b of each range of bytes, as rows of three uint32: ranges of one digest are taken to be equal."""
+    view, digest = memoryview(data), hashlib.blake2b
+    return np.frombuffer(b"".join([digest(view[a:b], digest_size=12).digest() for a, b in zip(starts.tolist(), ends.tolist())]), np.uint32).reshape(-1, 3)
 
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(9, 14)]] = True
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words [^\\x20\\x09-\\x0D]+ of all texts, and where each text's words start among them (one more at the end)."""
+def word_edges(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts end to end, starts and ends of their words [^\\x20\\x09-\\x0D]+, and where each text's words begin among them (one more at the end)."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    space = _SPACE[data]
-    edge = np.diff(space.astype(np.int8), prepend=np.int8(1))
+    joined = b"\n".join(texts) + b"\n"
+    edge = np.diff(_SPACE[np.frombuffer(joined, np.uint8)].astype(np.int8), prepend=np.int8(1))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    out = np.empty(len(starts), np.uint64)
-    first = 0
+    return joined, starts, ends, np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths)]))
+
+
+def hash_words(joined: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    data, out, first = np.frombuffer(joined, np.uint8), np.empty(len(starts), np.uint64), 0
     while first < len(starts):
         last = max(first + 1, int(np.searchsorted(ends, starts[first] + _CHUNK, "right")))
         base = starts[first]
@@ -131,100 +127,23 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         a, b = starts[first:last] - base, ends[first:last] - base
         out[first:last] = mix((p[b] - p[a]) * _powers(_RINV, len(p))[a])
         first = last
-    return out, np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths)]))
+    return out
+
 
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, and where each text's words begin among them (one more at the end)."""
+    joined, starts, ends, offsets = word_edges(texts)
+    return hash_words(joined, starts, ends), offsets
 
-def word_anchors(words: np.ndarray, offsets: np.ndarray, window: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def word_anchors(words: np.ndarray, offsets: np.ndarray, window: int, q: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(words) - q + 1
     if len(words) < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     h = np.zeros(n, np.uint64)
     for j in range(q):
         h = h * np.uint64(_R) + words[j : j + n]
     h = mix(h) | np.uint64(1)
     valid = window_starts(offsets[1:], offsets[:-1], len(words), window)[: len(words) - window + 1]
     p = pick_anchors(h, valid, window - q + 1)
-    prefix = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * _powers(_R, len(words)), out=prefix[1:])
-    return p, h[p], _context_hashes(prefix, 0, p, offsets, window - q, window)
-
-
-def refine(buckets: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
-    """Radix refinement of isolated contexts: each row's bucket pointer (the sorted place of its bucket's first row).
-
-    Rows start in the given buckets.  Step by step every bucket of several rows is sorted on its raw content at the next
-    offset (pointers of later offsets aren't reused), its rows get the pointers of their new, smaller buckets, and the next step starts from those; single rows are done.
-    """
-    order = np.argsort(buckets, kind="stable")
-    pointer = np.empty(len(buckets), np.int64)
-    active = order
-    pointer[order] = 0
-    first = True
-    for column in [buckets, *columns]:
-        if not len(active):
-            break
-        key, old = column[active], pointer[active]
-        order = np.argsort(key, kind="stable") if first else np.lexsort((key, old))
-        first = False
-        active, key, old = active[order], key[order], old[order]
-        new_old = np.concatenate([[True], old[1:] != old[:-1]])
-        new = new_old | np.concatenate([[True], key[1:] != key[:-1]])
-        place = np.arange(len(active))
-        begin = np.maximum.accumulate(np.where(new, place, 0)) - np.maximum.accumulate(np.where(new_old, place, 0))
-        pointer[active] = old + begin
-        alone = new & np.concatenate([new[1:], [True]])
-        active = active[~alone]
-    return pointer
-
-
-def _words(rows: np.ndarray) -> list[np.ndarray]:
-    """Columns of bucket identifiers: the tokens themselves, bytes by eights."""
-    if rows.dtype != np.uint8:
-        return list(rows.T)
-    n, w = rows.shape
-    padded = np.zeros((n, -(-w // 8) * 8), np.uint8)
-    padded[:, :w] = rows
-    return list(padded.view(">u8").astype(np.uint64).T)
-
-
-def _order(group: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted order of zero-filled rows within groups, and how many tokens each has in common with the one before it (-1: another group)."""
-    order = np.argsort(refine(group, _words(rows)), kind="stable")
-    common = np.full(len(order), -1, np.int64)
-    if len(order) > 1:
-        a, b = order[1:], order[:-1]
-        differ = rows[a] != rows[b]
-        n = np.where(differ.any(1), differ.argmax(1), rows.shape[1])
-        common[1:] = np.where(group[a] == group[b], n, -1)
-    return order, common
-
-
-def covered(group: np.ndarray, who: np.ndarray, rows: np.ndarray, left: int, window: int, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows in order of rank within each group: the farthest start before, and end after, the anchor of windows that start at an earlier `who` too.
-
-    rows: contexts, the anchor at column `left`; before, after: their real tokens.  Returns (a, b), b = 0 for none: tokens from -a to b are covered.
-    """
-    n = len(group)
-    lo, hi = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    if n < 2:
-        return lo, hi
-    # Fill beyond a document's ends may tie with real tokens; rows whose real tokens don't reach are left out window by window.
-    by_right, right_common = _order(group, rows[:, left:])
-    by_left, left_common = _order(group, rows[:, :left][:, ::-1])
-    lid, rid = np.empty(n, np.int64), np.empty(n, np.int64)
-    for a in range(left + 1):
-        ok = (before >= a) & (after >= window - a)
-        if ok.sum() < 2:
-            continue
-        lid[by_left] = np.cumsum(left_common < a)
-        rid[by_right] = np.cumsum(right_common < window - a)
-        at = np.flatnonzero(ok)
-        key = lid[at] * n + rid[at]
-        order = np.argsort(key, kind="stable")
-        key, at = key[order], at[order]
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        first = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
-        hit = at[who[first] != who[at]]
-        lo[hit] = a
-        hi[hit] = np.where(hi[hit] == 0, window - a, hi[hit])
-    return lo, hi
+    return p, h[p]

@@ -1,14 +1,15 @@
-"""Removal of token windows that also start earlier in the corpus: what suffix-array (bytes) and substring (words) dedup share.
+"""Token windows that also start earlier in the corpus: what suffix-array (bytes) and substring (words) dedup share.
 
-Plan, two passes over the texts and no text leaves its own document key:
+Plan, two passes over the texts; texts are exchanged by document only:
 
-1. anchors of all documents, with a hash of their context -> one exchange by anchor hash, and window functions: what repeats an
-   earlier context whole is covered; the first of each context goes on if its bucket has other contexts; the rest is unique;
+1. anchors of all documents, with a digest of their context (the tokens of all windows that may own the anchor) -> one exchange by anchor, an initial
+   bucket each: what repeats an earlier context whole is covered; the first of each context goes on if its bucket has others; the rest is unique;
 2. those meet their documents again (exchange of texts by document, read twice by exchange reuse), which send the tokens around
-   each first -> one exchange by anchor hash, sorted; every bucket is refined and yields covered ranges;
+   each first -> one exchange by bucket, sorted by document and place: the operator compares contents and yields covered ranges;
 3. ranges meet their documents, which drop the tokens.
 
-So copies, however many, cost an anchor row each and no context; what a batch repeats within itself doesn't meet in a bucket.  A bucket is read in rank order as a stream, whatever its length.
+So copies, however many, cost an anchor row each and no context; what a batch repeats within itself doesn't meet in a bucket. A bucket of over HOT different
+contexts (a very common line in ever new surroundings) isn't gathered: its windows are dealt one by one, by their content.
 """
 
 from __future__ import annotations
@@ -24,7 +25,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from . import anchors as A
-from .common import as_bytes, binary_matrix, binary_rows, doc_key, partitions, small, whole_groups
+from .common import as_bytes, doc_key, partitions, small
+
+#: Different contexts of a bucket up to which one task compares them.
+HOT = 4096
+_LOW = 0xFFFFFFFF
+#: What the second exchange carries: context null for a window that is known to be covered.
+CONTEXTS = "h long, k long, tag long, pos int, before int, context binary"
+RANGES = "k long, tag long, start long, end long"
+
+Covers = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+@dataclass(frozen=True)
+class Tokens:
+    """Texts as tokens: bytes end to end, edges of the tokens in them, and where each text's tokens begin (one more at the end)."""
+
+    data: bytes
+    starts: np.ndarray | None
+    ends: np.ndarray | None
+    offsets: np.ndarray
+
+    def cut(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ranges as byte ranges."""
+        return (a, b) if self.starts is None else (self.starts[a], self.ends[b - 1])
 
 
 @dataclass(frozen=True)
@@ -41,19 +65,26 @@ class Unit:
     def left(self) -> int:
         return self.window - self.gram
 
-    def tokens(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if self.words:
-            return A.word_hashes(texts)
+    def tokens(self, texts: list[bytes]) -> Tokens:
+        if self.words:  # one space between words, so that equal words are equal bytes
+            return Tokens(*A.word_edges([b" ".join(t.split()) for t in texts]))
         offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
-        return np.frombuffer(b"".join(texts), np.uint8), offsets
+        return Tokens(b"".join(texts), None, None, offsets)
+
+    def anchors(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        if self.words:
+            return A.word_anchors(A.hash_words(t.data, t.starts, t.ends), t.offsets, self.window, self.gram)
+        return A.byte_anchors(np.frombuffer(t.data, np.uint8), t.offsets, self.window, self.gram)
 
-    def anchors(self, tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return (A.word_anchors if self.words else A.byte_anchors)(tokens, offsets, self.window, self.gram)
+    def around(self, t: Tokens, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The context of an anchor: from the first to behind the last token of its document's windows that may own it."""
+        return np.maximum(at - self.left, t.offsets[doc]), np.minimum(at + self.window, t.offsets[doc + 1])
 
 
 def keyed(docs: DataFrame, text: str, doc_id: str, keep: list[str]) -> DataFrame:
-    """Rows under (k, crc): the document id, null as the smallest, and a checksum that tells rows of one id apart."""
-    return docs.select(doc_key(doc_id).alias("k"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("crc"), F.col(text).alias("text_"), *[F.col(c).alias(f"c{i}_") for i, c in enumerate(keep)])
+    """Rows under (k, tag): the document id, null as the smallest, and a 64-bit hash that tells rows of one id apart; alike rows have one result."""
+    tag = F.xxhash64(F.col(doc_id).isNull(), F.col(text).isNull(), F.coalesce(F.col(text), F.lit("")))
+    return docs.select(doc_key(doc_id).alias("k"), tag.alias("tag"), F.col(text).alias("text_"), *[F.col(c).alias(f"c{i}_") for i, c in enumerate(keep)])
 
 
 def packed(batches):
@@ -72,32 +103,61 @@ def unpacked(column: pa.Array) -> list[bytes]:
     return [decompress(x) if x else b"" for x in column.to_pylist()]
 
 
-def _anchors_of(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _anchors_of(unit: Unit) -> Covers:
     def run(batches):
         for batch in small(batches):
-            texts = as_bytes(batch.column("text_"))
-            tokens, offsets = unit.tokens(texts)
-            at, h, context = unit.anchors(tokens, offsets)
-            doc = np.searchsorted(offsets, at, "right") - 1
-            k, crc = (batch.column(c).to_numpy()[doc] for c in ("k", "crc"))
-            pos = at - offsets[doc]
-            loc = pos << 32 | crc
+            t = unit.tokens(as_bytes(batch.column("text_")))
+            at, h = unit.anchors(t)
+            doc = np.searchsorted(t.offsets, at, "right") - 1
+            start, end = unit.around(t, at, doc)
+            d = A.digests(t.data, *t.cut(start, end))
+            # Contexts are alike only if the anchor stands at the same place in them.
+            c1 = (d[:, 0].astype(np.uint64) | d[:, 1].astype(np.uint64) << np.uint64(32)) ^ A.mix((at - start).astype(np.uint64) + np.uint64(1)) | np.uint64(1)
+            k, tag = (batch.column(c).to_numpy()[doc] for c in ("k", "tag"))
+            pos = at - t.offsets[doc]
             # What repeats a context within this batch is covered already: under a bucket of its own, so that no bucket grows with its copies.
-            order = np.lexsort((pos, k, context, h))
+            order = np.lexsort((pos, k, d[:, 2], c1, h))
             new = np.ones(len(order), bool)
-            new[1:] = (h[order][1:] != h[order][:-1]) | (context[order][1:] != context[order][:-1])
+            new[1:] = (h[order][1:] != h[order][:-1]) | (c1[order][1:] != c1[order][:-1]) | (d[order, 2][1:] != d[order, 2][:-1])
             first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
             later = k[order] != k[first]
             later = order[later if unit.other_document else later | (pos[order] != pos[first])]
-            context |= np.uint64(1)
-            context[later] = 0
-            h[later] = A.mix(A.mix(k[later].view(np.uint64)) ^ loc[later].view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(context.view(np.int64)), pa.array(k), pa.array(loc)], ["h", "context", "k", "loc"])
+            c1[later] = 0
+            h[later] = A.mix(A.mix(k[later].view(np.uint64) ^ A.mix(tag[later].view(np.uint64))) ^ pos[later].view(np.uint64))
+            low = tag.view(np.uint64) & np.uint64(_LOW)
+            c2, loc = d[:, 2].astype(np.uint64) << np.uint64(32) | tag.view(np.uint64) >> np.uint64(32), pos.astype(np.uint64) << np.uint64(32) | low
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (h, c1, c2)), pa.array(k), pa.array(loc.view(np.int64))], ["h", "c1", "c2", "k", "loc"])
 
     return run
 
 
-def _contexts_of(unit: Unit):
+def _contexts_of(unit: Unit) -> Covers:
+    def rows(h, k, tag, pos, before, contexts) -> pa.RecordBatch:
+        arrays = [pa.array(h, pa.int64()), pa.array(k, pa.int64()), pa.array(tag, pa.int64()), pa.array(pos, pa.int32()), pa.array(before, pa.int32()), pa.array(contexts, pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, ["h", "k", "tag", "pos", "before", "context"])
+
+    def windows(t: Tokens, start, end, base, k, tag) -> Iterator[pa.RecordBatch]:
+        """Contexts of hot buckets window by window, each under a bucket that its content names; what this batch repeats is known to be covered."""
+        n = np.maximum(end - start - unit.window + 1, 0)
+        doc = np.repeat(np.arange(len(n)), n)
+        a = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + start[doc]
+        view, (lo, hi) = memoryview(t.data), t.cut(a, a + unit.window)
+        d = A.digests(t.data, lo, hi)
+        h = d[:, 0].astype(np.uint64) | d[:, 1].astype(np.uint64) << np.uint64(32)
+        k, tag, pos = k[doc], tag[doc], a - base[doc]
+        order = np.lexsort((pos, k, d[:, 2], h))
+        new = np.ones(len(order), bool)
+        new[1:] = (h[order][1:] != h[order][:-1]) | (d[order, 2][1:] != d[order, 2][:-1])
+        first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        other = k[order] != k[first]
+        known = np.zeros(len(order), bool)
+        known[order] = other if unit.other_document else other | (pos[order] != pos[first])
+        h = np.where(known, A.mix(k.view(np.uint64) ^ A.mix(tag.view(np.uint64) + pos.astype(np.uint64))), h).view(np.int64)
+        for s in range(0, len(a), 20_000):
+            cut = slice(s, s + 20_000)
+            contexts = [None if x else bytes(view[i:j]) for x, i, j in zip(known[cut].tolist(), lo[cut].tolist(), hi[cut].tolist())]
+            yield rows(h[cut], k[cut], tag[cut], pos[cut], np.zeros(len(contexts), np.int32), contexts)
+
     def run(batches):
         for batch in small(batches):
             found = batch.column("found").combine_chunks() if isinstance(batch.column("found"), pa.ChunkedArray) else batch.column("found")
@@ -106,70 +166,30 @@ def _contexts_of(unit: Unit):
             if not len(some):
                 continue
             part = batch.take(pa.array(some))
-            tokens, offsets = unit.tokens(unpacked(part.column("text_")))
+            t = unit.tokens(unpacked(part.column("text_")))
             flat = part.column("found").flatten()
             doc = np.repeat(np.arange(len(some)), counts[some])
-            first = flat.field("h").is_valid()
-            flat, doc = flat.filter(first), doc[first.to_numpy(zero_copy_only=False)]
+            go_on = flat.field("h").is_valid()
+            flat, doc = flat.filter(go_on), doc[go_on.to_numpy(zero_copy_only=False)]
             h, pos = flat.field("h").to_numpy(), flat.field("pos").to_numpy().astype(np.int64)
-            k, crc = part.column("k").to_numpy()[doc], part.column("crc").to_numpy()[doc]
-            at, start, end = pos + offsets[doc], offsets[doc], offsets[doc + 1]
+            hot = pos < 0
+            pos = np.where(hot, -1 - pos, pos)
+            k, tag, base = part.column("k").to_numpy()[doc], part.column("tag").to_numpy()[doc], t.offsets[doc]
+            at, view = pos + base, memoryview(t.data)
+            start, end = unit.around(t, at, doc)
+            lo, hi = t.cut(start, end)
             for s in range(0, len(at), 10_000):
-                cut = slice(s, s + 10_000)
-                before, after = np.minimum(at[cut] - start[cut], unit.left), np.minimum(end[cut] - at[cut], unit.window)
-                index = at[cut, None] + np.arange(-unit.left, unit.window)
-                inside = (index >= start[cut, None]) & (index < end[cut, None])
-                rows = np.where(inside, tokens[np.clip(index, 0, len(tokens) - 1)], tokens.dtype.type(0))
-                rows = np.hstack([np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1), np.stack([before, after], 1).astype(np.uint8)])
-                yield pa.RecordBatch.from_arrays([pa.array(h[cut]), pa.array(k[cut]), pa.array(pos[cut] << 32 | crc[cut]), binary_rows(rows)], ["h", "k", "loc", "context"])
-
-    return run
-
-
-def _covers_of(unit: Unit):
-    size = (unit.left + unit.window) * (8 if unit.words else 1) + 2
-
-    def run(batches):
-        carry = None
-        for table, goes_on in whole_groups(batches, "h"):
-            h, k, loc = (table.column(c).to_numpy() for c in ("h", "k", "loc"))
-            rows = binary_matrix(table.column("context"), size)
-            fresh = np.ones(len(h), bool)
-            if carry is not None and carry[0][0] == h[0]:
-                h, k, loc, rows = (np.concatenate([old, new]) for old, new in zip(carry, (h, k, loc, rows)))
-                fresh = np.concatenate([np.zeros(len(carry[0]), bool), fresh])
-            carry = None
-            body = np.ascontiguousarray(rows[:, :-2]) if not unit.words else np.ascontiguousarray(rows[:, :-2]).view(np.uint64)
-            before, after = rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64)
-            new = np.concatenate([[True], h[1:] != h[:-1]])
-            group = np.cumsum(new)
-            step = (k[1:] != k[:-1]) if unit.other_document else (k[1:] != k[:-1]) | (loc[1:] >> 32 != loc[:-1] >> 32)
-            who = np.cumsum(np.concatenate([[True], step]) | new)
-            for part in _parts(group, 60_000):
-                a, b = A.covered(group[part], who[part], body[part], unit.left, unit.window, before[part], after[part])
-                hit = np.flatnonzero((b > 0) & fresh[part])
-                if len(hit):
-                    pos, crc = loc[part][hit] >> 32, loc[part][hit] & 0xFFFFFFFF
-                    yield pa.RecordBatch.from_arrays([pa.array(k[part][hit]), pa.array(crc), pa.array((pos - a[hit]).astype(np.int64)), pa.array((pos + b[hit]).astype(np.int64))], ["k", "crc", "start", "end"])
-            if goes_on:
-                _, first = np.unique(rows.view([("", np.uint8, size)]).ravel(), return_index=True)
-                first.sort()
-                carry = tuple(x[first] for x in (h, k, loc, rows))
+                own = np.flatnonzero(~hot[s : s + 10_000]) + s
+                if len(own):
+                    yield rows(h[own], k[own], tag[own], pos[own], (at - start)[own], [bytes(view[i:j]) for i, j in zip(lo[own].tolist(), hi[own].tolist())])
+            own = np.flatnonzero(hot)
+            for s in range(0, len(own), 10_000):
+                x = own[s : s + 10_000]
+                yield from windows(t, start[x], end[x], base[x], k[x], tag[x])
 
     return run
 
 
-def _parts(group: np.ndarray, rows: int):
-    """Slices of about so many rows that end where a group ends."""
-    edges = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
-    begin = 0
-    while begin < len(group):
-        nxt = int(edges[np.searchsorted(edges, begin, "right")])
-        end = max(nxt, int(edges[np.searchsorted(edges, min(begin + rows, len(group)), "right") - 1]))
-        yield slice(begin, end)
-        begin = end
-
-
 def merged(unit: Unit, n: int, found: list | None, ranges: list | None) -> list[tuple[int, int]]:
     """The covered ranges of a document of n tokens, united: whole contexts of `found`, and `ranges`."""
     whole = [(max(0, x["pos"] - unit.left), min(n, x["pos"] + unit.window)) for x in found or () if x["h"] is None]
@@ -182,23 +202,28 @@ def merged(unit: Unit, n: int, found: list | None, ranges: list | None) -> list[
     return [tuple(x) for x in out]
 
 
-def covered_documents(docs: DataFrame, unit: Unit, text: str, doc_id: str, keep: list[str]) -> DataFrame:
-    """Rows of docs as (k, crc, text_, c0_..., found, ranges): text_ packed, and what merged() takes, null for none."""
+def covered_documents(docs: DataFrame, unit: Unit, covers: Covers, text: str, doc_id: str, keep: list[str]) -> DataFrame:
+    """Rows of docs as (k, tag, text_, c0_..., found, ranges): text_ packed, and what merged() takes, null for none.
+
+    covers: from rows CONTEXTS of whole buckets, each in order of k and pos, to RANGES.
+    """
     n = partitions(docs.sparkSession)
     rows = keyed(docs, text, doc_id, keep)
-    at = rows.select("k", "crc", "text_").mapInArrow(_anchors_of(unit), "h long, context long, k long, loc long")
-    bucket, same, pos = Window.partitionBy("h"), Window.partitionBy("h", "context"), F.shiftright("loc", 32)
-    repeats = F.col("k") > F.first("k").over(same.orderBy("k", pos)) if unit.other_document else F.rank().over(same.orderBy("k", pos)) > 1
-    mixed = F.min("context").over(bucket) != F.max("context").over(bucket)
-    known = F.col("context") == 0
-    at = at.withColumn("repeats", known | repeats).withColumn("mixed", mixed).filter("repeats OR mixed")
-    element = F.struct(F.when(~F.col("repeats"), F.col("h")).alias("h"), pos.cast("int").alias("pos"))
-    lists = at.groupBy("k", F.col("loc").bitwiseAND(0xFFFFFFFF).alias("crc")).agg(F.collect_list(element).alias("found"))
+    at = rows.select("k", "tag", "text_").mapInArrow(_anchors_of(unit), "h long, c1 long, c2 long, k long, loc long").repartition(n, "h")
+    at = at.withColumn("d", F.shiftright("c2", 32)).withColumn("pos", F.shiftright("loc", 32).cast("int"))
+    bucket, same = Window.partitionBy("h"), Window.partitionBy("h", "c1", "d").orderBy("k", "pos")
+    # Rank, not row number: a repeated row ties with its twin and takes nothing from it.
+    repeats = (F.col("c1") == 0) | ((F.col("k") > F.first("k").over(same)) if unit.other_document else (F.rank().over(same) > 1))
+    at = at.withColumn("nth", F.row_number().over(same)).withColumn("repeats", repeats)
+    at = at.withColumn("contexts", F.count(F.when(F.col("nth") == 1, 1)).over(bucket)).filter("repeats OR contexts > 1")
+    element = F.struct(F.when(~F.col("repeats"), F.col("h")).alias("h"), F.when(F.col("repeats") | (F.col("contexts") <= HOT), F.col("pos")).otherwise(-1 - F.col("pos")).alias("pos"))
+    tag = F.shiftleft("c2", 32).bitwiseOR(F.col("loc").bitwiseAND(_LOW))
+    lists = at.groupBy("k", tag.alias("tag")).agg(F.collect_set(element).alias("found"))
     kinds = StructType([StructField("text_", BinaryType()) if f.name == "text_" else f for f in rows.schema])
-    spread = rows.mapInArrow(packed, kinds).repartition(n, "k", "crc")
-    both = spread.join(lists.hint("shuffle_hash"), ["k", "crc"], "left")
+    spread = rows.mapInArrow(packed, kinds).repartition(n, "k", "tag")
+    both = spread.join(lists.hint("shuffle_hash"), ["k", "tag"], "left")
     # Both uses take the same columns, else their exchanges of texts would differ and be written twice.
-    around = both.mapInArrow(_contexts_of(unit), "h long, k long, loc long, context binary")
-    ranges = around.repartition(n, "h").sortWithinPartitions("h", "k", "loc").mapInArrow(_covers_of(unit), "k long, crc long, start long, end long")
-    ranges = ranges.groupBy("k", "crc").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    return both.join(ranges.hint("shuffle_hash"), ["k", "crc"], "left")
+    around = both.mapInArrow(_contexts_of(unit), CONTEXTS)
+    ranges = around.repartition(n, "h").sortWithinPartitions("h", "k", "pos").mapInArrow(covers, RANGES)
+    ranges = ranges.groupBy("k", "tag").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
+    return both.join(ranges.hint("shuffle_hash"), ["k", "tag"], "left")

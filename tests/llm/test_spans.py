@@ -5,9 +5,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lodestrata.llm.anchors import covered, refine, word_hashes
-from lodestrata.llm.substring_dedup import substring_dedup
-from lodestrata.llm.suffix_dedup import suffix_dedup
+from lodestrata.llm import spans
+from lodestrata.llm.anchors import word_hashes
+from lodestrata.llm.substring_dedup import ReferenceBlock, parsed_buckets, substring_dedup
+from lodestrata.llm.suffix_dedup import bucket_pointers, covered, refined_buckets, suffix_dedup
 
 CLASH = "doc_id long, text string, h long, k long, crc long, found string, text_ string, ranges int, kept string"
 
@@ -96,31 +97,92 @@ def test_carried_columns_and_texts(spark):
     assert got == {1: (passage + " end", "en"), 2: ("start", "de"), 3: ("alone  here", None)}
 
 
-def test_refinement_sorts():
+@pytest.mark.parametrize("depth", [5, 8, 13, 100])
+def test_refinement_sorts_suffixes(depth):
     r = np.random.default_rng(0)
-    groups, rows = r.integers(0, 3, 500), r.integers(0, 3, (500, 6)).astype(np.uint64)
-    order = np.argsort(refine(groups, list(rows.T)), kind="stable")
-    got = [(groups[i], *rows[i]) for i in order]
-    assert got == sorted(got)
-
-
-def test_long_bucket_is_carried(monkeypatch):
-    """A bucket longer than a step gives the same ranges as one read whole."""
-    from functools import partial
-
-    from lodestrata.llm import common, spans
-
-    r, unit = random.Random(9), spans.Unit(70, 32, False, False)
-    rows = np.array([[r.choice(b"abc") if not 8 < j < 100 else 120 for j in range(unit.left + 70)] + [unit.left, 70] for _ in range(600)], np.uint8)
-    n = len(rows)
-    batch = pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int64)), pa.array(np.arange(n)), pa.array(np.arange(n) % 5 + 50 << 32), common.binary_rows(rows)], ["h", "k", "loc", "context"])
-
-    def ranges(least):
-        monkeypatch.setattr(spans, "whole_groups", partial(common.whole_groups, least=least))
-        cut = [batch.slice(i, 50) for i in range(0, n, 50)]
-        return sorted(x for b in spans._covers_of(unit)(iter(cut)) for x in zip(*(c.to_pylist() for c in b.columns)))
-
-    assert ranges(10_000) == ranges(60) and len(ranges(60)) > 100
+    text = np.concatenate([r.integers(97, 100, 400), np.full(150, 97), r.integers(97, 99, 300)]).astype(np.uint8)
+    raw = bytes(text) + b"\0" * depth
+    pointers = bucket_pointers(text, depth)
+    suffixes = [raw[i : i + depth] for i in range(len(text))]
+    first = {x: n for n, x in reversed(list(enumerate(sorted(suffixes), 1)))}
+    assert pointers.tolist() == [first[x] for x in suffixes]
+
+
+def bucket_rows(unit, n=600):
+    """Contexts of one bucket: a common middle between different ends."""
+    r = random.Random(9)
+    size = unit.left + unit.window
+    tokens = [[r.choice("abc") if j < 3 or j >= size - unit.gram - 2 else "x" for j in range(size)] for _ in range(n)]
+    rows = [(" " if unit.words else "").join(x).encode() for x in tokens]
+    columns = [np.ones(n, np.int64), np.arange(n), np.arange(n), (np.arange(n) % 5 + 50).astype(np.int32), np.full(n, unit.left, np.int32)]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(rows, pa.binary())], ["h", "k", "tag", "pos", "before", "context"])
+
+
+@pytest.mark.parametrize("unit", [spans.Unit(70, 32, False, False), spans.Unit(13, 5, True, True)])
+def test_long_bucket_is_carried(monkeypatch, unit):
+    """A bucket longer than a step gives the ranges that brute force gives."""
+    from lodestrata.llm import common, suffix_dedup as module
+
+    batch, seen, want = bucket_rows(unit), {}, []
+    for k, pos, before, context in zip(*(batch.column(c).to_pylist() for c in ("k", "pos", "before", "context"))):
+        x = context.split() if unit.words else context
+        own = [(k, 0 if unit.words else pos - before + s) for s in range(unit.left + 1)]
+        hits = [s for s in range(unit.left + 1) if seen.setdefault(tuple(x[s : s + unit.window]), own[s]) < own[s]]
+        if hits:
+            want.append((k, k, pos - before + hits[0], pos - before + hits[-1] + unit.window))
+    covers = parsed_buckets(unit.window) if unit.words else refined_buckets(unit.window)
+    for least in (10_000, 60):
+        monkeypatch.setattr(module, "whole_groups", lambda b, key, _, least=least: common.whole_groups(b, key, least))
+        cut = [batch.slice(i, 50) for i in range(0, batch.num_rows, 50)]
+        got = sorted(x for b in covers(iter(cut)) for x in zip(*(c.to_pylist() for c in b.columns)))
+        assert got == want and len(want) > 50
+
+
+def test_hot_buckets_are_dealt_by_window(spark, monkeypatch):
+    r = random.Random(11)
+    line, rows = "this very common line stands in each of the documents of the corpus, and it is longer than a window of bytes is", []
+    for i in range(150):
+        rows.append((i, " ".join(r.choice("abcd") * r.randint(1, 3) for _ in range(20)) + " " + line + " " + " ".join(r.choice("xyz") * r.randint(1, 3) for _ in range(20))))
+    monkeypatch.setattr(spans, "HOT", 7)
+    got = sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup(frame(spark, rows), 100).collect())
+    assert got == brute_bytes(rows, 100)
+    got = sorted((x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in substring_dedup(frame(spark, rows), 13).collect())
+    assert got == brute_words(rows, 13)
+
+
+def test_windows_longer_than_a_byte_counts(spark):
+    r = random.Random(12)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(420))
+    rows = [(1, "start " + passage), (2, passage[:400] + "END"), (3, "x" + passage[60:370] + "y")]
+    got = sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup(frame(spark, rows), 300).collect())
+    assert got == brute_bytes(rows, 300) and got[1][2] == 400 and got[2][2] == 310
+
+
+def test_words_are_compared_not_hashes(spark):
+    """Two words that a polynomial hash modulo 2^64 can't tell apart, whatever its base."""
+    thue = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    other = "".join("ba"[i.bit_count() % 2] for i in range(1024))
+    rows = [(1, " ".join(["u"] * 6 + [thue] + ["v"] * 6)), (2, " ".join(["u"] * 6 + [other] + ["v"] * 6)), (3, "z" * 40 + thue), (4, "z" * 40 + other)]
+    assert sorted((x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in substring_dedup(frame(spark, rows), 13).collect()) == brute_words(rows, 13)
+    assert sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup(frame(spark, rows), 100).collect()) == brute_bytes(rows, 100)
+
+
+def test_rows_of_one_id(spark):
+    """Many rows without an id, each its own text; repeated rows; the least id there is."""
+    r = random.Random(13)
+    rows = [(None, f"{i} " + " ".join(str(r.randint(0, 9)) for _ in range(60))) for i in range(300)]
+    rows += [(7, rows[0][1])] * 40 + [(-(2**63), rows[1][1]), (8, rows[1][1] + " " + rows[2][1])]
+    assert sorted((-1 if x.doc_id is None else x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in substring_dedup(frame(spark, rows), 13).collect()) == brute_words(rows, 13)
+    assert sorted((-1 if x.doc_id is None else x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup(frame(spark, rows), 100).collect()) == brute_bytes(rows, 100)
+
+
+def test_greedy_factors_and_their_ends():
+    block = ReferenceBlock(4)
+    block.add(b"a b c d e")
+    block.add(b"d e f g h")
+    assert block.covered(b"z a b c d e f g h z") == (1, 9)  # one factor, and one that begins before its end
+    assert block.covered(b"a b c z d e f") == (0, 0) and block.covered(b"x c d e f z") == (0, 0)
+    assert block.covered(b"q d e f g") == (1, 5)
 
 
 def test_words_hash_alike_everywhere():
@@ -130,6 +192,6 @@ def test_words_hash_alike_everywhere():
 
 
 def test_covered_windows():
-    rows = np.array([list(b"xxABCDyy"), list(b"zzABCDyy")], np.uint8)
-    lo, hi = covered(np.zeros(2, int), np.arange(2), rows, 2, 5, np.array([2, 2]), np.array([6, 6]))
-    assert (lo[0], hi[0]) == (0, 0) and (lo[1], hi[1]) == (0, 5)
+    text = np.frombuffer(b"xxABCDyyzzABCDyy", np.uint8)
+    lo, hi = covered(text, np.array([8, 16]), np.arange(2), np.zeros(2, int), 5)
+    assert (lo[0], hi[0]) == (0, 0) and (lo[1], hi[1]) == (2, 8)
