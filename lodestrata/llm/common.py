@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import ctypes
 import os
+import posixpath
+import re
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -20,18 +23,30 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of our own only where that is unset (local tests)."""
+    """The shared folder of spark.checkpoint.dir. Where that is unset a local session gets a folder of its own; a cluster has none that its machines share, so raises."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         if got.isDefined():
             return got.get()
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"file://{tempfile.gettempdir()}/lodestrata-checkpoints-{os.getuid()}"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(where)
     return where
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path under the shared folder."""
+    return posixpath.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut lineage through the reliable checkpoint in the shared folder."""
     checkpoint_dir(df.sparkSession)

@@ -1,4 +1,4 @@
-"""Benchmark decontamination by a positional inverted index (operator 2), DataFrame functions only."""
+"""Benchmark decontamination by a stored positional inverted index (operator 2), DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -7,10 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpoint, drop_folder, work_folder
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: So many distinct test windows (about 20 MB with their terms) are broadcast to one scan; more are taken in blocks, a scan each.
-BLOCK_WINDOWS = 100_000
+#: Bytes of a table (checked) up to which it is broadcast; larger ones meet the postings in shuffled joins.
+BROADCAST_BYTES = 32 << 20
 
 
 def words(text: Column) -> Column:
@@ -30,69 +32,114 @@ def benchmark_windows(items: DataFrame, window: int, text: str, item_id: str) ->
     return w.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("w", s + 1, window))).alias("terms")).select("item_id", "terms", F.array_join("terms", " ").alias("win"))
 
 
-def _matches(base: DataFrame, wins: DataFrame, extra: int) -> DataFrame:
-    """(doc_id, th, start, end, items) of every occurrence of a window; wins: a block that is small enough to broadcast."""
-    terms = wins.select("win", "terms", "items", F.posexplode("terms").alias("offset", "exact")).withColumn("term", F.lower("exact"))
-    # lower() folds more than A-Z: a superset here; the comparison below is exact.
-    vocabulary = terms.select("term").distinct()
-    counts = base.select(F.explode("w").alias("term")).select(F.lower("term").alias("term")).join(F.broadcast(vocabulary), "term", "left_semi").groupBy("term").count()
-    # A window with a term that has no count is in no document.
-    rarest = terms.join(counts, "term", "left").groupBy("win").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "term", "offset", "terms", "items")).alias("r")).filter("r.count > 0")
-    lookups = rarest.groupBy("r.term").agg(F.collect_list(F.struct("r.offset", "r.terms", "r.items")).alias("wins"))
-    postings = (
-        base.select("doc_id", "th", "w", F.posexplode("w").alias("pos", "word"))
-        .withColumn("term", F.lower("word"))
-        .join(F.broadcast(lookups), "term")
-        .select("doc_id", "th", "pos", "w", F.explode("wins").alias("x"))
-    )
-    start, length = F.col("pos") - F.col("x.offset"), F.size("x.terms")
-    if not extra:
-        there = postings.filter(start >= 0).select("doc_id", "th", start.alias("start"), (start + length).alias("end"), "x", F.slice("w", start + 1, length).alias("there"))
-        return there.filter(F.transform("there", ascii_lower) == F.col("x.terms")).select("doc_id", "th", "start", "end", "x.items")
-    # From every place of the first term near the posting, each next term is taken where it comes first: the shortest such span.
-    begin = F.greatest(F.lit(0), start - extra)
-    span = F.transform(F.slice("w", begin + 1, length + 2 * extra), ascii_lower)
-    there = postings.select("doc_id", "th", begin.alias("begin"), length.alias("length"), "x", span.alias("span"))
-    heads = there.select("*", F.posexplode("span").alias("at", "head")).filter(F.col("head") == F.element_at("x.terms", 1))
-    heads = heads.withColumn("tail", F.slice("span", F.col("at") + 1, F.col("length") + extra))
-    step = lambda acc, t: F.when(F.array_contains(acc, t), F.slice(acc, F.array_position(acc, t).cast("int") + 1, F.size(acc) + 1))
-    heads = heads.withColumn("left", F.aggregate("x.terms", F.col("tail"), step)).filter("left is not null")
-    first = F.col("begin") + F.col("at")
-    return heads.select("doc_id", "th", first.alias("start"), (first + F.size("tail") - F.size("left")).alias("end"), "x.items")
+def _bounded(df: DataFrame, size: Column) -> DataFrame:
+    """df, marked for broadcast if its rows' sizes sum up to BROADCAST_BYTES at most."""
+    total = df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+
+
+def store_postings(base: DataFrame, vocabulary: DataFrame, folder: str) -> DataFrame:
+    """The index: (tid, doc_id, th, pos) of every word of the corpus that is a test term, written once and read from there."""
+    tokens = base.select("doc_id", "th", F.posexplode("w").alias("pos", "word"))
+    # lower() folds more than A-Z: the comparison of the terms decides.
+    found = tokens.join(_bounded(vocabulary, F.octet_length("term") + F.octet_length("low") + 32), F.lower("word") == F.col("low"))
+    found.filter(ascii_lower(F.col("word")) == F.col("term")).select("tid", "doc_id", "th", "pos").write.option("compression", "zstd").parquet(folder)
+    return base.sparkSession.read.parquet(folder)
+
+
+def _same_row(a: str, b: str) -> Column:
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.th") == F.col(f"{b}.th"))
+
+
+def _of_rows(postings: DataFrame, some: DataFrame) -> DataFrame:
+    """Postings of the rows (doc_id, th) that `some` has."""
+    rows = some.select("doc_id", "th").distinct()
+    return postings.alias("p").join(_bounded(rows, F.octet_length(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) + 32).alias("r"), _same_row("p", "r"), "left_semi")
+
+
+def _phrases(postings: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(doc_id, th, wid, start, end): starts that the lists of all a window's terms imply, once their offsets are taken off."""
+    first = _bounded(ranked.select("wid", F.size("by_count").alias("n"), F.col("by_count")[0]["offset"].alias("o1"), F.col("by_count")[0]["tid"].alias("t1"), F.get("by_count", F.lit(1))["offset"].alias("o2"), F.get("by_count", F.lit(1))["tid"].alias("t2")), F.lit(64))
+    starts = postings.join(first, F.col("tid") == F.col("t1")).select("doc_id", "th", "wid", (F.col("pos") - F.col("o1")).alias("start"), "n", "o2", "t2").filter("start >= 0")
+    starts = checkpoint(starts.distinct())  # repeated rows have one list
+    # The second rarest list, only of terms that are second somewhere.
+    seconds = postings.join(_bounded(ranked.select(F.get("by_count", F.lit(1))["tid"].alias("t")).filter("t IS NOT NULL").distinct(), F.lit(32)), F.col("tid") == F.col("t"), "left_semi")
+    on = _same_row("s", "p") & (F.col("s.start") + F.col("s.o2") == F.col("p.pos")) & (F.col("s.t2") == F.col("p.tid"))
+    two = checkpoint(starts.filter("n > 1").alias("s").join(seconds.alias("p"), on, "left_semi").select("doc_id", "th", "wid", "start", "n"))
+    # What is left is mostly real: the lists of all further terms, of these rows only, each adjusted by its offset; a start has to be in every one.
+    rest = ranked.select("wid", F.explode(F.slice("by_count", 3, F.greatest(F.size("by_count") - 2, F.lit(0)))).alias("x")).select("wid", "x.offset", "x.tid")
+    wanted = two.filter("n > 2").join(_bounded(rest, F.lit(48)), "wid").select("doc_id", "th", "wid", "start", "n", (F.col("start") + F.col("offset")).alias("at"), "tid")
+    lists = _of_rows(postings, two.filter("n > 2")).dropDuplicates(["tid", "doc_id", "th", "pos"])
+    on = _same_row("s", "p") & (F.col("s.at") == F.col("p.pos")) & (F.col("s.tid") == F.col("p.tid"))
+    met = wanted.alias("s").join(lists.alias("p"), on, "left_semi").groupBy("doc_id", "th", "wid", "start", "n").agg(F.count(F.lit(1)).alias("met"))
+    found = reduce(DataFrame.unionByName, [x.select("doc_id", "th", "wid", "start", "n") for x in (starts.filter("n = 1"), two.filter("n = 2"), met.filter("met = n - 2"))])
+    return found.select("doc_id", "th", "wid", "start", (F.col("start") + F.col("n")).alias("end"))
+
+
+def _spans(postings: DataFrame, ranked: DataFrame, extra: int) -> DataFrame:
+    """As _phrases(), with up to `extra` other words among a window's terms, which stand in order."""
+    first = _bounded(ranked.select("wid", F.size("tids").alias("n"), F.col("by_count")[0]["offset"].alias("o1"), F.col("by_count")[0]["tid"].alias("t1"), F.get("by_count", F.lit(1))["tid"].alias("t2")), F.lit(64))
+    near = postings.join(first, F.col("tid") == F.col("t1")).select("doc_id", "th", "wid", (F.col("pos") - F.col("o1") - extra).alias("begin"), "n", "t2").distinct()
+    near = checkpoint(near.withColumn("stop", F.col("begin") + F.col("n") + 2 * extra))
+    lists = _of_rows(postings, near).dropDuplicates(["tid", "doc_id", "th", "pos"])
+    inside = (F.col("p.pos") >= F.col("s.begin")) & (F.col("p.pos") < F.col("s.stop"))
+    two = near.alias("s").join(lists.alias("p"), _same_row("s", "p") & F.coalesce(F.col("s.t2") == F.col("p.tid"), F.lit(False)) & inside, "left_semi")
+    two = checkpoint(two.unionByName(near.filter("t2 IS NULL")).drop("t2"))
+    terms = ranked.select("wid", F.explode(F.array_distinct("tids")).alias("tid"))
+    there = two.join(_bounded(terms, F.lit(32)), "wid").alias("s").join(lists.alias("p"), _same_row("s", "p") & (F.col("s.tid") == F.col("p.tid")) & inside)
+    there = there.groupBy("s.doc_id", "s.th", "s.wid", "s.begin").agg(F.collect_set(F.struct("p.pos", "p.tid")).alias("list")).join(_bounded(ranked.select("wid", "tids"), F.lit(32) + 8 * F.size("tids")), "wid")
+    # From each place of the first term, every next one where it comes first: the shortest span from there.
+    heads = there.withColumn("head", F.explode(F.filter("list", lambda x: x["tid"] == F.col("tids")[0])["pos"]))
+    # the lambda reads tids beside its own variables
+    step = lambda at, t: F.array_min(F.transform(F.filter("list", lambda x: (x["tid"] == t) & (x["pos"] > at)), lambda x: x["pos"]))
+    last = F.aggregate(F.slice("tids", 2, F.greatest(F.size("tids") - 1, F.lit(0))), F.col("head"), step)
+    return heads.withColumn("end", last + 1).filter(F.col("end") - F.col("head") <= F.size("tids") + extra).select("doc_id", "th", "wid", F.col("head").alias("start"), "end").distinct()
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", near: int | None = None) -> DataFrame:
     """Exact phrase matches of the items' word windows in documents.
 
-    1. The terms of all windows get their counts in the corpus (summed before the shuffle).
-    2. Each distinct window is represented by its rarest term; only those terms' postings (document, position) are drawn, each with
-       the offset-adjusted start it implies and the words from there on.
-    3. Lists are intersected from the rarest term on: a start survives if the posting of each other offset is the window's term
-       there. The words at the offsets come with the posting, so that is a comparison within the row and needs no list of a common term.
+    1. The corpus is tokenised into a positional index of the test terms: (term, document, position), written as Parquet in the shared folder.
+    2. Counts of the lists rank each distinct window's terms by rarity.
+    3. Lists are intersected from the rarest term on, offsets taken off: the rarest list gives starts, the second rarest leaves few of them,
+       and a start that is left has to be in the lists of all further terms.
     4. Words inside any surviving phrase are hits.
 
-    With near=k a window also matches where its terms stand, in order, with up to k other words among them in all (proximity).
+    With near=k a window also matches where its terms stand, in order, with up to k other words among them in all (proximity): from the same lists.
 
     Words: A-Z lower-cased, [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+. Null texts have none; null ids are kept, one document per input row, repeated
-    rows of an id share their union of hits; empty tables give no hits or no rows; other columns are ignored.
+    rows of an id share their union of hits; empty tables give no hits or no rows; other columns are ignored. Ids may have any type that compares.
 
     Returns for each input row: doc_id, n_words, n_hit, n_items, items_sha256 (sorted item ids, comma-joined), contaminated,
     spans (array of start, end in words).
     """
+    spark = docs.sparkSession
     # A row's own key: repeated ids with other texts stay apart.
     base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), words(F.col(text)).alias("w"))
-    wins = benchmark_windows(items, window, item_text, item_id).groupBy("win", "terms").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
-    blocks = -(-wins.count() // BLOCK_WINDOWS)
-    matched = [_matches(base, wins.filter(F.pmod(F.xxhash64("win"), F.lit(blocks)) == i) if blocks > 1 else wins, near or 0) for i in range(max(1, blocks))]
-    matched = reduce(DataFrame.unionAll, matched)
+    wins = benchmark_windows(items, window, item_text, item_id).groupBy("win", "terms").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    wins = checkpoint(wins.withColumn("wid", F.monotonically_increasing_id()))
+    terms = wins.select("wid", F.posexplode("terms").alias("offset", "term"))
+    vocabulary = checkpoint(terms.select("term").distinct().withColumn("low", F.lower("term")).withColumn("tid", F.monotonically_increasing_id()))
+    folder = work_folder(spark, "postings")
+    postings = store_postings(base, vocabulary, folder)
+    counts = postings.groupBy("tid").agg(F.count(F.lit(1)).alias("count"))
+    # A window with a term that has no list is in no document.
+    placed = terms.join(vocabulary, "term").join(counts, "tid", "left").groupBy("wid").agg(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "offset", "tid")).alias("x"))
+    in_order = F.transform(F.array_sort(F.transform("x", lambda y: F.struct(y["offset"].alias("offset"), y["tid"].alias("tid")))), lambda y: y["tid"])
+    ranked = checkpoint(placed.filter(~F.exists("x", lambda y: y["count"] == 0)).select("wid", F.array_sort("x").alias("by_count"), in_order.alias("tids")))
+    matched = _spans(postings, ranked, near) if near else _phrases(postings, ranked)
+    matched = matched.join(_bounded(wins.select("wid", "items"), F.octet_length(F.array_join("items", ",")) + 32), "wid")
     found = matched.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     # Hit words: sorted spans, each adding what lies beyond the ends before it.
     hit = F.aggregate(F.array_sort("spans"), F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("n")), lambda a, s: F.struct(F.greatest(a["to"], s["end"]).alias("to"), (a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(a["to"], s["start"]))).alias("n")), lambda a: a["n"])
-    found = found.select("doc_id", "th", hit.alias("n_hit"), "items", F.array_sort("spans").alias("spans"))
+    found = checkpoint(found.select("doc_id", "th", hit.alias("n_hit"), "items", F.array_sort("spans").alias("spans")))
+    drop_folder(spark, folder)
     rows = base.select("doc_id", "th", F.size("w").cast("long").alias("n_words"))
-    both = rows.alias("r").join(found.alias("f"), F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("r.th") == F.col("f.th")), "left")
+    small = _bounded(found, F.octet_length(F.array_join("items", ",")) + 8 * F.size("spans") + 64)
+    both = rows.alias("r").join(small.alias("f"), _same_row("r", "f"), "left")
     n_hit = F.coalesce("f.n_hit", F.lit(0).cast("long"))
-    return both.select("r.doc_id", "r.n_words", n_hit.alias("n_hit"), F.coalesce(F.size("f.items"), F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce(F.array_join("f.items", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "f.spans").withColumn("n_items", F.when(F.col("n_items") < 0, 0).otherwise(F.col("n_items")))
+    n_items = F.greatest(F.coalesce(F.size("f.items"), F.lit(0)), F.lit(0)).cast("long")
+    return both.select("r.doc_id", "r.n_words", n_hit.alias("n_hit"), n_items.alias("n_items"), F.sha2(F.coalesce(F.array_join("f.items", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "f.spans")
 
 
 SQL = r"""

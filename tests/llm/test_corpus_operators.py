@@ -66,13 +66,13 @@ def test_decontamination(spark):
     assert not decontaminate(d, b.limit(0)).filter("contaminated").count()
 
 
-def test_decontamination_in_blocks(spark, monkeypatch):
+def test_decontamination_without_broadcasts(spark, monkeypatch):
     from lodestrata.llm import decontamination as D
 
     rows = some(2)
     d, b = docs(spark, rows), spark.createDataFrame([(i, t) for i, t in rows[:9]], "item_id long, text string")
     want = sorted(map(str, decontaminate(d, b).drop("spans").collect()))
-    monkeypatch.setattr(D, "BLOCK_WINDOWS", 40)
+    monkeypatch.setattr(D, "BROADCAST_BYTES", 0)
     assert sorted(map(str, decontaminate(d, b).drop("spans").collect())) == want
 
 
@@ -195,23 +195,57 @@ def test_stems_are_learned_only_with_enough_proof():
 # 5
 
 
+def top(rows, wanted, k=5):
+    """Brute force in whole numbers."""
+    q = {}
+    for i, x in rows:
+        if i is not None and x is not None and None not in x and np.isfinite(x).all():
+            q.setdefault(i, []).append([int(c) * 256 if abs(c) > 1e15 else int(np.floor(256 * c)) for c in x])
+    want = []
+    for i in q:
+        if wanted(i):
+            best = sorted((-sum(x * y for x, y in zip(a, b)), j) for a in q[i] for j in q if j != i for b in q[j] if len(a) == len(b))[:k]
+            want += [(i, n + 1, j, max(-(2**63), min(2**63 - 1, -s))) for n, (s, j) in enumerate(best)]
+    return sorted(want)
+
+
 @pytest.mark.parametrize("dim", [3, 16])
 def test_top_k(spark, dim):
     r = np.random.default_rng(7)
-    v = r.normal(size=(700, dim)).round(2).tolist()
-    rows = [(i, x) for i, x in enumerate(v)] + [(700, None), (701, [None] * dim), (702, [float("nan")] * dim), (703, [float("inf")] * dim), (704, [1.0] * (dim + 1)), (705, v[3]), (None, v[4]), (706, [1e30] * dim), (707, [0.0] * dim)]
+    v = r.normal(size=(700, dim)).round(2).astype(np.float32).astype(float).tolist()
+    rows = [(i, x) for i, x in enumerate(v)] + [(700, None), (701, [None] * dim), (702, [float("nan")] * dim), (703, [float("inf")] * dim), (704, [1.0] * (dim + 1)), (705, v[3]), (None, v[4]), (707, [0.0] * dim), (708, []), (750, [])]
     df = spark.createDataFrame([(i, x, "s") for i, x in rows], "vec_id long, embedding array<float>, pack string")
-    q = {i: np.floor(256 * np.array(x, np.float32).astype(float)).astype(int) for i, x in rows if i is not None and x is not None and None not in x and np.isfinite(x).all() and max(map(abs, x)) < 1e6}
-    want = []
-    for i, a in q.items():
-        if i % 50 == 0 or i == 704:
-            best = sorted(((-int(a @ b), j) for j, b in q.items() if j != i and len(b) == len(a)))[:5]
-            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
     got = [tuple(x) for x in top_k(df, df.filter("vec_id % 50 = 0 OR vec_id = 704")).collect()]
-    assert sorted(got) == sorted(want)
+    assert sorted(got) == top(rows, lambda i: i % 50 == 0 or i == 704)
     assert top_k(df.limit(0), df).count() == 0 and top_k(df, df.limit(0)).count() == 0
 
 
+def test_top_k_of_large_vectors(spark):
+    """Finite vectors of any size take part, as queries and as candidates."""
+    r = np.random.default_rng(8)
+    rows = [(i, x) for i, x in enumerate((r.normal(size=(300, 8)) * 3).tolist())]
+    rows += [(1000 + i, x) for i, x in enumerate((r.normal(size=(60, 8)) * 10.0 ** r.integers(3, 9, (60, 1))).tolist())]
+    rows += [(50, rows[7][1]), (2000, [1e30] * 8), (2001, [-1e30, *[1e12] * 7]), (2050, [1e300] * 8), (2051, [1e300, *[1.0] * 7]), (2100, [40000.0] * 8), (2101, [40000.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(x) for x in top_k(df, df.filter("vec_id % 50 = 0")).collect()]
+    assert sorted(got) == top(rows, lambda i: i % 50 == 0)
+
+
+def test_top_k_over_many_trees(spark, monkeypatch):
+    """Trees and blocks of few vectors, summaries sent in turns, a hot direction that holds a third of all."""
+    from lodestrata.llm import topk as K
+
+    r = np.random.default_rng(9)
+    v = r.normal(size=(900, 6))
+    v[::3] = v[0] + r.normal(size=(300, 6)) * 0.01
+    rows = list(enumerate(v.tolist()))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for name, value in (("TREE", 40), ("BLOCK", 7), ("LEAF", 8), ("SEED", 20), ("SUMMARY_BYTES", 600)):
+        monkeypatch.setattr(K, name, value)
+    got = [tuple(x) for x in top_k(df, df.filter("vec_id % 5 = 0"), k=3).collect()]
+    assert sorted(got) == top(rows, lambda i: i % 5 == 0, 3)
+
+
 # 9
 
 
