@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, partitions
@@ -13,7 +15,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, text: str = "text", doc_id
 
     A shard is decided by the bytes before a row: floor(shards * before / total), so each ends within one row of its target.  Rows
     are dealt by ranges of the id; each partition's totals give it its offset (one row a partition reaches the driver, no more), and
-    rows then number themselves within their partition.  Ties of the id go by checksum and size, null ids come first, null texts
+    rows then number themselves within their partition, in two streams over it and no further exchange.  Ties of the id go by checksum and size, null ids come first, null texts
     have no bytes, an empty table gives none, other columns are ignored.
 
     Returns doc_id, size, text_crc32, law ('bytes'), shard, slot (gapless from 0 in each shard), grown_shard (null: the law fixes no
@@ -24,28 +26,49 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, text: str = "text", doc_id
     rows = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body).alias("text_crc32"))
     order = ["doc_id", "text_crc32", "size"]
     # Sorted by range: which rows share a partition must not change between the totals and their use, hence the checkpoint.
-    rows = checkpoint(rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
+    rows = checkpoint(rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
     totals = sorted((r.part, r.size, r.n) for r in rows.groupBy("part").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect())
-    before, total, n, offsets = 0, sum(t[1] for t in totals), 0, []
-    for part, size, count in totals:
-        offsets.append((part, before, n))
-        before, n = before + size, n + count
-    inside = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    base = F.create_map(*[F.lit(x) for p, b, _ in offsets for x in (p, b)]) if offsets else F.create_map(F.lit(-1), F.lit(0))
-    start = F.element_at(base, F.col("part")).cast("long") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    # decimal: bytes times shards may pass 2^63 in a large corpus
-    numbered = rows.withColumn("shard", F.floor(start.cast("decimal(38,0)") * shards / F.lit(max(total, 1)).cast("decimal(20,0)")).cast("int"))
-    # A shard's rows in a partition are contiguous: its slots go on from its rows in the partitions before.
-    seen = sorted((r.shard, r.part, r.n) for r in numbered.groupBy("part", "shard").agg(F.count(F.lit(1)).alias("n")).collect())
-    slots, last, run = [], None, 0
-    for shard, part, count in seen:
-        run = run if shard == last else 0
-        slots.append((part * shards + shard, run))
-        last, run = shard, run + count
-    first = F.create_map(*[F.lit(x) for k, v in slots for x in (k, v)]) if slots else F.create_map(F.lit(-1), F.lit(0))
-    own = Window.partitionBy("part", "shard").orderBy("at")
-    slot = F.element_at(first, F.col("part") * shards + F.col("shard")).cast("long") + F.row_number().over(own) - 1
-    return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    before, offsets = 0, {}
+    for part, size, _ in totals:
+        offsets[part], before = before, before + size
+    # A row is in the last shard whose first byte isn't behind the row's: whole numbers of any size here, so nothing overflows.
+    edges = [-(-s * before // shards) for s in range(shards)]
+
+    def numbered(slots: dict[tuple[int, int], int] | None):
+        """Rows with their shard, and their slot from where the partition's slots begin; without those the first pass: rows of each shard."""
+
+        def run(batches):
+            at, seen, bounds = None, {}, np.array(edges, np.int64)
+            for batch in batches:
+                size, part = batch.column("size").to_numpy(), batch.column("part").to_numpy()
+                for p in np.unique(part).tolist():  # one: a partition's rows stay together
+                    own = np.flatnonzero(part == p)
+                    at = offsets[p] if at is None else at
+                    ends = at + np.cumsum(size[own])
+                    shard = (np.searchsorted(bounds, ends - size[own], "right") - 1).astype(np.int32)
+                    at, slot = int(ends[-1]), np.zeros(len(own), np.int64)
+                    for s in np.unique(shard).tolist():
+                        mine = shard == s
+                        first = seen.get((p, s), 0)
+                        seen[p, s] = first + int(mine.sum())
+                        if slots is not None:
+                            slot[mine] = slots[p, s] + first + np.arange(mine.sum())
+                    if slots is not None:
+                        yield pa.RecordBatch.from_arrays([*batch.select(["doc_id", "size", "text_crc32"]).take(pa.array(own)).columns, pa.array(shard), pa.array(slot)], ["doc_id", "size", "text_crc32", "shard", "slot"])
+            if slots is None and seen:
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.int32()), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["part", "shard", "n"])
+
+        return run
+
+    # A shard's rows in a partition are contiguous: its slots go on from its rows in the partitions before. At most partitions + shards rows come here.
+    slots, last, held = {}, None, 0
+    for shard, part, n in sorted((r.shard, r.part, r.n) for r in rows.mapInArrow(numbered(None), "part int, shard int, n long").collect()):
+        held = held if shard == last else 0
+        slots[part, shard] = held
+        last, held = shard, held + n
+    kind = docs.schema[doc_id].dataType.simpleString()
+    out = rows.mapInArrow(numbered(slots), f"doc_id {kind}, size long, text_crc32 long, shard int, slot long")
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 #: DuckDB has no CRC-32: its reflected polynomial, four bits at a time, low half of each byte first.

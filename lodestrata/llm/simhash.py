@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 from collections.abc import Callable
 from itertools import combinations
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 from .anchors import mix
 from .common import NULL_ID, as_bytes, binary_matrix, binary_rows, checkpoint, doc_key, partitions, small, whole_groups
 
-#: Members of a tree node up to which it is a leaf, compared in one go.
-LEAF = 32
+#: Members of a tree node up to which it is a leaf, compared in one go; members of a shard up to which it is one tree; bytes of trees broadcast at once.
+LEAF, HOT, BROADCAST_BYTES = 8, 4096, 32 << 20
 
 
 def shingle_hashes(text: bytes, size: int, seed: int = 42) -> np.ndarray:
@@ -77,54 +78,95 @@ def fingerprints(docs: DataFrame, shingle: int, lanes: int = 1, sketch: int = 0,
     return rows.mapInArrow(run, f"id {kind}, k long, fp binary, keys array<long>, same long")
 
 
-def tree_links(fps: np.ndarray, radius: int, check: Callable[[int, int], bool] | None = None) -> np.ndarray:
-    """For each fingerprint (row of uint64 lanes) the first member of its component under distance <= radius, by a BK-tree.
+class Forest:
+    """Which of n things are connected: each points to a lesser one of its own tree, roots to themselves."""
 
-    With `check`, only links that it confirms count; it isn't asked about what is already one component.
+    def __init__(self, n: int):
+        self.up = np.arange(n)
 
-    A node's members hang below it by their distance to it. All members search the tree together: of those that reach a node, only
-    the ones whose distance to it is within the radius of an edge follow that edge.  Subtrees of up to LEAF members aren't divided.
-    """
-    n = len(fps)
-    label = np.arange(n)
-    step = max(1, 20_000 // fps.shape[1])  # so that a leaf's distances stay within the cache
+    def roots(self, of: np.ndarray) -> np.ndarray:
+        at = self.up[of]
+        while not np.array_equal(above := self.up[at], at):
+            at = above
+        self.up[of] = at
+        return at
+
+    def root(self, i: int) -> int:
+        while (j := int(self.up[i])) != i:
+            self.up[i] = self.up[j]
+            i = j
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        i, j = self.root(i), self.root(j)
+        if i != j:
+            self.up[max(i, j)] = min(i, j)
 
-    def unite(hits: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> None:
-        # Each row's hits fall together; links within what is already one component cost nothing.
-        own = label[columns]
+    def unite(self, hits: np.ndarray, rows: np.ndarray, columns: np.ndarray, check: Callable[[int, int], bool] | None = None) -> None:
+        """Each row's hits fall together; hits within what is already one component cost nothing. check: confirms a link, if it isn't implied."""
+        n, own, mine = len(self.up), self.roots(columns), self.roots(rows)
         low, high = np.where(hits, own, n).min(1), np.where(hits, own, -1).max(1)
-        for i in np.flatnonzero((low != high) | (low != label[rows])):
-            if check:  # each pair comes in both directions
-                for c in columns[hits[i]].tolist():
-                    if c < rows[i] and label[c] != label[rows[i]] and check(c, int(rows[i])):
-                        least, other = sorted((label[c], label[rows[i]]))
-                        label[label == other] = least
+        for i in np.flatnonzero((high >= 0) & ((low != high) | (low != mine))).tolist():
+            for c in columns[hits[i]].tolist():
+                if check is None or self.root(c) != self.root(int(rows[i])) and check(c, int(rows[i])):
+                    self.join(c, int(rows[i]))
+
+
+class BKTree:
+    """Fingerprints (rows of uint64 lanes) below one another by integer distance: a node's children are keyed by how far their members are from it.
+
+    Members are kept in tree order, so that a subtree is a range; a subtree of up to LEAF members is a leaf and isn't divided.
+    """
+
+    def __init__(self, fps: np.ndarray):
+        self.order = np.arange(len(fps))
+        #: node: start and end of its subtree, children as (distance, node); a leaf has none.
+        self.nodes: list[tuple[int, int, list[tuple[int, int]]]] = []
+        todo = [(0, len(fps), None, 0)]
+        while todo:
+            start, stop, parent, edge = todo.pop()
+            if parent is not None:
+                self.nodes[parent][2].append((edge, len(self.nodes)))
+            self.nodes.append((start, stop, []))
+            if stop - start <= LEAF:
                 continue
-            seen = np.unique(np.append(label[columns[hits[i]]], label[rows[i]]))
-            if len(seen) > 1:
-                label[np.isin(label, seen)] = seen[0]
-
-    def distances(rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(fps[rows][:, None, :] ^ fps[columns][None, :, :]).sum(2, dtype=np.int16)
-
-    todo = [(np.arange(n), np.arange(n))]
-    while todo:
-        members, queries = todo.pop()
-        if len(members) <= LEAF:
-            for s in range(0, len(queries), step):
-                part = queries[s : s + step]
-                unite(distances(members, part) <= radius, members, part)
-            continue
-        root = members[:1]
-        to_query, to_member = distances(root, queries)[0], distances(root, members[1:])[0]
-        unite((to_query <= radius)[None, :], root, queries)
-        order = np.argsort(to_member, kind="stable")
-        edges, first = np.unique(to_member[order], return_index=True)
-        for e, below in zip(edges, np.split(members[1:][order], first[1:])):
-            follow = queries[np.abs(to_query - e) <= radius]
-            if len(follow):
-                todo.append((below, follow))
-    return label
+            below = self.order[start + 1 : stop]
+            away = np.bitwise_count(fps[below] ^ fps[self.order[start]]).sum(1, dtype=np.int16)
+            by = np.argsort(away, kind="stable")
+            self.order[start + 1 : stop] = below[by]
+            edges, first = np.unique(away[by], return_index=True)
+            for e, i, j in zip(edges.tolist(), first.tolist(), [*first[1:].tolist(), len(by)]):
+                todo.append((start + 1 + i, start + 1 + j, len(self.nodes) - 1, e))
+        self.fps = fps[self.order]
+
+    def visit(self, queries: np.ndarray, radius: int):
+        """(members, queries, hits): members' and queries' indexes, and which are within the radius. Of the queries that reach a node only those whose
+        distance to it is within the radius of an edge follow that edge."""
+        step = max(1, 20_000 // self.fps.shape[1])  # so that a leaf's distances stay within the cache
+        todo = [(0, np.arange(len(queries)))] if len(self.fps) else []
+        while todo:
+            node, at = todo.pop()
+            start, stop, children = self.nodes[node]
+            members = self.order[start : start + 1 if children else stop]
+            for s in range(0, len(at), step):
+                part = at[s : s + step]
+                away = np.bitwise_count(self.fps[start : start + len(members)][:, None, :] ^ queries[part][None, :, :]).sum(2, dtype=np.int16)
+                yield members, part, away <= radius
+                for edge, child in children:
+                    follow = part[np.abs(away[0] - edge) <= radius]
+                    if len(follow):
+                        todo.append((child, follow))
+
+
+def tree_links(fps: np.ndarray, radius: int, check: Callable[[int, int], bool] | None = None) -> np.ndarray:
+    """For each fingerprint the first member of its component under distance <= radius, by a BK-tree that all search together.
+
+    With `check`, only links that it confirms count; it isn't asked about what is already one component.
+    """
+    forest = Forest(len(fps))
+    for members, queries, hits in BKTree(fps).visit(fps, radius):
+        forest.unite(hits, members, queries, (lambda i, j: i != j and check(i, j)) if check else None)
+    return forest.roots(np.arange(len(fps)))
 
 
 def block_keys(fps: np.ndarray, radius: int) -> list[np.ndarray]:
@@ -138,10 +180,11 @@ def block_keys(fps: np.ndarray, radius: int) -> list[np.ndarray]:
 
 
 def links(nodes: DataFrame, radius: int, lanes: int = 1) -> DataFrame:
-    """Star links (a, b), a > b, that connect whatever is within the radius and shares a shard; nodes: (rep, fp, keys), one per distinct fingerprint.
+    """Links (a, b) that connect whatever is within the radius and shares a shard; nodes: (rep, fp, keys), one per distinct fingerprint.
 
-    Shards are keyed by `keys`, or with none by block_keys, which misses no link of 64-bit fingerprints. Each shard's rows are
-    streamed in order of key into one tree; a shard yields at most a link per member, never its pairs.
+    Shards are keyed by `keys`, or with none by block_keys, which misses no link of 64-bit fingerprints. A shard of up to HOT members is one
+    tree in one task, which yields a link per member at most. A hot shard is dealt into trees of up to HOT members, which are broadcast,
+    BROADCAST_BYTES at a time (checked), to all tasks that hold its members; a task yields as many links as a batch and a tree have members, never their pairs.
     """
 
     def shard(batches):
@@ -159,17 +202,26 @@ def links(nodes: DataFrame, radius: int, lanes: int = 1) -> DataFrame:
                 continue
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rep[row]), binary_rows(fp[row])], ["key", "rep", "fp"])
 
-    def search(batches):
+    def lanes_of(column) -> np.ndarray:
+        return binary_matrix(column, 8 * lanes).view(">u8").astype(np.uint64).reshape(-1, lanes)
+
+    def grouped(batches, names: list[str]):
         held: list = []
-        for table, goes_on in whole_groups(batches, "key"):
+        for table, goes_on in whole_groups(batches, names[0]):
             held.append(table)
             if goes_on:
                 continue
-            table = pa.concat_tables(held).combine_chunks() if len(held) > 1 else table
-            held = []
-            key, rep = table.column("key").to_numpy(), table.column("rep").to_numpy()
-            fps = binary_matrix(table.column("fp"), 8 * lanes).view(">u8").astype(np.uint64).reshape(-1, lanes)
-            edge = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+            table, held = (pa.concat_tables(held).combine_chunks() if len(held) > 1 else table), []
+            labels = [table.column(c).to_numpy() for c in names]
+            step = np.zeros(table.num_rows - 1, bool)
+            for x in labels:
+                step |= x[1:] != x[:-1]
+            edge = np.concatenate([[0], np.flatnonzero(step) + 1, [table.num_rows]])
+            rep, fps = table.column("rep").to_numpy(), lanes_of(table.column("fp"))
+            yield labels, rep, fps, edge
+
+    def search(batches):
+        for _, rep, fps, edge in grouped(batches, ["key"]):
             a, b = [], []
             for i in np.flatnonzero(np.diff(edge) > 1):
                 own = slice(edge[i], edge[i + 1])
@@ -180,9 +232,50 @@ def links(nodes: DataFrame, radius: int, lanes: int = 1) -> DataFrame:
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    n = partitions(nodes.sparkSession)
+    def plant(batches):
+        for (key, piece), rep, fps, edge in grouped(batches, ["key", "piece"]):
+            for s, e in zip(edge, edge[1:]):
+                tree = pickle.dumps((BKTree(fps[s:e]), rep[s:e]))
+                yield pa.RecordBatch.from_arrays([pa.array([key[s]]), pa.array([piece[s]], pa.int32()), pa.array([tree], pa.binary()), pa.array([len(tree)], pa.int64())], ["key", "piece", "tree", "size"])
+
+    def search_broadcast(trees):
+        def run(batches):
+            by_key: dict[int, list] = {}
+            for key, piece, data in trees.value:
+                by_key.setdefault(key, []).append((piece, *pickle.loads(data)))
+            for batch in small(batches, HOT):
+                keys, pieces, rep, fps = batch.column("key").to_numpy(), batch.column("piece").to_numpy(), batch.column("rep").to_numpy(), lanes_of(batch.column("fp"))
+                for key in np.unique(keys).tolist():
+                    for piece, tree, own in by_key.get(key, ()):
+                        at = np.flatnonzero((keys == key) & (pieces >= piece))  # each pair of trees once
+                        forest = Forest(len(own) + len(at))
+                        for members, queries, hits in tree.visit(fps[at], radius):
+                            forest.unite(hits, members, queries + len(own))
+                        names, root = np.concatenate([own, rep[at]]), forest.roots(np.arange(len(own) + len(at)))
+                        linked = np.flatnonzero(names != names[root])
+                        yield pa.RecordBatch.from_arrays([pa.array(names[linked]), pa.array(names[root[linked]])], ["a", "b"])
+
+        return run
+
+    spark = nodes.sparkSession
+    n = partitions(spark)
     rows = nodes.mapInArrow(shard, "key long, rep long, fp binary")
-    return rows.repartition(n, "key").sortWithinPartitions("key", "rep").mapInArrow(search, "a long, b long")
+    apart = lambda df: df.repartition(n, "key").sortWithinPartitions("key", "rep").mapInArrow(search, "a long, b long")
+    hot = checkpoint(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT))
+    if hot.isEmpty():
+        return apart(rows)
+    few = F.broadcast(hot) if hot.count() * 64 <= BROADCAST_BYTES else hot
+    piece = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / HOT)).cast("int")
+    split = checkpoint(rows.join(few, "key").select("key", piece.alias("piece"), "rep", "fp"))
+    trees = checkpoint(split.repartition(n, "key", "piece").sortWithinPartitions("key", "piece", "rep").mapInArrow(plant, "key long, piece int, tree binary, size long"))
+    turns = -(-trees.agg(F.sum("size")).first()[0] // BROADCAST_BYTES)
+    out = apart(rows.join(few, "key", "left_anti"))
+    for i in range(turns):
+        own = trees.filter(F.pmod(F.xxhash64("key", "piece"), F.lit(turns)) == i)
+        sent = spark.sparkContext.broadcast([(r.key, r.piece, r.tree) for r in own.select("key", "piece", "tree").collect()])
+        out = out.unionByName(checkpoint(split.mapInArrow(search_broadcast(sent), "a long, b long").distinct()))
+        sent.unpersist()
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import posixpath
+import json
 import re
 import uuid
 import zlib
@@ -16,18 +16,22 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, checkpoint_dir, partitions
+from .common import checkpoint, partitions, work_folder
 
 GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _STEP = 1 << 20
+#: The date of records whose page brings none.
+DATE = "1970-01-01T00:00:00Z"
+#: Bytes of the payloads' digests that repeat, up to which they are broadcast to the pages; more meet them in a join that deals pages by digest.
+BROADCAST_BYTES = 32 << 20
 
 
 def record(kind: str, record_id: str, payload: bytes, headers: dict[str, str]) -> bytes:
     """One WARC/1.1 record, not compressed; the block is an HTTP response, without its body in a revisit."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if kind == "revisit" else http + payload
-    head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{record_id}>", "WARC-Date": "1970-01-01T00:00:00Z", **headers, "WARC-Block-Digest": "sha256:" + hashlib.sha256(block).hexdigest(), "Content-Type": "application/http; msgtype=response", "Content-Length": str(len(block))}
+    head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{record_id}>", "WARC-Date": DATE, **headers, "WARC-Block-Digest": "sha256:" + hashlib.sha256(block).hexdigest(), "Content-Type": "application/http; msgtype=response", "Content-Length": str(len(block))}
     # A line break within a value would begin another header.
     lines = "".join(f"{k}: {re.sub(r'[\x00-\x1f\x7f]', lambda m: f'%{ord(m[0]):02X}', v)}\r\n" for k, v in head.items())
     return b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n"
@@ -68,7 +72,7 @@ class SalvageReader:
 
     read: Callable[[int], bytes]
     most: int = 1 << 30
-    _buffer: bytes = b""
+    _buffer: bytearray = field(default_factory=bytearray)
     _base: int = 0
     _over: bool = field(default=False)
 
@@ -85,7 +89,7 @@ class SalvageReader:
         while not z.eof:
             if not self._need(i + 1):
                 raise _Bad("truncated member")
-            piece = self._buffer[i : i + _STEP]
+            piece = bytes(self._buffer[i : i + _STEP])
             try:
                 got = z.decompress(piece, self.most - size + 1)
             except zlib.error as e:
@@ -109,7 +113,7 @@ class SalvageReader:
         end = i + 4 + int(m[1]) + 4
         if not self._need(end):
             raise _Bad("truncated record")
-        return self._buffer[at:end], end
+        return bytes(self._buffer[at:end]), end
 
     @staticmethod
     def _parse(data: bytes, start: int, end: int) -> Record:
@@ -145,7 +149,8 @@ class SalvageReader:
         return self._parse(data, self._base + at, self._base + end)
 
     def _drop(self, n: int) -> None:
-        self._buffer, self._base = self._buffer[n:], self._base + n
+        del self._buffer[:n]
+        self._base += n
 
     def __iter__(self) -> Iterator[Record | Gap]:
         offset = 0  # within the buffer; dropped by steps
@@ -188,13 +193,25 @@ def _digest_ok(said: str, data: bytes) -> bool:
     return value.lower() == d.hex() or value.upper().rstrip("=") == base64.b32encode(d).decode().rstrip("=")
 
 
-def with_revisits(pages: DataFrame, least: int = 100, payload: str = "html", page_id: str = "page_id", url: str = "url") -> DataFrame:
-    """(page_id, url, html, digest, refers_to): refers_to is the least page id with an equal payload of `least` bytes or more, null for that page."""
+def record_id(page, url, digest: str) -> str:
+    """The same for the same page, so that a repeated task writes the same archive."""
+    return str(uuid.uuid5(uuid.NAMESPACE_URL, f"{page} {url} {digest}"))
+
+
+def with_revisits(pages: DataFrame, least: int = 100, payload: str = "html", page_id: str = "page_id", url: str = "url", date: str | None = None) -> DataFrame:
+    """(page_id, url, date, body, digest, refers_to, refers_url): the least page id with an equal payload of `least` bytes or more and its URL, null for that page."""
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), body.alias("body"), F.sha2(body, 256).alias("digest"))
-    # The least page of each payload, summed before the shuffle; only ids and digests are dealt by payload, so no page is moved for being popular.
-    first = rows.filter(F.octet_length("body") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND first IS NOT NULL").drop("n")
-    return rows.join(first, "digest", "left").withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))).drop("first")
+    when = F.col(date).cast("timestamp") if date else F.lit(None).cast("timestamp")
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), when.alias("date"), body.alias("body"), F.sha2(body, 256).alias("digest"))
+    # The least page of each payload that repeats, summed before the shuffle: only ids, URLs and digests are dealt by payload.
+    own = F.min(F.struct(F.col("page_id").alias("first"), F.col("url").alias("refers_url")))
+    first = rows.filter(F.octet_length("body") >= least).filter("page_id IS NOT NULL").groupBy("digest").agg(own.alias("x"), F.count(F.lit(1)).alias("n"), F.max("page_id").alias("last"))
+    alone = rows.filter(F.octet_length("body") >= least).filter("page_id IS NULL").select("digest").distinct()
+    first = checkpoint(first.join(alone.withColumn("other", F.lit(True)), "digest", "left").filter((F.col("last") > F.col("x.first")) | F.col("other")).select("digest", "x.*"))
+    size = first.agg(F.sum(F.lit(96) + F.coalesce(F.octet_length("refers_url"), F.lit(0)))).first()[0] or 0
+    both = rows.join(F.broadcast(first) if size <= BROADCAST_BYTES else first, "digest", "left")
+    again = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("first")))
+    return both.select("page_id", "url", "date", "body", "digest", F.when(again, F.col("first")).alias("refers_to"), F.when(again, F.col("refers_url")).alias("refers_url"))
 
 
 def write_archives(rows: DataFrame, folder: str, compress: bool = True) -> DataFrame:
@@ -213,14 +230,15 @@ def write_archives(rows: DataFrame, folder: str, compress: bool = True) -> DataF
         store.create_dir(base, recursive=True)
         with store.open_output_stream(draft, compression=None) as out:
             for batch in batches:
-                for page, url, body, digest, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "body", "digest", "refers_to"))):
+                for page, url, date, body, digest, refers, refers_url in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "date", "body", "digest", "refers_to", "refers_url"))):
                     headers = {"WARC-Payload-Digest": f"sha256:{digest}"}
+                    headers |= {"WARC-Date": date.strftime("%Y-%m-%dT%H:%M:%SZ")} if date is not None else {}
                     headers |= {"WARC-Target-URI": url} if url is not None else {}
                     headers |= {"X-Page-Id": str(page)} if page is not None else {}
                     kind = "response" if refers is None else "revisit"
                     if refers is not None:
-                        headers |= {"WARC-Profile": REVISIT, "WARC-Refers-To": f"<urn:page:{refers}>", "X-Payload-Length": str(len(body))}
-                    data = record(kind, str(uuid.uuid5(uuid.NAMESPACE_URL, f"{page} {url} {digest}")), body, headers)
+                        headers |= {"WARC-Profile": REVISIT, "WARC-Refers-To": f"<urn:uuid:{record_id(refers, refers_url, digest)}>", "X-Refers-To-Page-Id": str(refers), "X-Payload-Length": str(len(body))}
+                    data = record(kind, record_id(page, url, digest), body, headers)
                     size += out.write(data := gzip_member(data) if compress else data) or len(data)
                     n += 1
         store.move(draft, f"{base}/{name}")
@@ -230,22 +248,41 @@ def write_archives(rows: DataFrame, folder: str, compress: bool = True) -> DataF
 
 
 def read_archives(paths: DataFrame) -> DataFrame:
-    """Every record and quarantined gap of the archives in column path: path, start, end, headers, payload, gap (why; null for records)."""
+    """Every record and quarantined gap of the archives in column path: path, start, end, headers, payload, gap (why; null for records).
+
+    Gaps are logged beside the archive as well: <path>.gaps.jsonl, a line each. Where the table says how many records an archive has (column records)
+    and no gap tells where the missing ones were, another number raises.
+    """
+    counted = "records" in paths.columns
+    paths = paths.select("path", F.col("records").cast("long").alias("records") if counted else F.lit(None).cast("long").alias("records"))
 
     def run(batches):
+        from pyspark import TaskContext
+
         for batch in batches:
-            for path in batch.column("path").to_pylist():
+            for path, records in zip(batch.column("path").to_pylist(), batch.column("records").to_pylist()):
                 store, name = pafs.FileSystem.from_uri(path)
+                n, gaps = 0, []
                 with store.open_input_stream(name, compression=None) as f:
                     held, size = [], 0
                     for x in SalvageReader(f.read):
                         gap = isinstance(x, Gap)
-                        held.append((path, x.start, x.end, None if gap else list(x.headers.items()), None if gap else x.payload, x.reason if gap else None))
+                        n += not gap
+                        if gap:
+                            gaps.append(json.dumps({"start": x.start, "end": x.end, "reason": x.reason}) + "\n")
+                        held.append((path, x.start, x.end, None if gap else list(x.headers.items()), None if gap else bytes(x.payload), x.reason if gap else None))
                         size += 0 if gap else len(x.payload)
                         if size > 8 << 20 or len(held) >= 5000:
                             yield batch_of(held)
                             held, size = [], 0
                     yield batch_of(held)
+                if gaps:
+                    draft = f"{name}.gaps.{TaskContext.get().taskAttemptId()}"
+                    with store.open_output_stream(draft, compression=None) as log:
+                        log.write("".join(gaps).encode())
+                    store.move(draft, f"{name}.gaps.jsonl")
+                elif records is not None and n != records:
+                    raise ValueError(f"{path} has {n} records of {records}")
 
     kinds = [("path", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary()), ("gap", pa.string())]
 
@@ -255,19 +292,20 @@ def read_archives(paths: DataFrame) -> DataFrame:
     return paths.mapInArrow(run, "path string, start long, end long, headers map<string,string>, payload binary, gap string")
 
 
-def archive_and_read(pages: DataFrame, least: int = 100, payload: str = "html", page_id: str = "page_id", url: str = "url") -> DataFrame:
+def archive_and_read(pages: DataFrame, least: int = 100, payload: str = "html", page_id: str = "page_id", url: str = "url", date: str | None = None, folder: str | None = None) -> DataFrame:
     """Write a WARC record per page, then read the archives back; a row per record read: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    Archives lie in the shared checkpoint folder. Null payloads are empty, null ids and URLs have no header and come back as null (a page without id
-    revisits, but is never referred to); rows of one id with equal payloads are each a response if that id is the least. No pages: no rows.
+    Archives are kept in `folder` (by default a new one in the shared checkpoint folder), with a log of what could not be read. Null payloads are empty, null ids
+    and URLs have no header and come back as null (a page without id revisits, but is never referred to); rows of one id with equal payloads are
+    each a response if that id is the least. Ids are whole numbers. Without `date` (a column) records carry DATE. No pages: no rows; other columns are ignored.
     """
     spark: SparkSession = pages.sparkSession
-    folder = posixpath.join(checkpoint_dir(spark), f"warc-{uuid.uuid4().hex}")
+    folder = folder or work_folder(spark, "warc")
     folder = folder if re.match(r"\w+:", folder) else f"file://{folder}"
     folder = re.sub(r"^file:/+", "file:///", folder)
     # checkpoint() runs the write once and keeps the manifest: a row for each archive
-    written = checkpoint(write_archives(with_revisits(pages, least, payload, page_id, url), folder))
-    rows = read_archives(written.select("path").repartition(max(partitions(spark), 2 * spark.sparkContext.defaultParallelism)))
+    written = checkpoint(write_archives(with_revisits(pages, least, payload, page_id, url, date), folder))
+    rows = read_archives(written.select("path", "records").repartition(max(partitions(spark), 2 * spark.sparkContext.defaultParallelism)))
     head = lambda name: F.element_at("headers", name)
     # read back: of a revisit, what its headers say of the payload
     revisit = head("warc-type") == "revisit"
@@ -276,7 +314,7 @@ def archive_and_read(pages: DataFrame, least: int = 100, payload: str = "html",
         F.when(revisit, head("x-payload-length").cast("long")).otherwise(F.octet_length("payload").cast("long")).alias("payload_bytes"),
         F.when(revisit, F.regexp_replace(head("warc-payload-digest"), "^sha256:", "")).otherwise(F.sha2("payload", 256)).alias("payload_digest"),
         head("warc-type").alias("record_type"),
-        F.regexp_extract(F.coalesce(head("warc-refers-to"), F.lit("")), r"(-?\d+)>$", 1).try_cast("long").alias("refers_to"),
+        head("x-refers-to-page-id").try_cast("long").alias("refers_to"),
     )
 
 

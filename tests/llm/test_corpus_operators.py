@@ -316,3 +316,53 @@ def test_types_of_contract(spark, sf):
     for name, want in kinds.items():
         assert {k: v for k, v in QUERIES[name](spark, sf).dtypes if k in want} == want
     assert isinstance(QUERIES["op1_suffix_array_dedup"](spark, sf).schema["n_spans"].dataType, T.LongType) and F
+
+
+def test_hot_shards_are_searched_by_broadcast_trees(spark, monkeypatch):
+    """A third of all fingerprints share two blocks of bits; trees of few members, sent in several turns."""
+    from lodestrata.llm import simhash as S
+
+    monkeypatch.setattr(S, "HOT", 16)
+    monkeypatch.setattr(S, "BROADCAST_BYTES", 6000)
+    r = random.Random(14)
+    fps = {r.getrandbits(32) | 0xABCD1234 << 32 for _ in range(100)} | {r.getrandbits(64) for _ in range(150)}
+    fps |= {f ^ 1 << r.randrange(64) ^ 1 << r.randrange(64) for f in list(fps)[:120]} | {0xABCD1234 << 32 | 1 << i for i in range(32)}
+    fps = sorted(fps)
+    nodes = spark.createDataFrame([(i, f.to_bytes(8, "big"), []) for i, f in enumerate(fps)], "rep long, fp binary, keys array<long>")
+    got = {x.node: x.component for x in components(S.links(nodes, 2)).collect()}
+    best = np.arange(len(fps))
+    near = np.array([[(a ^ b).bit_count() <= 2 for b in fps] for a in fps])
+    for _ in range(60):
+        best = np.where(near, best[None, :], len(fps)).min(1)
+    assert [got.get(i, i) for i in range(len(fps))] == best.tolist() and len(got) > 100
+
+
+def test_damaged_archives_are_logged_and_checked(spark, tmp_path):
+    from lodestrata.llm import warc
+
+    pages = spark.createDataFrame([(i, f"u{i}", f"<p>page {i % 7} " + "x" * (200 + 3000 * (i % 2)), i) for i in range(40)], "page_id long, url string, html string, date long")
+    folder = f"file://{tmp_path}/archives"
+    before = {r.page_id: r for r in warc.archive_and_read(pages, folder=folder, date="date").collect()}
+    assert len(before) == 40 and sum(r.record_type == "revisit" for r in before.values()) == 26
+    files = sorted((tmp_path / "archives").glob("*.warc.gz"))
+    paths = spark.createDataFrame([(f"file://{f}",) for f in files], "path string")
+    records = [r.headers for r in warc.read_archives(paths).filter("gap IS NULL").collect()]
+    ids = {h["warc-record-id"] for h in records}
+    assert len(ids) == 40 and all(h["warc-refers-to"] in ids for h in records if h["warc-type"] == "revisit")
+    assert {h["warc-date"] for h in records} == {f"1970-01-01T00:00:{i:02d}Z" for i in range(40)}
+    hurt = files[0].read_bytes()
+    files[0].write_bytes(hurt[:30] + b"\0" * 20 + hurt[50:])
+    got = warc.read_archives(paths).collect()
+    gaps = [r for r in got if r.gap]
+    log = (tmp_path / "archives" / (files[0].name + ".gaps.jsonl")).read_text().splitlines()
+    assert len(gaps) == len(log) == 1 and len(got) - 1 == 39 and gaps[0].start == 0
+    files[1].write_bytes(b"")
+    with pytest.raises(Exception, match="records of"):
+        warc.read_archives(paths.limit(0).union(spark.createDataFrame([(f"file://{files[1]}",)], "path string")).withColumn("records", F.lit(3))).collect()
+
+
+def test_payload_join_without_broadcast(spark, monkeypatch):
+    from lodestrata.llm import warc
+
+    monkeypatch.setattr(warc, "BROADCAST_BYTES", 0)
+    test_archives_round_trip(spark)
