@@ -12,10 +12,10 @@ from pyspark.sql.types import DoubleType, StructType
 
 from .anchors import mix, word_hashes
 from .common import as_bytes, small
-from .toxicity import held_out, training_rows
+from .toxicity import TRAIN_ROWS, held_out, training_rows
 
-#: Hashed indicators; labelled rows fitted on at most (those with the least hash of the id).
-FEATURES, TRAIN_ROWS = 1 << 18, 8_000
+#: Hashed indicators.
+FEATURES = 1 << 18
 
 # Byte classes of shapes: lower, upper, digit, space, line end, beyond ASCII, and each mark by itself modulo ten.
 _SHAPE = np.array([4 if b == 10 else 3 if b in (9, 11, 12, 13, 32) else 2 if 48 <= b < 58 else 1 if 65 <= b < 91 else 0 if 97 <= b < 123 else 5 if b >= 128 else 6 + b % 10 for b in range(256)], np.uint8)
@@ -103,8 +103,8 @@ def fit(texts: list[bytes], labels: list[int], c: float = 0.1, epochs: int = 12,
     return {"w": (w * ratio).astype(np.float32), "b": float(b), "scale": (max(0.1, float(a0)), float(a1))}
 
 
-def score_quality(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """docs with a column `quality` from 0 to 1 added."""
+def score_quality(docs: DataFrame, model: dict, text: str = "text", score: str = "quality") -> DataFrame:
+    """docs with a column `score` from 0 to 1 added, which docs mustn't have."""
     weights = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES floats, 1 MB
 
     def run(batches):
@@ -113,16 +113,16 @@ def score_quality(docs: DataFrame, model: dict, text: str = "text") -> DataFrame
         for batch in small(batches):
             found = indicators(as_bytes(batch.column(text)))
             z = np.array([float(w[f].sum()) / math.sqrt(max(1, len(f))) + b for f in found], float)
-            score = 1 / (1 + np.exp(-np.clip(a0 * z + a1, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, "quality"])
+            values = 1 / (1 + np.exp(-np.clip(a0 * z + a1, -30, 30)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*batch.schema.names, score])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("quality", DoubleType()))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(score, DoubleType()))
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Score whole texts for quality, learned from `labels` (doc_id, quality).
 
-    Training uses at most TRAIN_ROWS labelled rows, none with crc32(id) mod 4 = 2. With no labels, or of one class, every score is the
+    Training uses at most TRAIN_ROWS labelled rows (of TRAIN_BYTES of text), none with crc32(id) mod 4 = 2. With no labels, or of one class, every score is the
     smoothed share of class 1. Null texts are empty; null ids are kept (not held out); repeated rows are scored each; an empty table gives
     none; other columns are ignored.
 

@@ -346,7 +346,7 @@ def confirmed(candidates: DataFrame, shingle: int, radius: int, lanes: int, simi
     return candidates.repartition(n, "component").sortWithinPartitions("component", "same").mapInArrow(run, "same long, group long")
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, radius: int = 256, lanes: int = 16, sketch: int = 4, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def similar_documents(docs: DataFrame, shingle: int = 5, radius: int = 256, lanes: int = 16, sketch: int = 6, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Group documents whose sets of word shingles have a Jaccard similarity of `similarity` at least, directly or over others.
 
     Documents that share one of their `sketch` least shingle hashes and have fingerprints (of the distinct shingles) up to `radius` bits

@@ -175,14 +175,45 @@ def test_classifiers_learn_and_hold_out(spark):
 
 def test_grammar():
     s = Scorer(set())
-    kinds = lambda t: s.clauses(t)[0].astype(int).tolist()
+    kinds = lambda t: s.matches(t)[0]
     assert kinds("What an idiot.") == [1, 0, 0, 0, 0, 0]
     assert kinds("You are an idiot.") == [0, 1, 0, 0, 0, 0]
     assert kinds("You are not an idiot.") == [0, 0, 0, 1, 0, 0]
     assert kinds("He said: moron. Scum!") == [1 + 1, 0, 0, 0, 0, 0]
     assert kinds("They wrote that moron there") == [0, 0, 0, 0, 1, 0]
     assert kinds("I will hurt you") == [0, 0, 1, 0, 0, 1] and kinds("do not hurt you") == [0, 0, 0, 1, 0, 0]
-    assert kinds("nothing here") == [0] * 6
+    assert kinds("nothing here") == [0] * 6 and kinds("kill the process they said") == [0, 0, 0, 0, 0, 1]
+
+
+@pytest.mark.parametrize(
+    "threat, bare, insult, negated, reported",
+    [
+        ("I will kill you", "we kill the old process", "you are an idiot", "you are not an idiot", "they said that idiot came"),
+        ("Ich werde dich umbringen", "den alten Prozess vernichten", "du bist ein Trottel", "du bist kein Trottel", "er sagte der Trottel kam"),
+        ("Je vais te tuer", "il faut tuer le processus", "tu es un crétin", "tu es jamais un crétin", "selon le journal un crétin"),
+        ("Te voy a matar", "hay que matar el proceso", "eres un imbécil", "eres nunca un imbécil", "dijo que un imbécil vino"),
+    ],
+)
+def test_grammar_in_each_language(threat, bare, insult, negated, reported):
+    from lodestrata.llm.toxicity import fit
+
+    model = fit([])
+    s = Scorer(set(), np.array(model["w"]))
+    kind = lambda t: [i for i, n in enumerate(s.matches(t)[0]) if n][0]
+    score = lambda t: 1 / (1 + np.exp(-s.matches(t)[1] - model["b"]))
+    assert [kind(t) for t in (threat, bare, insult, negated, reported)] == [2, 5, 1, 3, 4]
+    assert score(threat) > 0.3 and score(insult) > 0.3 and max(map(score, (bare, negated, reported, "kill the process they said"))) < 0.3
+
+
+def test_arcs_weigh_what_was_learned():
+    from lodestrata.llm.toxicity import KINDS, NTH, fit
+
+    model = fit([("you are an idiot", 1)] * 20 + [("he said the idiot", 0)] * 20 + [("fine", 0)] * 60)
+    w = np.array(model["w"])
+    s = Scorer(set(), w)
+    assert w.shape == (len(KINDS), NTH) and w[1, 0] > 2 > w[4, 0]
+    assert s.matches("you idiot. you moron. you scum. you fool.")[1] == pytest.approx(w[1].sum())
+    assert s.matches("you idiot")[1] == pytest.approx(w[1] @ s.arcs("you idiot").reshape(w.shape)[1])
 
 
 def test_stems_are_learned_only_with_enough_proof():
