@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import posixpath
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.llm import stages
-from lodestrata.llm.common import checkpoint_dir, read
+from lodestrata.llm.common import drop_folder, read, work_folder
 
 STAGES = [
     ("toxicity", stages.drop_toxic),
@@ -18,14 +17,16 @@ STAGES = [
     ("sentencepiece", stages.encode),
 ]
 
-#: SQL can't express stages 1, 2, 3 (learned weights, fingerprints) or 5; tests/llm compares them with brute force.
+#: SQL can't express stages 1, 2 (learned weights, fingerprints) or 5; tests/llm compares each stage with a plain version of it.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; what each keeps is written as Parquet in the shared folder and read again."""
-    docs, folder = read(spark, sf_dir, "documents"), posixpath.join(checkpoint_dir(spark), f"pipeline-{uuid.uuid4().hex}")
+    """All stages in order; what each keeps is written as Parquet in the shared folder and read again, and dropped once its successor is written."""
+    docs, folder, last = read(spark, sf_dir, "documents"), work_folder(spark, "pipeline"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(path := posixpath.join(folder, name))
-        docs = spark.read.parquet(path)
+        if last:
+            drop_folder(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs
