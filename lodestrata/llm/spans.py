@@ -30,7 +30,9 @@ from .common import as_bytes, doc_key, partitions, small
 #: Different contexts of a bucket up to which one task compares them.
 HOT = 4096
 _LOW = 0xFFFFFFFF
-#: What the second exchange carries: context null for a window that is known to be covered.
+#: What the second exchange carries. Context null: `before` tokens from pos on are known to be covered. before = WINDOW: one window of a hot bucket, of
+#: whose digest h has 64 bits and the context the rest. Else a context, with as many tokens before the anchor at pos.
+WINDOW = -1
 CONTEXTS = "h long, k long, tag long, pos int, before int, context binary"
 RANGES = "k long, tag long, start long, end long"
 
@@ -133,30 +135,35 @@ def _anchors_of(unit: Unit) -> Covers:
 
 def _contexts_of(unit: Unit) -> Covers:
     def rows(h, k, tag, pos, before, contexts) -> pa.RecordBatch:
+        if isinstance(contexts, bytes):  # four bytes each
+            contexts = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(np.arange(0, 4 * len(h) + 1, 4, dtype=np.int32)), pa.py_buffer(contexts)])
         arrays = [pa.array(h, pa.int64()), pa.array(k, pa.int64()), pa.array(tag, pa.int64()), pa.array(pos, pa.int32()), pa.array(before, pa.int32()), pa.array(contexts, pa.binary())]
         return pa.RecordBatch.from_arrays(arrays, ["h", "k", "tag", "pos", "before", "context"])
 
-    def windows(t: Tokens, start, end, base, k, tag) -> Iterator[pa.RecordBatch]:
+    def windows(t: Tokens, start, end, k, tag) -> Iterator[pa.RecordBatch]:
         """Contexts of hot buckets window by window, each under a bucket that its content names; what this batch repeats is known to be covered."""
         n = np.maximum(end - start - unit.window + 1, 0)
-        doc = np.repeat(np.arange(len(n)), n)
-        a = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + start[doc]
-        view, (lo, hi) = memoryview(t.data), t.cut(a, a + unit.window)
-        d = A.digests(t.data, lo, hi)
-        h = d[:, 0].astype(np.uint64) | d[:, 1].astype(np.uint64) << np.uint64(32)
-        k, tag, pos = k[doc], tag[doc], a - base[doc]
-        order = np.lexsort((pos, k, d[:, 2], h))
-        new = np.ones(len(order), bool)
-        new[1:] = (h[order][1:] != h[order][:-1]) | (d[order, 2][1:] != d[order, 2][:-1])
-        first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-        other = k[order] != k[first]
-        known = np.zeros(len(order), bool)
-        known[order] = other if unit.other_document else other | (pos[order] != pos[first])
-        h = np.where(known, A.mix(k.view(np.uint64) ^ A.mix(tag.view(np.uint64) + pos.astype(np.uint64))), h).view(np.int64)
-        for s in range(0, len(a), 20_000):
-            cut = slice(s, s + 20_000)
-            contexts = [None if x else bytes(view[i:j]) for x, i, j in zip(known[cut].tolist(), lo[cut].tolist(), hi[cut].tolist())]
-            yield rows(h[cut], k[cut], tag[cut], pos[cut], np.zeros(len(contexts), np.int32), contexts)
+        every = np.unique(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n))
+        for s in range(0, len(every), 200_000):
+            a = every[s : s + 200_000]
+            d = A.digests(t.data, *t.cut(a, a + unit.window))
+            h = d[:, 0].astype(np.uint64) | d[:, 1].astype(np.uint64) << np.uint64(32)
+            doc = np.searchsorted(t.offsets, a, "right") - 1
+            who, names, pos = k[doc], tag[doc], a - t.offsets[doc]
+            order = np.lexsort((pos, who, d[:, 2], h))
+            new = np.ones(len(order), bool)
+            new[1:] = (h[order][1:] != h[order][:-1]) | (d[order, 2][1:] != d[order, 2][:-1])
+            first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+            other = who[order] != who[first]
+            known = np.zeros(len(order), bool)
+            known[order] = other if unit.other_document else other | (pos[order] != pos[first])
+            own = np.flatnonzero(~known)
+            yield rows(h[own].view(np.int64), who[own], names[own], pos[own], np.full(len(own), WINDOW), d[own, 2].tobytes())
+            own = np.flatnonzero(known)
+            if len(own):  # runs of them in a document
+                begins = np.flatnonzero(np.concatenate([[True], (np.diff(a[own]) > 1) | (np.diff(doc[own]) > 0)]))
+                i, j = own[begins], own[np.append(begins[1:], len(own)) - 1]
+                yield rows(A.mix(h[i] ^ A.mix(names[i].view(np.uint64))).view(np.int64), who[i], names[i], pos[i], a[j] - a[i] + unit.window, [None] * len(i))
 
     def run(batches):
         for batch in small(batches):
@@ -182,10 +189,56 @@ def _contexts_of(unit: Unit) -> Covers:
                 own = np.flatnonzero(~hot[s : s + 10_000]) + s
                 if len(own):
                     yield rows(h[own], k[own], tag[own], pos[own], (at - start)[own], [bytes(view[i:j]) for i, j in zip(lo[own].tolist(), hi[own].tolist())])
-            own = np.flatnonzero(hot)
-            for s in range(0, len(own), 10_000):
-                x = own[s : s + 10_000]
-                yield from windows(t, start[x], end[x], base[x], k[x], tag[x])
+            if hot.any():
+                yield from windows(t, start[hot], end[hot], part.column("k").to_numpy(), part.column("tag").to_numpy())
+
+    return run
+
+
+def _covers_of(unit: Unit, covers: Covers) -> Covers:
+    """CONTEXTS to RANGES: known ranges as they are, windows of hot buckets by digest, all others by the operator's `covers`."""
+
+    def run(batches):
+        out: list[pa.RecordBatch] = []
+        bucket, held = None, {}  # of the bucket that the next batch may go on with: digest's rest -> first document and place
+
+        def told(k, tag, start, end) -> None:
+            if len(k):
+                out.append(pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (k, tag, start, end)], ["k", "tag", "start", "end"]))
+
+        def rest():
+            nonlocal bucket, held
+            for batch in batches:
+                context = batch.column("context")
+                known = context.is_null().to_numpy(zero_copy_only=False)
+                h, k, tag, pos, before = (batch.column(c).to_numpy() for c in ("h", "k", "tag", "pos", "before"))
+                pos = pos.astype(np.int64)
+                told(k[known], tag[known], pos[known], pos[known] + before[known])
+                own = np.flatnonzero(~known & (before == WINDOW))
+                if len(own):
+                    digest = np.frombuffer(b"".join(context.take(pa.array(own)).to_pylist()), np.uint32)
+                    order = np.lexsort((digest, h[own]))  # stable: in order of k and pos
+                    i, x = own[order], digest[order]
+                    new = np.concatenate([[True], (h[i][1:] != h[i][:-1]) | (x[1:] != x[:-1])])
+                    first = i[np.maximum.accumulate(np.where(new, np.arange(len(i)), 0))]
+                    who, at = k[first], pos[first]
+                    for j in np.flatnonzero(h[i] == bucket) if bucket is not None else ():
+                        who[j], at[j] = held.get(int(x[j]), (who[j], at[j]))
+                    hit = (k[i] != who) if unit.other_document else (k[i] != who) | (pos[i] != at)
+                    told(k[i][hit], tag[i][hit], pos[i][hit], pos[i][hit] + unit.window)
+                    if bucket != h[own[-1]]:
+                        bucket, held = h[own[-1]], {}
+                    for j in np.flatnonzero(h[i] == bucket):
+                        held.setdefault(int(x[j]), (who[j], at[j]))
+                left = np.flatnonzero(~known & (before != WINDOW))
+                if len(left):
+                    yield batch.take(pa.array(left))
+
+        for found in covers(rest()):
+            yield from out
+            out.clear()
+            yield found
+        yield from out
 
     return run
 
@@ -205,7 +258,7 @@ def merged(unit: Unit, n: int, found: list | None, ranges: list | None) -> list[
 def covered_documents(docs: DataFrame, unit: Unit, covers: Covers, text: str, doc_id: str, keep: list[str]) -> DataFrame:
     """Rows of docs as (k, tag, text_, c0_..., found, ranges): text_ packed, and what merged() takes, null for none.
 
-    covers: from rows CONTEXTS of whole buckets, each in order of k and pos, to RANGES.
+    covers: from contexts (rows CONTEXTS) of whole buckets, each in order of k and pos, to RANGES.
     """
     n = partitions(docs.sparkSession)
     rows = keyed(docs, text, doc_id, keep)
@@ -224,6 +277,6 @@ def covered_documents(docs: DataFrame, unit: Unit, covers: Covers, text: str, do
     both = spread.join(lists.hint("shuffle_hash"), ["k", "tag"], "left")
     # Both uses take the same columns, else their exchanges of texts would differ and be written twice.
     around = both.mapInArrow(_contexts_of(unit), CONTEXTS)
-    ranges = around.repartition(n, "h").sortWithinPartitions("h", "k", "pos").mapInArrow(covers, RANGES)
+    ranges = around.repartition(n, "h").sortWithinPartitions("h", "k", "pos").mapInArrow(_covers_of(unit, covers), RANGES)
     ranges = ranges.groupBy("k", "tag").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
     return both.join(ranges.hint("shuffle_hash"), ["k", "tag"], "left")

@@ -66,9 +66,6 @@ def parsed_buckets(least: int) -> Covers:
         for batch in small(batches):
             out = []
             for h, k, tag, pos, before, segment in zip(*(batch.column(c).to_pylist() for c in ("h", "k", "tag", "pos", "before", "context"))):
-                if segment is None:
-                    out.append((k, tag, pos, pos + least))
-                    continue
                 if h != bucket:
                     block, bucket, document, waiting = ReferenceBlock(least), h, k, []
                 elif k != document:  # rows of one document take nothing from each other
