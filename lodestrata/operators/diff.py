@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.records import RID, canonical, with_id
 from ..plans.paths import leaves, tuples, type_of
-from .dataset import _union
+from .dataset import Dataset, _union
+from .state import on_keys
 
 
 def match(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -20,7 +21,8 @@ def match(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame
         return before.select(F.lit("from_only").alias("side")).unionAll(after.select(F.lit("to_only").alias("side")))
     a, b = before.select(*keys, F.lit(True).alias("__f")), after.select(*keys, F.lit(True).alias("__t"))
     side = F.when(F.col("__f").isNull(), "to_only").when(F.col("__t").isNull(), "from_only").otherwise("matched")
-    return a.join(b, list(keys), "full_outer").select(*keys, side.alias("side"))
+    both = a.alias("l").join(b.alias("r"), on_keys("l", "r", keys), "full_outer")
+    return both.select(*[F.when(F.col("__f").isNull(), F.col(f"r.`{k}`")).otherwise(F.col(f"l.`{k}`")).alias(k) for k in keys], side.alias("side"))
 
 
 def field_scores(before: DataFrame, after: DataFrame, keys: Sequence[str], shortcuts: Sequence[str] = (), exact: bool = True) -> DataFrame:
@@ -90,6 +92,27 @@ def summary(types: Mapping[str, tuple[DataFrame, DataFrame, Sequence[str]]]) ->
     return _union(parts)
 
 
+def keyed_types(before: Dataset, after: Dataset, without_key: bool = False) -> dict[str, tuple[DataFrame, DataFrame, Sequence[str]]]:
+    """What summary() takes, found by itself: every type of both states that has a primary key; a type of only one state is compared with none.
+
+    without_key: types without one as well; a single scalar field is its own key, else nothing of the type is matched.
+    """
+    out = {}
+    for t in sorted(before.types.keys() | after.types.keys()):
+        a, b = before.types.get(t), after.types.get(t)
+        a, b = (b.limit(0) if a is None else a), (a.limit(0) if b is None else b)
+        keys = tuple(after.keys.get(t) or before.keys.get(t) or ())
+        if keys or without_key:
+            scalar = len(a.columns) == 1 and not isinstance(a.schema[0].dataType, (T.StructType, T.ArrayType, T.MapType))
+            out[t] = (a, b, keys or (tuple(a.columns) if scalar else ()))
+    return out
+
+
+def overview(totals: DataFrame, by: str = "score", number: int = 0, size: int = 50) -> DataFrame:
+    """A page of summary(), the types that differ most first; by: score, from_only, to_only or matched."""
+    return totals.orderBy(F.desc(by), "type").offset(number * size).limit(size)
+
+
 def element_diff(before: DataFrame, after: DataFrame, keys: Sequence[str], element_key: Sequence[str], element: Sequence[str]) -> DataFrame:
     """Within matched records, elements at paths: counts of equal, modified (same element key, other values), from_only, to_only."""
     def rows(df: DataFrame, side: str) -> DataFrame:
@@ -108,15 +131,34 @@ def element_diff(before: DataFrame, after: DataFrame, keys: Sequence[str], eleme
     return a.join(b, [*on, "__i"], "full_outer").groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def equal_pairs(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One-to-one pairs of records alike in content whatever their keys: (from keys f_*, to keys t_*)."""
+def equal_pairs(before: DataFrame, after: DataFrame, keys: Sequence[str], unordered: bool = False, common: bool = True) -> DataFrame:
+    """One-to-one pairs of records alike in content whatever their keys: (from keys f_*, to keys t_*).
+
+    Nested records are compared in their common fields; maps by entries. unordered: lists as bags, whatever their order, at any depth.
+    """
     from pyspark.sql import Window
 
     names = [c for c in before.columns if c in after.columns and c not in keys]
-    a, b = (with_id(df, names).withColumn("__i", F.row_number().over(Window.partitionBy(RID).orderBy(*keys))) for df in (before, after))
+
+    def shaped(df: DataFrame, other: DataFrame) -> DataFrame:
+        parts = [_in_common(F.col(f"`{n}`"), df.schema[n].dataType, other.schema[n].dataType, unordered, common).alias(n) for n in names]
+        return df.select(*keys, F.sha2(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}), 256).alias(RID))
+
+    a, b = (shaped(df, other).withColumn("__i", F.row_number().over(Window.partitionBy(RID).orderBy(*keys))) for df in (before, after))
     return a.select(RID, "__i", *[F.col(k).alias(f"f_{k}") for k in keys]).join(b.select(RID, "__i", *[F.col(k).alias(f"t_{k}") for k in keys]), [RID, "__i"]).drop(RID, "__i")
 
 
+def _in_common(column: Column, kind: T.DataType, other: T.DataType, unordered: bool, common: bool) -> Column:
+    if isinstance(kind, T.StructType) and isinstance(other, T.StructType):
+        fields = [f for f in sorted(kind, key=lambda f: f.name) if not common or f.name in other.names]
+        inner = [_in_common(column.getField(f.name), f.dataType, other[f.name].dataType if f.name in other.names else f.dataType, unordered, common).alias(f.name) for f in fields]
+        return F.when(column.isNotNull(), F.struct(*inner)) if inner else F.lit(None)
+    if isinstance(kind, T.ArrayType) and isinstance(other, T.ArrayType):
+        out = F.transform(column, lambda x: _in_common(x, kind.elementType, other.elementType, unordered, common))
+        return F.array_sort(out) if unordered else out
+    return canonical(column, kind)
+
+
 def pair_elements(before: list, after: list, most: int = 10_000) -> list[tuple[object, object, int]]:
     """Elements of one record's two versions side by side: those with least difference first, then what is left alone (None).
 

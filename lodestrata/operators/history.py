@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.records import display_key, literal
 from .dataset import _union
-from .state import changes
+from .state import changes, on_keys, without_keys
 
 
 def log(states: Sequence[tuple[int, DataFrame]], keys: Sequence[str]) -> DataFrame:
@@ -41,7 +41,7 @@ def as_of(current: DataFrame, history: DataFrame, version: int, keys: Sequence[s
     later = history.filter(F.col("version") > version)
     first = later.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("version"))).filter("__n = 1")
     restored = first.filter("before IS NOT NULL").select("before.*").select(current.columns)
-    return current.join(first.select(*keys), list(keys), "left_anti").select(current.columns).unionByName(restored)
+    return without_keys(current, first, keys).select(current.columns).unionByName(restored)
 
 
 def timeline(history: DataFrame, keys: Sequence[str], *key) -> DataFrame:
@@ -52,6 +52,16 @@ def timeline(history: DataFrame, keys: Sequence[str], *key) -> DataFrame:
     return out.orderBy("version")
 
 
+def of_keys(history: DataFrame, keys: Sequence[str], wanted: DataFrame) -> DataFrame:
+    """What happened in each version to the records of any of the wanted keys: (version, change, keys, before, after)."""
+    return history.alias("l").join(wanted.select(*keys).distinct().alias("r"), on_keys("l", "r", keys), "left_semi").select("version", "change", *keys, "before", "after")
+
+
+def named(history: DataFrame, namer: Callable[[Column], Column]) -> DataFrame:
+    """The log with a column `name`: the namer's name of each record, from what it is, or was before it went."""
+    return history.withColumn("name", F.coalesce(namer(F.col("after")), namer(F.col("before"))))
+
+
 def grouped(history: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Changes as a tree over key fields: counts for each level."""
     return history.rollup("version", *fields).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level")).filter(F.col("version").isNotNull())

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Sequence
+from concurrent.futures import Future
 from dataclasses import dataclass, field
 from hashlib import sha256
 
@@ -20,9 +22,9 @@ from .state import Delta, delta, mutate
 
 @dataclass
 class Producer:
-    """One cycle: mint a version, populate, publish, check, validate, announce; nothing changes if a step fails.
+    """One cycle: mint a version, populate, write it aside, check, validate, make it visible, announce; a step that fails leaves nothing of it behind.
 
-    listeners: called (event, version, details) at each step; one that raises before publishing vetoes the cycle.
+    listeners: called (event, version, details) at each step; one that raises before "published" vetoes the cycle.
     """
 
     store: Store
@@ -52,38 +54,57 @@ class Producer:
         self._tell("cycle_start", version)
         try:
             state = populate(before)
-            changed = before is None or any(not delta(before.types.get(t, df.limit(0)), df).is_empty() for t, df in state.types.items()) or before.types.keys() - state.types.keys()
-            self._tell("populated", version, changed=bool(changed))
-            if not changed:
-                self._tell("no_change", version)
-                return None
             schema = {t: df.schema.json() for t, df in state.types.items()}
             schema_hash = sha256("\n".join(f"{t} {s}" for t, s in sorted(schema.items())).encode()).hexdigest()
-            tags = {**state.tags, "schema_hash": schema_hash, "schema_changed": str(before is not None and before.tags.get("schema_hash") != schema_hash).lower(), "chain": str(self.cycles)}
-            state = Dataset(state.types, state.keys, state.references, version, tags)
+            evolved = before is not None and before.tags.get("schema_hash") != schema_hash
+            tags = {**state.tags, "schema_hash": schema_hash, "schema_changed": str(evolved).lower(), "chain": str(self.cycles)}
             snapshot = before is None or self.cycles % self.snapshot_every == 0
-            self.store.publish(state, version, before, snapshot)
-            self._tell("published", version, snapshot=snapshot)
+            m = self.store.publish(Dataset(state.types, state.keys, state.references, version, tags), version, before, snapshot, stage=True)
+            # From here on the state is what was written, not the plan that made it.
+            state = self.store.written(version)
+            changed = before is None or bool(m.changed) or evolved or before.types.keys() != state.types.keys()
+            self._tell("populated", version, changed=changed)
+            if not changed:
+                self.store.discard(version)
+                self._tell("no_change", version)
+                return None
+            self._tell("staged", version, snapshot=snapshot)
             if self.check_integrity and before is not None:
                 self._integrity(before, state, version)
             outcomes = validate.run(self.validators, state, before)
             self._tell("validated", version, outcomes=outcomes)
+            self.store.commit(version)
+            self._tell("published", version, snapshot=snapshot)
             self.store.announce(version)
             self._tell("announced", version)
         except Exception as e:
+            self.store.discard(version)
             self._tell("cycle_failed", version, error=e)
             self.metrics.append({"version": version, "ok": False, "seconds": time.time() - began})
             raise
-        # The next cycle builds on what was written, not on the plan that made it.
         self.current = self.store.load(version)
         self.cycles += 1
-        self.metrics.append({"version": version, "ok": True, "seconds": time.time() - began})
+        self.metrics.append({"version": version, "ok": True, "seconds": time.time() - began, "changed": sorted(m.changed)})
         return version
 
+    def run_compaction_cycle(self, least: int = 32 << 20, files: int = 1) -> list[str]:
+        """Rewrite those types of the current version's snapshot that lie in too many small files; content and version stay. The types rewritten."""
+        if not self.is_primary() or self.current is None or not self.store.manifest(self.current.version).snapshot:
+            return []
+        found = sorted(self.store.needs_compaction(self.current.version, least, files))
+        if found:
+            self.store.compact(self.current.version, files, found)
+            self._tell("compacted", self.current.version, types=found)
+            self.current = self.store.load(self.current.version)
+        return found
+
     def _integrity(self, before: Dataset, state: Dataset, version: int) -> None:
         forward = self.store.step(before, version)
         back = self.store.step_back(forward)
         for got, want, what in ((forward, state, "delta"), (back, before, "reverse delta")):
+            if got.types.keys() != want.types.keys():
+                raise VersionError(f"{what} of {version} doesn't give the state's types")
+            got = Dataset({t: df.select(*want.types[t].columns) for t, df in got.types.items()})
             a, b = (sorted(map(tuple, d.checksum().collect())) for d in (got, want))
             if a != b:
                 raise VersionError(f"{what} of {version} doesn't give the state: {a} and {b}")
@@ -117,8 +138,28 @@ class Consumer:
     failed: set[int] = field(default_factory=set)
     state: Dataset | None = None
     metrics: list[dict] = field(default_factory=list)
+    lock: threading.RLock = field(default_factory=threading.RLock, repr=False)
+
+    def refresh_later(self, delay: float = 0.0, version: int | None = None) -> Future:
+        """refresh() in a thread of its own after so many seconds; refreshes wait for one another."""
+        out: Future = Future()
+
+        def run() -> None:
+            try:
+                out.set_result(self.refresh(version))
+            except Exception as e:  # handed to who waits
+                out.set_exception(e)
+
+        timer = threading.Timer(delay, run)
+        timer.daemon = True
+        timer.start()
+        return out
 
     def refresh(self, version: int | None = None) -> Dataset | None:
+        with self.lock:
+            return self._refresh(version)
+
+    def _refresh(self, version: int | None = None) -> Dataset | None:
         """To a version, the pinned one, or the announced one; a version that failed once isn't tried again by itself."""
         goal = version if version is not None else self.pinned if self.pinned is not None else self.store.announced()
         if goal is None or self.state is not None and self.state.version == goal or version is None and goal in self.failed:

@@ -32,38 +32,65 @@ def dedup(df: DataFrame) -> DataFrame:
 
 def delta(before: DataFrame, after: DataFrame) -> Delta:
     """By content. Columns of only one side count as null on the other (schema evolution)."""
-    names = [*before.columns, *(c for c in after.columns if c not in before.columns)]
-    a, b = (_with_columns(x, names, y) for x, y in ((before, after), (after, before)))
-    a, b = with_id(a, names), with_id(b, names)
+    names = _all_columns(before, after)
+    a, b = with_id(_aligned(before, names, after), names), with_id(_aligned(after, names, before), names)
     return Delta(b.join(a.select(RID), RID, "left_anti").dropDuplicates([RID]).select(names), a.join(b.select(RID), RID, "left_anti").dropDuplicates([RID]).select(names))
 
 
-def _with_columns(df: DataFrame, names: list[str], other: DataFrame) -> DataFrame:
+def _all_columns(a: DataFrame, b: DataFrame) -> list[str]:
+    return [*a.columns, *(c for c in b.columns if c not in a.columns)]
+
+
+def _aligned(df: DataFrame, names: list[str], other: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") if n in df.columns else F.lit(None).cast(other.schema[n].dataType).alias(n) for n in names])
 
 
-def apply(state: DataFrame, change: Delta) -> DataFrame:
-    return with_id(state).join(with_id(change.removed).select(RID), RID, "left_anti").drop(RID).unionByName(change.added)
+def apply(state: DataFrame, change: Delta, columns: Sequence[str] | None = None) -> DataFrame:
+    """The state after a change. Both are taken in the change's columns (one that the state lacks is null), as the change was made; columns: those that the result has."""
+    names = _all_columns(change.removed, state)
+    a, gone = with_id(_aligned(state, names, change.removed), names), with_id(_aligned(change.removed, names, state), names)
+    out = a.join(gone.select(RID), RID, "left_anti").drop(RID).unionByName(change.added, allowMissingColumns=True)
+    return out.select(*columns) if columns is not None else out
+
+
+def on_keys(left: str, right: str, keys: Sequence[str]) -> Column:
+    """Equality of keys in which null equals null: a key part may be null."""
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(f"{left}.`{k}`").eqNullSafe(F.col(f"{right}.`{k}`"))
+    return out
+
+
+def without_keys(df: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.alias("l").join(gone.select(*keys).alias("r"), on_keys("l", "r", keys), "left_anti")
 
 
 def carry_over(state: DataFrame, removed: DataFrame, added: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Everything of before but rows with a removed or added key, and the added rows."""
     gone = removed.select(*keys).unionByName(added.select(*keys)).distinct()
-    return state.join(gone, list(keys), "left_anti").select(state.columns).unionByName(added)
+    return without_keys(state, gone, keys).select(state.columns).unionByName(added)
 
 
 def changes(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, change, before, after): added, removed or updated by key; records alike on both sides are left out.
 
-    One full outer join by key; rows are compared by content within it.
+    One full outer join by key, null parts included; rows are compared by content within it, by name: a column of only one side counts as null on the other.
     """
-    a = before.select(*keys, F.struct(*comparable(before, before.columns)).alias("__b"), F.struct(*before.columns).alias("before"))
-    b = after.select(*keys, F.struct(*comparable(after, after.columns)).alias("__a"), F.struct(*after.columns).alias("after"))
-    change = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").otherwise("updated")
-    rows = a.join(b, list(keys), "full_outer")
-    if before.columns == after.columns:
-        rows = rows.filter(~F.col("__b").eqNullSafe(F.col("__a")))
-    return rows.select(*keys, change.alias("change"), "before", "after")
+    names = _all_columns(before, after)
+    side = lambda df, other: F.struct(*comparable(_aligned(df, names, other), names))
+    a = _aligned(before, names, after).select(*[F.col(f"`{k}`") for k in keys], side(before, after).alias("__b"), F.struct(*before.columns).alias("before"))
+    b = _aligned(after, names, before).select(*[F.col(f"`{k}`") for k in keys], side(after, before).alias("__a"), F.struct(*after.columns).alias("after"))
+    change = F.when(F.col("__b").isNull(), "added").when(F.col("__a").isNull(), "removed").otherwise("updated")
+    rows = a.alias("l").join(b.alias("r"), on_keys("l", "r", keys), "full_outer").filter(~F.col("__b").eqNullSafe(F.col("__a")))
+    return rows.select(*[F.when(F.col("__b").isNull(), F.col(f"r.`{k}`")).otherwise(F.col(f"l.`{k}`")).alias(k) for k in keys], change.alias("change"), "before", "after")
+
+
+def two_steps(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> tuple[Delta, Delta]:
+    """Two deltas that lead from one state to the other, neither of which removes and adds a record of one key: first what goes or gives way
+    and what is new, then the new content of changed keys."""
+    whole = delta(before, after)
+    changed = whole.added.alias("l").join(whole.removed.select(*keys).distinct().alias("r"), on_keys("l", "r", keys), "left_semi")
+    return Delta(without_keys(whole.added, whole.removed, keys), whole.removed), Delta(changed, whole.removed.limit(0))
 
 
 def change_counts(rows: DataFrame) -> DataFrame:
@@ -84,8 +111,8 @@ def mutate(state: DataFrame, events: DataFrame, keys: Sequence[str], sequence: s
     e = e.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(sequence)))).filter("__r = 1")
     e = e.select(*state.columns, F.col(action).alias("__a"))
     strong = e.filter("__a <> 'insert'").select(*keys)
-    kept = state.join(strong, list(keys), "left_anti").select(state.columns)
-    inserted = e.filter("__a = 'insert'").join(state.select(*keys), list(keys), "left_anti")
+    kept = without_keys(state, strong, keys).select(state.columns)
+    inserted = without_keys(e.filter("__a = 'insert'"), state, keys)
     return kept.unionByName(e.filter("__a = 'upsert'").select(state.columns)).unionByName(inserted.select(state.columns))
 
 

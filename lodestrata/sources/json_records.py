@@ -9,10 +9,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def discover(df: DataFrame, column: str = "value", sample: float = 1.0, maps: Sequence[str] = ()) -> T.StructType:
-    """The schema of JSON texts: integers long, fractions double, conflicts string; objects at `maps` (dotted paths) become maps."""
+def discover(df: DataFrame, column: str = "value", sample: float = 1.0, maps: Sequence[str] = (), strict: bool = False) -> T.StructType:
+    """The schema of JSON texts: integers long, fractions double, conflicts string; objects at `maps` (dotted paths) become maps.
+
+    Texts that aren't JSON are left out; strict: they raise.
+    """
     spark = df.sparkSession
-    found = spark.read.option("samplingRatio", sample).option("primitivesAsString", False).json(df.select(F.col(column)).filter(F.col(column).isNotNull()).rdd.map(lambda r: r[0])).schema
+    texts = df.select(F.col(column).cast("string")).filter(F.col(column).isNotNull())
+    if strict and not (bad := texts.filter(F.try_parse_json(F.col(column)).isNull())).isEmpty():
+        raise ValueError(f"not JSON: {bad.first()[0][:200]}")
+    strings = getattr(texts._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    reader = spark._jsparkSession.read().option("samplingRatio", str(sample)).option("mode", "DROPMALFORMED")
+    found = T._parse_datatype_json_string(reader.json(strings).schema().json())
 
     def visit(kind: T.DataType, path: str) -> T.DataType:
         if isinstance(kind, T.StructType):
@@ -54,6 +62,16 @@ def array_records(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def chunks(df: DataFrame, column: str = "value") -> DataFrame:
+    """The elements of JSON array texts, a row each, as texts: a big array is cut once and its elements parsed wherever they lie. (record, position, value)"""
+    return df.select(F.monotonically_increasing_id().alias("record"), F.posexplode(F.variant_get(F.try_parse_json(column), "$", "array<variant>")).alias("position", "v")).select("record", "position", F.to_json("v").alias("value"))
+
+
+def flat_records(df: DataFrame, schema: T.StructType, column: str = "value") -> DataFrame:
+    """Each JSON text as one self-contained nested record, column `record`; a text that isn't JSON gives null."""
+    return df.select(F.from_json(column, schema).alias("record"))
+
+
 def passthrough(df: DataFrame, known: Sequence[str], column: str = "value") -> DataFrame:
     """df with single_values (unknown scalars as text) and multi_values (unknown arrays as lists of text); nulls and objects are dropped."""
     raw = F.from_json(column, "map<string,string>")

@@ -3,16 +3,18 @@
     <root>/type=T/kind=snapshot|added|removed/version=V/    <root>/manifest/V.json    <root>/announced.json
 
 Deltas carry full rows on both sides, so the reverse delta is the same files with roles swapped.  Data is written first, the manifest makes
-a version visible, the announcement points to it last. Small files go through Spark's Hadoop filesystem, so any store Spark reads will do.
+a version visible (a staged one is read by its own store only), the announcement points to it last. Small files go through Spark's Hadoop filesystem, so any store Spark reads will do.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.dataset import Dataset, Reference
 from ..operators.state import Delta, apply, delta
@@ -29,6 +31,9 @@ class Manifest:
     references: list[dict] = field(default_factory=list)
     tags: dict[str, str] = field(default_factory=dict)
     parts: dict[str, str] = field(default_factory=dict)
+    columns: dict[str, list[str]] = field(default_factory=dict)
+    #: Types whose snapshot lies elsewhere than under its version: type -> folder name.
+    moved: dict[str, str] = field(default_factory=dict)
 
 
 class VersionError(LookupError):
@@ -39,6 +44,8 @@ class Store:
     def __init__(self, spark: SparkSession, root: str, codec: str = "zstd", parts: Mapping[str, str] | None = None):
         """parts: type -> named side folder, read only on demand."""
         self.spark, self.root, self.codec, self.parts = spark, root.rstrip("/"), codec, dict(parts or {})
+        #: Written versions that aren't visible yet: only this store reads them.
+        self._staged: dict[int, Manifest] = {}
 
     # Small files.
 
@@ -48,15 +55,17 @@ class Store:
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
     def _put(self, name: str, value: dict) -> None:
-        """Whole or not at all: written aside, then renamed."""
-        fs, aside, jvm = self._fs(f"{self.root}/.{name.replace('/', '-')}.tmp")
+        """Whole or not at all: written aside, then renamed over what is there in one step."""
+        fs, aside, jvm = self._fs(f"{self.root}/.{name.replace('/', '-')}.{uuid.uuid4().hex}.tmp")
         target = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         out = fs.create(aside, True)
         out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
         out.close()
         fs.mkdirs(target.getParent())
-        fs.delete(target, False)
-        fs.rename(aside, target)
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(aside, target, how)
 
     def _get(self, name: str) -> dict | None:
         fs, p, jvm = self._fs(f"{self.root}/{name}")
@@ -73,6 +82,8 @@ class Store:
         return sorted(int(s.getPath().getName()[:-5]) for s in fs.listStatus(p) if s.getPath().getName().endswith(".json")) if fs.exists(p) else []
 
     def manifest(self, version: int) -> Manifest:
+        if version in self._staged:
+            return self._staged[version]
         got = self._get(f"manifest/{version}.json")
         if got is None:
             raise VersionError(f"no version {version}")
@@ -87,25 +98,57 @@ class Store:
 
     # Publishing.
 
-    def publish(self, state: Dataset, version: int, before: Dataset | None = None, snapshot: bool = True) -> Manifest:
-        """Write a version; with the state before it a delta of the types that changed as well. Types without a change write none."""
-        changed = []
+    def publish(self, state: Dataset, version: int, before: Dataset | None = None, snapshot: bool = True, stage: bool = False) -> Manifest:
+        """Write a version; with the state before it a delta of the types that changed as well. Types without a change write none.
+
+        The state is computed once, as it is written; deltas are made from what was written. stage: nobody else sees the version until commit().
+        """
+        m = Manifest(version, before.version if before is not None else None, True, sorted(state.types), [], {k: list(v) for k, v in state.keys.items()}, [asdict(r) for r in state.references], dict(state.tags), dict(self.parts), {t: df.columns for t, df in state.types.items()})
+        for t, df in state.types.items():
+            self._write(df, self._folder(t, "snapshot", version))
+        self._staged[version] = m
         if before is not None:
-            for t in sorted(state.types.keys() | before.types.keys()):
-                d = self._delta(before, state, t)
-                d = Delta(d.added.persist(), d.removed.persist())
-                if not d.is_empty():
-                    changed.append(t)
-                    self._write(d.added, self._folder(t, "added", version))
-                    self._write(d.removed, self._folder(t, "removed", version))
-                d.added.unpersist(), d.removed.unpersist()
-        if snapshot or before is None:
-            for t, df in state.types.items():
-                self._write(df, self._folder(t, "snapshot", version))
-        m = Manifest(version, before.version if before is not None else None, snapshot or before is None, sorted(state.types), changed, {k: list(v) for k, v in state.keys.items()}, [asdict(r) for r in state.references], dict(state.tags), dict(self.parts))
-        self._put(f"manifest/{version}.json", asdict(m))
+            written = self.snapshot(version)
+            for t in sorted(written.types.keys() | before.types.keys()):
+                d = self._delta(before, written, t)
+                for kind, df in (("added", d.added), ("removed", d.removed)):
+                    self._write(df, self._folder(t, kind, version))
+                if not self.delta(version, t).is_empty():
+                    m.changed.append(t)
+                else:
+                    self._drop(t, "added", version), self._drop(t, "removed", version)
+            m.snapshot = snapshot
+        if not stage:
+            self.commit(version)
         return m
 
+    def written(self, version: int) -> Dataset:
+        """The state of a staged version, whether or not its snapshot will stay."""
+        return self._snapshot(self._staged[version])
+
+    def commit(self, version: int) -> None:
+        """Make a staged version visible; a snapshot that isn't to stay goes."""
+        m = self._staged[version]
+        self._put(f"manifest/{version}.json", asdict(m))
+        del self._staged[version]
+        if not m.snapshot:
+            for t in m.types:
+                self._drop(t, "snapshot", version)
+
+    def discard(self, version: int) -> None:
+        """Take a staged version back, files and all."""
+        m = self._staged.pop(version, None)
+        for t in {*m.types, *self._types()} if m else ():
+            for kind in ("snapshot", "added", "removed"):
+                self._drop(t, kind, version)
+
+    def _types(self) -> set[str]:
+        return {t for v in self.versions() for t in self.manifest(v).types}
+
+    def _drop(self, t: str, kind: str, version: int) -> None:
+        fs, p, _ = self._fs(self._folder(t, kind, version))
+        fs.delete(p, True)
+
     @staticmethod
     def _delta(before: Dataset, state: Dataset, t: str) -> Delta:
         old, new = before.types.get(t), state.types.get(t)
@@ -126,12 +169,19 @@ class Store:
         m = self.manifest(version)
         if not m.snapshot:
             raise VersionError(f"version {version} has no snapshot")
+        return self._snapshot(m, types, columns)
+
+    def _snapshot(self, m: Manifest, types: Sequence[str] | None = None, columns: Mapping[str, Sequence[str]] | None = None) -> Dataset:
         out = {}
         for t in m.types if types is None else [t for t in m.types if t in types]:
-            df = self.spark.read.parquet(self._folder(t, "snapshot", version, m.parts.get(t, "")))
+            df = self.spark.read.parquet(self._snapshot_folder(m, t))
             out[t] = df.select(*columns[t]) if columns and t in columns else df
         return self._dataset(out, m)
 
+    def _snapshot_folder(self, m: Manifest, t: str) -> str:
+        own = self._folder(t, "snapshot", m.version, m.parts.get(t, ""))
+        return f"{own.rpartition('/')[0]}/{m.moved[t]}" if t in m.moved else own
+
     @staticmethod
     def _dataset(types: dict[str, DataFrame], m: Manifest) -> Dataset:
         return Dataset(types, {k: tuple(v) for k, v in m.keys.items()}, tuple(Reference(**r) for r in m.references), m.version, m.tags)
@@ -141,25 +191,32 @@ class Store:
         return Delta(*(self.spark.read.parquet(self._folder(t, k, version, part)) for k in ("added", "removed")))
 
     def step(self, state: Dataset, version: int) -> Dataset:
-        """The state one version on: it has to be the one the delta starts from. Types that aren't loaded stay so."""
+        """The state one version on: it has to be the one the delta starts from. Types that aren't loaded stay so; new ones come, lost ones go, columns are the version's."""
         m = self.manifest(version)
         if m.base != state.version:
             raise VersionError(f"the delta to {version} starts from {m.base}, the state is {state.version}")
-        types = dict(state.types)
-        for t in m.changed:
-            if t in types:
-                types[t] = apply(types[t], self.delta(version, t))
-        return self._dataset(types, m)
+        return self._moved(state, m, self.manifest(m.base), version, False)
 
     def step_back(self, state: Dataset) -> Dataset:
         m = self.manifest(state.version)
         if m.base is None:
             raise VersionError(f"version {state.version} has no delta")
-        types = dict(state.types)
-        for t in m.changed:
-            if t in types:
-                types[t] = apply(types[t], self.delta(state.version, t).reverse())
-        return self._dataset(types, self.manifest(m.base))
+        return self._moved(state, self.manifest(m.base), m, state.version, True)
+
+    def _moved(self, state: Dataset, to: Manifest, from_: Manifest, version: int, back: bool) -> Dataset:
+        types, loaded_all = dict(state.types), set(state.types) >= set(from_.types)
+        for t in self.manifest(version).changed:
+            if t not in types and not (loaded_all and t in to.types and t not in from_.types):
+                continue
+            d = self.delta(version, t)
+            d = d.reverse() if back else d
+            types[t] = apply(types.get(t, d.added.limit(0)), d, to.columns.get(t))
+        for t in set(types) & set(to.types):
+            if to.columns.get(t) and types[t].columns != to.columns[t]:  # a type that only lost or gained empty columns
+                names = to.columns[t]
+                d = self.delta(version, t) if t in self.manifest(version).changed else None
+                types[t] = types[t].select(*[c if c in types[t].columns else F.lit(None).cast(d.added.schema[c].dataType if d else "string").alias(c) for c in names])
+        return self._dataset({t: df for t, df in types.items() if t in to.types}, to)
 
     def plan(self, current: int | None, desired: int, max_deltas: int = 32, allow_snapshot: bool = True) -> list[tuple[str, int]]:
         """Steps (snapshot | delta | reverse, version) towards the newest version <= desired.
@@ -213,20 +270,33 @@ class Store:
             m.snapshot = False
             self._put(f"manifest/{v}.json", asdict(m))
             for t in m.types:
-                fs, p, _ = self._fs(self._folder(t, "snapshot", v, m.parts.get(t, "")))
+                fs, p, _ = self._fs(self._snapshot_folder(m, t))
                 fs.delete(p, True)
         return gone
 
-    def compact(self, version: int, files: int) -> None:
-        """Rewrite a version's snapshot in so many files a type; content is the same."""
-        state = self.snapshot(version)
+    def compact(self, version: int, files: int, only: Sequence[str] | None = None) -> None:
+        """Rewrite a version's snapshot in so many files a type; content is the same. The manifest names the new folders, then the old ones go."""
+        m, state = self.manifest(version), self.snapshot(version, only)
+        old = []
         for t, df in state.types.items():
-            aside = self._folder(t, "compacting", version)
-            self._write(df.repartition(files), aside)
-            fs, p, jvm = self._fs(aside)
-            target = jvm.org.apache.hadoop.fs.Path(self._folder(t, "snapshot", version))
-            fs.delete(target, True)
-            fs.rename(p, target)
+            old.append(self._snapshot_folder(m, t))
+            name = f"compacted={version}-{uuid.uuid4().hex}"
+            self._write(df.repartition(files), f"{old[-1].rpartition('/')[0]}/{name}")
+            m.moved[t] = name
+        self._put(f"manifest/{version}.json", asdict(m))
+        for folder in old:
+            fs, p, _ = self._fs(folder)
+            fs.delete(p, True)
+
+    def needs_compaction(self, version: int, least: int, most_files: int = 1) -> dict[str, int]:
+        """Types of a version's snapshot with over `most_files` files of under `least` bytes on average: how many files they have."""
+        m, out = self.manifest(version), {}
+        for t in m.types if m.snapshot else ():
+            fs, p, _ = self._fs(self._snapshot_folder(m, t))
+            s = fs.getContentSummary(p)
+            if s.getFileCount() > most_files and s.getLength() < least * s.getFileCount():
+                out[t] = s.getFileCount()
+        return out
 
     def footprint(self) -> DataFrame:
         """(type, kind, version, files, bytes) of what is stored."""
@@ -234,7 +304,7 @@ class Store:
         for v in self.versions():
             m = self.manifest(v)
             for t, kind in [(t, "snapshot") for t in m.types if m.snapshot] + [(t, k) for t in m.changed for k in ("added", "removed")]:
-                fs, p, _ = self._fs(self._folder(t, kind, v, m.parts.get(t, "")))
+                fs, p, _ = self._fs(self._snapshot_folder(m, t) if kind == "snapshot" else self._folder(t, kind, v, m.parts.get(t, "")))
                 s = fs.getContentSummary(p)
                 rows.append((t, kind, v, s.getFileCount(), s.getLength()))
         return self.spark.createDataFrame(rows, "type string, kind string, version long, files long, bytes long")
