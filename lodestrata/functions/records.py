@@ -66,6 +66,36 @@ def to_text(df: DataFrame, exclude: tuple[str, ...] = (), collapse: bool = False
     return F.to_json(F.struct(*[shape(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema if f.name not in exclude]), _TIME)
 
 
+def to_lines(df: DataFrame, exclude: tuple[str, ...] = (), collapse: bool = True, sort: tuple[str, ...] = ()) -> Column:
+    """A record as indented text: `name: value` lines, list elements `e0:`, map entries `k:` and `v:`; null where there is none.
+
+    collapse: a struct of one field is written as that field. exclude: fields (dotted paths) written as null. sort: lists (dotted paths) that are sets, in order.
+    """
+
+    def lines(column: Column, kind: T.DataType, depth: int, path: str) -> Column:
+        line = lambda name: F.lit("\n" + "  " * (depth + 1) + name + ": ")
+        if path in exclude:
+            return F.lit("null")
+        if isinstance(kind, T.StructType):
+            if collapse and len(kind) == 1:
+                return lines(column.getField(kind[0].name), kind[0].dataType, depth, path)
+            fields = [F.concat(line(f.name), lines(column.getField(f.name), f.dataType, depth + 1, f"{path}.{f.name}".lstrip("."))) for f in kind]
+            return F.when(column.isNull(), F.lit("null")).otherwise(F.concat(*fields))
+        if isinstance(kind, T.ArrayType):
+            own = F.array_sort(column) if path in sort else column
+            name = lambda i: F.lit("e") if path in sort else F.concat(F.lit("e"), i.cast("string"))
+            each = F.transform(own, lambda x, i: F.concat(F.lit("\n" + "  " * (depth + 1)), name(i), F.lit(": "), lines(x, kind.elementType, depth + 1, path + ".element")))
+            return F.coalesce(F.array_join(each, ""), F.lit("null"))
+        if isinstance(kind, T.MapType):
+            each = F.transform(F.map_entries(column), lambda e: F.concat(line("k"), lines(e["key"], kind.keyType, depth + 1, path + ".key"), line("v"), lines(e["value"], kind.valueType, depth + 1, path + ".value")))
+            return F.coalesce(F.array_join(each, ""), F.lit("null"))
+        if isinstance(kind, T.BinaryType):
+            column = F.hex(column)
+        return F.coalesce(column.cast("string"), F.lit("null"))
+
+    return lines(F.struct(*[F.col(f"`{c}`") for c in df.columns]), df.schema, 0, "")
+
+
 def literal(text: str, kind: T.DataType):
     """A query text as a value of a field's type, or None if it isn't one. Any text but "true" is false for a boolean."""
     try:
@@ -111,6 +141,41 @@ def find_in_map(column: Column, part: str = "value", **keys) -> Column:
     return entry if part == "entry" else entry[part]
 
 
+def index_of(array: Column, value) -> Column:
+    """Position from 0 of the first equal element, -1 for none."""
+    return (F.array_position(array, value) - 1).cast("int")
+
+
+def element_at(array: Column, at: int) -> Column:
+    """The element at a place from 0, or null."""
+    return F.get(array, F.lit(at))
+
+
+def same_lists(a: Column, b: Column) -> Column:
+    """Alike element by element, in order; null is alike to null only."""
+    return a.eqNullSafe(b)
+
+
+def same_sets(a: Column, b: Column) -> Column:
+    """The same elements, in whatever order and number."""
+    return F.sort_array(F.array_distinct(a)).eqNullSafe(F.sort_array(F.array_distinct(b)))
+
+
+def contains_all(array: Column, values: Column) -> Column:
+    return F.size(F.array_except(values, array)) == 0
+
+
+def map_contains(column: Column, key=None, value=None) -> Column:
+    """Whether a map has the key, or some entry the value."""
+    return F.map_contains_key(column, key) if key is not None else F.array_contains(F.map_values(column), value)
+
+
+def compared(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 as values of a field are ordered: nulls first."""
+    less = (a.isNull() & b.isNotNull()) | F.coalesce(a < b, F.lit(False))
+    return F.when(a.eqNullSafe(b), 0).when(less, -1).otherwise(1)
+
+
 def last_index_of(array: Column, value) -> Column:
     """Position from 0 of the last equal element, -1 for none."""
     at = F.array_position(F.reverse(array), value)

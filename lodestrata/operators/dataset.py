@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from graphlib import TopologicalSorter
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.records import RID, comparable, with_id
+from ..functions.records import RID, canonical, comparable, with_id
 from ..plans.schema import TypeSchema
 
 
@@ -53,23 +53,45 @@ class Dataset:
         parts = [df.agg(F.count(F.lit(1)).alias("records")).select(F.lit(t).alias("type"), "records") for t, df in sorted(self.types.items())]
         return _union(parts)
 
-    def checksum(self) -> DataFrame:
-        """Per type a count and a sum over content, independent of order and layout; equal content gives equal rows."""
+    def checksum(self, columns: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+        """Per type a count and a sum over content, independent of order and layout; equal content gives equal rows. columns: only these types and columns of them."""
         parts = []
         for t, df in sorted(self.types.items()):
-            ids = with_id(df).select(RID)
+            if columns is not None and t not in columns:
+                continue
+            ids = with_id(df.select(*columns[t]) if columns is not None else df).select(RID)
             parts.append(ids.agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.sum(F.xxhash64(RID).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("checksum")).select(F.lit(t).alias("type"), "records", "checksum"))
         return _union(parts)
 
+    def common_columns(self, other: Dataset) -> dict[str, list[str]]:
+        """Types of both states with their columns of one name and kind, in order of name: what a checksum of common schemas runs over."""
+        out = {}
+        for t in sorted(self.types.keys() & other.types.keys()):
+            theirs = {f.name: f.dataType for f in other.types[t].schema}
+            out[t] = sorted(f.name for f in self.types[t].schema if theirs.get(f.name) == f.dataType)
+        return {t: c for t, c in out.items() if c}
+
     def field_statistics(self) -> DataFrame:
-        """Per field: nulls, distinct (approximate) and the bytes of its text form, largest and in total."""
+        """Per field: nulls, distinct values (exact), and the bytes of its text form (JSON for nested ones), largest and in total."""
         parts = []
         for t, df in sorted(self.types.items()):
-            aggs = [a for c in df.columns for a in (F.count(F.when(F.col(f"`{c}`").isNull(), 1)).alias(f"{c}/n"), F.max(F.octet_length(F.to_json(F.struct(f"`{c}`")))).alias(f"{c}/m"), F.sum(F.octet_length(F.to_json(F.struct(f"`{c}`")))).alias(f"{c}/s"))]
-            one = df.agg(*aggs)
-            parts.append(one.select(F.explode(F.array(*[F.struct(F.lit(t).alias("type"), F.lit(c).alias("field"), F.col(f"`{c}/n`").alias("nulls"), F.col(f"`{c}/m`").cast("long").alias("max_bytes"), F.col(f"`{c}/s`").cast("long").alias("total_bytes")) for c in df.columns])).alias("x")).select("x.*"))
+            aggs, nested = [], (T.StructType, T.ArrayType, T.MapType)
+            for f in df.schema:
+                c = F.col(f"`{f.name}`")
+                size = F.octet_length(F.to_json(F.struct(c)) if isinstance(f.dataType, nested) else c.cast("binary" if isinstance(f.dataType, T.BinaryType) else "string"))
+                aggs += [F.count(F.when(c.isNull(), 1)).alias(f"{f.name}/n"), F.count_distinct(canonical(c, f.dataType)).alias(f"{f.name}/d"), F.max(size).alias(f"{f.name}/m"), F.sum(size).alias(f"{f.name}/s")]
+            of = lambda c: F.struct(F.lit(t).alias("type"), F.lit(c).alias("field"), F.col(f"`{c}/n`").alias("nulls"), F.col(f"`{c}/d`").alias("distinct_values"), F.col(f"`{c}/m`").cast("long").alias("max_bytes"), F.col(f"`{c}/s`").cast("long").alias("total_bytes"))  # noqa: E731, B023
+            parts.append(df.agg(*aggs).select(F.explode(F.array(*map(of, df.columns))).alias("x")).select("x.*"))
         return _union(parts)
 
+    def with_defaults(self, schemas: Mapping[str, T.StructType], defaults: Mapping[str, Mapping[str, object]] | None = None) -> Dataset:
+        """The types and columns that a reader expects: an absent type is empty, an absent column has its default, null without one; others are left out."""
+        out = {}
+        for t, schema in schemas.items():
+            df, given = self.get(t, schema), (defaults or {}).get(t, {})
+            out[t] = df.select(*[F.col(f"`{f.name}`") if f.name in df.columns else F.lit(given.get(f.name)).cast(f.dataType).alias(f.name) for f in schema])
+        return Dataset(out, self.keys, self.references, self.version, self.tags)
+
     # Closures: selections are type -> DataFrame of records; a semi join per reference, so cost follows the schema's edges.
 
     def _names(self, t: str) -> list[str]:

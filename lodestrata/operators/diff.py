@@ -144,7 +144,7 @@ def equal_pairs(before: DataFrame, after: DataFrame, keys: Sequence[str], unorde
         parts = [_in_common(F.col(f"`{n}`"), df.schema[n].dataType, other.schema[n].dataType, unordered, common).alias(n) for n in names]
         return df.select(*keys, F.sha2(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}), 256).alias(RID))
 
-    a, b = (shaped(df, other).withColumn("__i", F.row_number().over(Window.partitionBy(RID).orderBy(*keys))) for df in (before, after))
+    a, b = (shaped(df, other).withColumn("__i", F.row_number().over(Window.partitionBy(RID).orderBy(*keys))) for df, other in ((before, after), (after, before)))
     return a.select(RID, "__i", *[F.col(k).alias(f"f_{k}") for k in keys]).join(b.select(RID, "__i", *[F.col(k).alias(f"t_{k}") for k in keys]), [RID, "__i"]).drop(RID, "__i")
 
 

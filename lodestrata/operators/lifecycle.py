@@ -17,7 +17,7 @@ from ..plans.schema import dump, from_spark
 from ..sources.store import Store, VersionError
 from . import validate
 from .dataset import Dataset
-from .state import Delta, delta, mutate
+from .state import Delta, dedup, delta, mutate
 
 
 @dataclass
@@ -54,6 +54,8 @@ class Producer:
         self._tell("cycle_start", version)
         try:
             state = populate(before)
+            # Records alike are one; those of a type with a key differ anyhow.
+            state = Dataset({t: df if state.keys.get(t) else dedup(df) for t, df in state.types.items()}, state.keys, state.references, tags=state.tags)
             schema = {t: df.schema.json() for t, df in state.types.items()}
             schema_hash = sha256("\n".join(f"{t} {s}" for t, s in sorted(schema.items())).encode()).hexdigest()
             evolved = before is not None and before.tags.get("schema_hash") != schema_hash
