@@ -365,10 +365,10 @@ def validate_outcomes(spark, d):
 # Indexes.
 
 
-@register("SELECT c_custkey, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING' AND n_name = 'FRANCE'")
+@register("SELECT c_custkey, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING' AND n_name = 'NATION_3'")
 def find_typed(spark, d):
     c = table(spark, d, "customer").join(table(spark, d, "nation").select("n_nationkey", F.struct("n_name").alias("nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    return Find(c).using("c_mktsegment").using("nation.n_name").matches("BUILDING", "FRANCE").select("c_custkey", "c_name")
+    return Find(c).using("c_mktsegment").using("nation.n_name").matches("BUILDING", "NATION_3").select("c_custkey", "c_name")
 
 
 @register("SELECT o_orderkey FROM orders WHERE o_orderkey = 77")

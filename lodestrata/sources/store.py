@@ -292,19 +292,22 @@ class Store:
         """Types of a version's snapshot with over `most_files` files of under `least` bytes on average: how many files they have."""
         m, out = self.manifest(version), {}
         for t in m.types if m.snapshot else ():
-            fs, p, _ = self._fs(self._snapshot_folder(m, t))
-            s = fs.getContentSummary(p)
-            if s.getFileCount() > most_files and s.getLength() < least * s.getFileCount():
-                out[t] = s.getFileCount()
+            files, size = self._size(self._snapshot_folder(m, t))
+            if files > most_files and size < least * files:
+                out[t] = files
         return out
 
+    def _size(self, folder: str) -> tuple[int, int]:
+        """Data files of a folder, and their bytes."""
+        fs, p, _ = self._fs(folder)
+        files = [s for s in fs.listStatus(p) if s.isFile() and s.getPath().getName()[0] not in "._"] if fs.exists(p) else []
+        return len(files), sum(s.getLen() for s in files)
+
     def footprint(self) -> DataFrame:
         """(type, kind, version, files, bytes) of what is stored."""
         rows = []
         for v in self.versions():
             m = self.manifest(v)
             for t, kind in [(t, "snapshot") for t in m.types if m.snapshot] + [(t, k) for t in m.changed for k in ("added", "removed")]:
-                fs, p, _ = self._fs(self._snapshot_folder(m, t) if kind == "snapshot" else self._folder(t, kind, v, m.parts.get(t, "")))
-                s = fs.getContentSummary(p)
-                rows.append((t, kind, v, s.getFileCount(), s.getLength()))
+                rows.append((t, kind, v, *self._size(self._snapshot_folder(m, t) if kind == "snapshot" else self._folder(t, kind, v, m.parts.get(t, "")))))
         return self.spark.createDataFrame(rows, "type string, kind string, version long, files long, bytes long")
