@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.records import RID, canonical, with_id
-from ..plans.paths import leaves, tuples, type_of
+from ..functions.records import RID, canonical, comparable
+from ..plans.paths import leaves, tuples
 from .dataset import Dataset, _union
 from .state import on_keys
 
@@ -25,52 +25,49 @@ def match(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame
     return both.select(*[F.when(F.col("__f").isNull(), F.col(f"r.`{k}`")).otherwise(F.col(f"l.`{k}`")).alias(k) for k in keys], side.alias("side"))
 
 
-def field_scores(before: DataFrame, after: DataFrame, keys: Sequence[str], shortcuts: Sequence[str] = (), exact: bool = True) -> DataFrame:
+def field_scores(before: DataFrame, after: DataFrame, keys: Sequence[str], shortcuts: Sequence[str] = ()) -> DataFrame:
     """(keys, path, score) of matched records that differ: per leaf path the size of the multiset difference of its values.
 
     A changed scalar scores 2, one unmatched value on each side. shortcuts: paths below which nothing is descended; there
-    whole unequal sub-records count. Pairs that are alike drop out before anything is exploded.
+    whole unequal sub-records count. One keyed join: pairs that are alike drop out in it, and of the others all values of both sides are listed
+    within the row and exploded once. A null reference has no values below it, a null scalar is one.
     """
     common = [c for c in before.columns if c in after.columns]
-    only = [(c, -1) for c in before.columns if c not in common] + [(c, 1) for c in after.columns if c not in common]
-    a, b = with_id(before, common), with_id(after, common)
-    pairs = a.select(*keys, F.col(RID).alias("__f")).join(b.select(*keys, F.col(RID).alias("__t")), list(keys))
-    if not only:
-        pairs = pairs.filter("__f <> __t")
-    pairs = pairs.select(*keys)
-    parts = []
-    for df, sign in ((before, 1), (after, -1)):
-        rows = df.join(pairs, list(keys), "left_semi")
-        flat = [p for p in dict.fromkeys([*leaves(T.StructType([f for f in df.schema if f.name in common])), *shortcuts]) if p not in keys and not any(p != s and p.startswith(s + ".") for s in shortcuts)]
-        plain = [p for p in flat if not _collection(df.schema, p)]
-        if plain:
-            # scalars: one explode of all, no join
-            cells = [F.struct(F.lit(p).alias("path"), F.to_json(F.struct(canonical(_get(p), type_of(df.schema, p)).alias("v")), {"ignoreNullFields": "false"}).alias("value"), _holder(p).alias("there")) for p in plain]
-            parts.append(rows.select(*keys, F.explode(F.array(*cells)).alias("c")).filter("c.there").select(*keys, "c.path", "c.value", F.lit(sign).alias("s")))
-        for p in flat:
-            if p not in plain:
-                v = tuples(rows, [p])
-                parts.append(v.select(*[F.col(f"root.`{k}`").alias(k) for k in keys], F.lit(p).alias("path"), F.to_json(F.struct(canonical(F.col("p0"), type_of(df.schema, p)).alias("v")), {"ignoreNullFields": "false"}).alias("value"), F.lit(sign).alias("s")))
-    for c, sign in only:
-        df = before if sign < 0 else after
-        parts.append(df.join(pairs, list(keys), "left_semi").filter(F.col(f"`{c}`").isNotNull()).select(*keys, F.lit(c).alias("path"), F.lit("").alias("value"), F.lit(1).alias("s")))
-    cells = _union(parts).groupBy(*keys, "path", "value").agg(F.abs(F.sum("s")).alias("n")).filter("n > 0")
-    return cells.groupBy(*keys, "path").agg(F.sum("n").alias("score"))
-
-
-def _get(path: str):
-    return F.col(".".join(f"`{n}`" for n in path.split(".")))
-
-
-def _holder(path: str):
-    """Whether the record that holds a path's field is there: a null reference has no value, a null scalar is one."""
-    above = path.rpartition(".")[0]
-    return _get(above).isNotNull() if above else F.lit(True)
-
-
-def _collection(schema: T.StructType, path: str) -> bool:
-    names = path.split(".")
-    return any(isinstance(type_of(schema, ".".join(names[:i])), (T.ArrayType, T.MapType)) for i in range(1, len(names)))
+    side = lambda df, name: df.select(*keys, F.struct(*comparable(df, common)).alias(f"__c{name}"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
+    pairs = side(before, "__f").join(side(after, "__t"), list(keys))
+    if set(before.columns) == set(after.columns):
+        pairs = pairs.filter(~F.col("__c__f").eqNullSafe(F.col("__c__t")))
+    cells = []
+    for df, name, sign in ((before, "__f", 1), (after, "__t", -1)):
+        own = T.StructType([f for f in df.schema if f.name in common])
+        for p in dict.fromkeys([*leaves(own), *shortcuts]):
+            if p not in keys and not any(p != s and p.startswith(s + ".") for s in shortcuts):
+                values = _values(F.col(name), df.schema, p.split("."))
+                cells.append(F.transform(values, _cell(p, sign)))
+        for c in df.columns:
+            if c not in common:
+                there = F.struct(F.lit(c).alias("path"), F.lit("").alias("value"), F.lit(sign).alias("s"))
+                cells.append(F.when(F.col(name).getField(c).isNotNull(), F.array(there)).otherwise(F.array().cast("array<struct<path: string, value: string, s: int>>")))
+    rows = pairs.select(*keys, F.explode(F.concat(*cells)).alias("c")).select(*keys, "c.path", "c.value", "c.s")
+    found = rows.groupBy(*keys, "path", "value").agg(F.abs(F.sum("s")).alias("n")).filter("n > 0")
+    return found.groupBy(*keys, "path").agg(F.sum("n").alias("score"))
+
+
+def _cell(path: str, sign: int) -> Callable[[Column], Column]:
+    return lambda v: F.struct(F.lit(path).alias("path"), v.alias("value"), F.lit(sign).alias("s"))
+
+
+def _values(column: Column, kind: T.DataType, names: Sequence[str]) -> Column:
+    """The values along a path as an array of texts."""
+    if not names:
+        return F.array(F.to_json(F.struct(canonical(column, kind).alias("v")), {"ignoreNullFields": "false"}))
+    none = F.array().cast("array<string>")
+    if isinstance(kind, T.StructType):
+        return F.when(column.isNotNull(), _values(column.getField(names[0]), kind[names[0]].dataType, names[1:])).otherwise(none)
+    if isinstance(kind, T.MapType):
+        part = kind.keyType if names[0] == "key" else kind.valueType
+        return F.coalesce(F.flatten(F.transform(F.map_entries(column), lambda e: _values(e[names[0]], part, names[1:]))), none)
+    return F.coalesce(F.flatten(F.transform(column, lambda x: _values(x, kind.elementType, names[1:]))), none)
 
 
 def field_totals(scores: DataFrame) -> DataFrame:
@@ -159,8 +156,8 @@ def _in_common(column: Column, kind: T.DataType, other: T.DataType, unordered: b
     return canonical(column, kind)
 
 
-def pair_elements(before: list, after: list, most: int = 10_000) -> list[tuple[object, object, int]]:
-    """Elements of one record's two versions side by side: those with least difference first, then what is left alone (None).
+def pair_elements(before: list, after: list, most: int = 10_000, hint: Callable[[object], object] | None = None) -> list[tuple[object, object, int]]:
+    """Elements of one record's two versions side by side: those of one hint key, then those with least difference first, then what is left alone (None).
 
     Difference: leaves not shared. Two elements pair only if they share a leaf. For the display of one pair of records, so bounded.
     """
@@ -176,8 +173,13 @@ def pair_elements(before: list, after: list, most: int = 10_000) -> list[tuple[o
     a, b = [flat(x) for x in before], [flat(x) for x in after]
     scored = sorted(((sum(((x - y) + (y - x)).values()), i, j) for i, x in enumerate(a) for j, y in enumerate(b) if x & y))
     left, right, out = set(range(len(a))), set(range(len(b))), []
+    if hint:
+        named: dict = {}
+        for j, x in enumerate(after):
+            named.setdefault(repr(hint(x)), []).append(j)
+        scored = [(-1, i, named[repr(hint(x))].pop(0)) for i, x in enumerate(before) if named.get(repr(hint(x)))] + scored
     for score, i, j in scored:
         if i in left and j in right:
             left.discard(i), right.discard(j)
-            out.append((before[i], after[j], score))
+            out.append((before[i], after[j], score if score >= 0 else sum(((a[i] - b[j]) + (b[j] - a[i])).values())))
     return out + [(before[i], None, sum(a[i].values())) for i in sorted(left)] + [(None, after[j], sum(b[j].values())) for j in sorted(right)]
