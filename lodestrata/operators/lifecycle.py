@@ -8,9 +8,11 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import Future
 from dataclasses import dataclass, field
 from hashlib import sha256
+from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.records import RID, VersionMinter, with_id
 from ..plans.schema import dump, from_spark
@@ -180,6 +182,38 @@ class Consumer:
         return state
 
 
+class Versions(Protocol):
+    """What a producer needs of a store; any class with these methods will do."""
+
+    def publish(self, state: Dataset, version: int, before: Dataset | None = None, snapshot: bool = True, stage: bool = False): ...
+    def written(self, version: int) -> Dataset: ...
+    def commit(self, version: int) -> None: ...
+    def discard(self, version: int) -> None: ...
+    def announce(self, version: int) -> None: ...
+    def load(self, version: int, current: Dataset | None = None, types: Sequence[str] | None = None, **options) -> Dataset: ...
+
+
+class Announcements(Protocol):
+    """What tells a consumer the version to go to."""
+
+    def announced(self) -> int | None: ...
+
+
+@dataclass
+class Handle:
+    """A type of a consumer's state by name: always of the version that the consumer has by then. A type that isn't there is empty, if its schema is given; disabled: it raises."""
+
+    consumer: Consumer
+    type: str
+    schema: StructType | None = None
+    enabled: bool = True
+
+    def get(self) -> DataFrame:
+        if not self.enabled or self.consumer.state is None:
+            raise LookupError(f"{self.type} can't be read")
+        return self.consumer.state.get(self.type, self.schema)
+
+
 def schema_text(state: Dataset) -> str:
     """The declarations of a state's types."""
     out = {}
@@ -192,6 +226,10 @@ def change_of(before: Dataset, after: Dataset, t: str) -> Delta:
     return delta(before.types[t], after.types[t])
 
 
-def type_overview(state: Dataset) -> DataFrame:
-    """Types with record counts, most first."""
-    return state.counts().orderBy(F.desc("records"), "type")
+def type_overview(state: Dataset, stored: DataFrame | None = None, by: str = "records") -> DataFrame:
+    """Types with their records, fields and key, most first; with a store's footprint the files and bytes of the state's version too."""
+    known = state.counts().join(F.broadcast(next(iter(state.types.values())).sparkSession.createDataFrame([(t, len(df.columns), ",".join(state.keys.get(t, ()))) for t, df in state.types.items()], "type string, fields int, key string")), "type")
+    if stored is not None:
+        sizes = stored.filter((F.col("kind") == "snapshot") & (F.col("version") == state.version)).select("type", "files", "bytes")
+        known = known.join(F.broadcast(sizes), "type", "left")
+    return known.orderBy(F.desc(by), "type")

@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 from ..functions import records as R
 from ..operators import algebra, diff, history, state, validate
-from ..operators.dataset import Dataset
+from ..operators.dataset import Dataset, normalize
 from ..operators.index import CurrentIndex, Find, HashIndex, PrefixIndex, UniqueKeyIndex
-from ..operators.lifecycle import Consumer, Producer
+from ..operators.lifecycle import Consumer, Handle, Producer, type_overview
 from ..operators.objects import ByVersion, ColumnUsage
 from ..operators.query import TypeFilter
-from ..sources.json_records import chunks, discover
+from ..sources.json_records import chunks, discover, flat_records, ingest
 from ..sources.store import Store
-from .catalog import _FROM, _KEY, _THIRD, _TO, _log, _outcomes, after, before, register, star, table, third
+from .catalog import _FROM, _KEY, _THIRD, _TO, _log, _outcomes, after, before, customers, register, star, table, third
+from .schema import from_spark
 
 
 def _folder(spark: SparkSession) -> str:
@@ -316,8 +317,6 @@ def filter_outputs(spark, d):
 
 @register("SELECT 'Region' AS type, 'r_regionkey,r_name' AS columns UNION ALL SELECT 'Nation', 'n_nationkey,n_name'")
 def filter_text_rules(spark, d):
-    from .schema import from_spark
-
     s = star(spark, d)
     renamed = Dataset({t[:1].upper() + t[1:]: df for t, df in s.types.items()})
     schemas = {t: x for n, df in renamed.types.items() for t, x in from_spark(n, df.schema).items()}
@@ -498,3 +497,79 @@ def json_array_chunks(spark, d):
     return chunks(o).select("position", "value").join(back, "value").select("o_custkey", "position", "value")
 
 
+
+
+@register("SELECT o_orderkey, 'A' || o_orderkey AS id, o_orderstatus AS status, o_orderkey % 3 AS m FROM orders")
+def json_remap(spark, d):
+    """Fields from other paths, and a function over a field."""
+    from pyspark.sql import types as T
+
+    texts = table(spark, d, "orders").select(F.to_json(F.struct("o_orderkey", F.struct(F.struct("o_orderstatus").alias("b")).alias("a"), (F.col("o_orderkey") % 3).alias("m"), F.col("o_orderkey").alias("id"))).alias("value"))
+    schema = T.StructType().add("o_orderkey", "long").add("id", "string").add("status", "string").add("m", "long")
+    return ingest(texts, schema, remap={"status": "a.b.o_orderstatus"}, processors={"id": lambda c: F.concat(F.lit("A"), c)})
+
+
+@register("SELECT c_nationkey, c_mktsegment AS key, count(*) AS value FROM customer GROUP BY ALL")
+def json_maps(spark, d):
+    """Maps written as objects and as lists of entries, both read as maps."""
+    from pyspark.sql import types as T
+
+    m = table(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n")).groupBy("c_nationkey").agg(F.collect_list(F.struct(F.col("c_mktsegment").alias("key"), F.col("n").alias("value"))).alias("m"))
+    texts = m.select(F.when(F.col("c_nationkey") % 2 == 0, F.to_json(F.struct("c_nationkey", F.map_from_entries("m").alias("m")))).otherwise(F.to_json(F.struct("c_nationkey", "m"))).alias("value"))
+    schema = T.StructType([T.StructField("c_nationkey", T.IntegerType()), T.StructField("m", T.MapType(T.StringType(), T.LongType()))])
+    return ingest(texts, schema).select("c_nationkey", F.explode("m").alias("key", "value"))
+
+
+@register("SELECT c_custkey, true AS same FROM customer")
+def flat_record_round_trip(spark, d):
+    """Each nested customer as one self-contained text, and back."""
+    c = customers(spark, d)
+    back = flat_records(c.select(R.to_text(c).alias("value")), c.schema).select("record.*")
+    a, b = (x.select("c_custkey", R.record_id(x, sets=True).alias(n)) for x, n in ((c, "a"), (back, "b")))
+    return a.join(b, "c_custkey").select("c_custkey", (F.col("a") == F.col("b")).alias("same"))
+
+
+@register("SELECT 'Customer' AS type, count(*) AS records FROM customer UNION ALL SELECT 'Nation', count(DISTINCT c_nationkey) FROM customer UNION ALL SELECT 'Region', count(DISTINCT n_regionkey) FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer)")
+def flat_record_dump(spark, d):
+    """Self-contained texts dumped into the types of a dataset."""
+    c = customers(spark, d).drop("orders")
+    records = flat_records(c.select(R.to_text(c).alias("value")), c.schema).select("record.*")
+    return Dataset(normalize(records, from_spark("Customer", c.schema), "Customer")[0]).counts()
+
+
+@register("SELECT 'orders' AS type, (SELECT count(*) FROM orders) AS records, 6 AS fields, 'o_orderkey' AS key UNION ALL SELECT 'customer', (SELECT count(*) FROM customer), (SELECT count(*) FROM (DESCRIBE customer)), 'c_custkey' UNION ALL SELECT 'nation', (SELECT count(*) FROM nation), 3, 'n_nationkey' UNION ALL SELECT 'region', (SELECT count(*) FROM region), 2, 'r_regionkey'")
+def types_overview(spark, d):
+    return type_overview(star(spark, d)).withColumn("fields", F.col("fields").cast("int"))
+
+
+@register(f"WITH {_FROM}, {_TO} SELECT 'held' AS of, * FROM f UNION ALL SELECT 'handle', * FROM t")
+def handles_and_held_states(spark, d):
+    """A state that is held stays what it was as the consumer moves on; a handle goes with the consumer."""
+    store = Store(spark, _folder(spark))
+    store.publish(_state(before(spark, d)), 1)
+    consumer = Consumer(store)
+    held, handle = consumer.refresh(1).types["orders"], Handle(consumer, "orders")
+    store.publish(_state(after(spark, d)), 2, store.snapshot(1))
+    store.announce(2)
+    consumer.refresh()
+    return held.select(F.lit("held").alias("of"), "*").unionByName(handle.get().select(F.lit("handle").alias("of"), "*"))
+
+
+@register("SELECT * FROM (VALUES ('pinned', 1::BIGINT), ('announced', 2), ('failed, stays', 2), ('not again', 2)) v(step, version)")
+def consumer_refreshes(spark, d):
+    """A pinned consumer, one that follows, one whose refresh fails and isn't tried again by itself."""
+    store = Store(spark, _folder(spark))
+    store.publish(_state(before(spark, d)), 1)
+    store.publish(_state(after(spark, d)), 2, store.snapshot(1))
+    store.announce(2)
+    rows = [("pinned", Consumer(store, pinned=1).refresh().version)]
+    c = Consumer(store, allow_snapshot=False)
+    rows.append(("announced", c.refresh().version))
+    store.publish(_state(third(spark, d)), 3)  # a snapshot only: no chain leads there
+    store.announce(3)
+    try:
+        c.refresh()
+    except LookupError:
+        rows.append(("failed, stays", c.state.version))
+    rows.append(("not again", c.refresh().version))
+    return spark.createDataFrame(rows, "step string, version long")
