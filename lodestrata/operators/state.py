@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.records import RID, comparable, with_id
 
@@ -33,10 +34,23 @@ def dedup(df: DataFrame) -> DataFrame:
 def delta(before: DataFrame, after: DataFrame) -> Delta:
     """By content. Columns of only one side count as null on the other (schema evolution)."""
     names = _all_columns(before, after)
-    a, b = with_id(_aligned(before, names, after), names), with_id(_aligned(after, names, before), names)
+    a, b = _aligned(before, names, after), _aligned(after, names, before)
+    if _comparable(a, b):
+        return Delta(b.subtract(a), a.subtract(b))
+    a, b = with_id(a, names), with_id(b, names)
     return Delta(b.join(a.select(RID), RID, "left_anti").dropDuplicates([RID]).select(names), a.join(b.select(RID), RID, "left_anti").dropDuplicates([RID]).select(names))
 
 
+def _comparable(a: DataFrame, b: DataFrame) -> bool:
+    """Whether rows can be joined on their columns as they are: of one kind on both sides, and without maps. Else they are compared by content id."""
+    def maps(kind: T.DataType) -> bool:
+        if isinstance(kind, T.StructType):
+            return any(maps(f.dataType) for f in kind)
+        return isinstance(kind, T.MapType) or isinstance(kind, T.ArrayType) and maps(kind.elementType)
+
+    return all(f.dataType == g.dataType and not maps(f.dataType) for f, g in zip(a.schema, b.schema))
+
+
 def _all_columns(a: DataFrame, b: DataFrame) -> list[str]:
     return [*a.columns, *(c for c in b.columns if c not in a.columns)]
 
@@ -48,8 +62,12 @@ def _aligned(df: DataFrame, names: list[str], other: DataFrame) -> DataFrame:
 def apply(state: DataFrame, change: Delta, columns: Sequence[str] | None = None) -> DataFrame:
     """The state after a change. Both are taken in the change's columns (one that the state lacks is null), as the change was made; columns: those that the result has."""
     names = _all_columns(change.removed, state)
-    a, gone = with_id(_aligned(state, names, change.removed), names), with_id(_aligned(change.removed, names, state), names)
-    out = a.join(gone.select(RID), RID, "left_anti").drop(RID).unionByName(change.added, allowMissingColumns=True)
+    a, gone = _aligned(state, names, change.removed), _aligned(change.removed, names, state)
+    if _comparable(a, gone):
+        kept = without_keys(a, gone, names)
+    else:
+        kept = with_id(a, names).join(with_id(gone, names).select(RID), RID, "left_anti").drop(RID)
+    out = kept.unionByName(change.added, allowMissingColumns=True)
     return out.select(*columns) if columns is not None else out
 
 
