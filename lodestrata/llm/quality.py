@@ -55,6 +55,30 @@ def indicators(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+def descend(x: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, c: float, epochs: int, seed: int) -> tuple[np.ndarray, float, np.ndarray]:
+    """Dual coordinate descent on the hinge loss over scaled indicators: weights, intercept and the dual variables, each between 0 and its row's cost.
+
+    A row's indicators are scaled by the class ratio and the root of their number; each class costs the same in all.
+    """
+    n = len(x)
+    w, b, alpha = np.zeros(len(ratio)), 0.0, np.zeros(n)
+    scaled = [ratio[f] / math.sqrt(max(1, len(f))) for f in x]
+    norm = [float(v @ v) + 1.0 for v in scaled]
+    cost = [c * n / (2 * max(1, (y == t).sum())) * 20 for t in y]
+    order = np.random.default_rng(seed)
+    for _ in range(epochs):
+        for i in order.permutation(n):
+            s = 1.0 if y[i] else -1.0
+            gradient = s * (float(w[x[i]] @ scaled[i]) + b) - 1
+            new = min(max(alpha[i] - gradient / norm[i], 0.0), cost[i])
+            if new != alpha[i]:
+                step = (new - alpha[i]) * s
+                w[x[i]] += step * scaled[i]
+                b += step
+                alpha[i] = new
+    return w, b, alpha
+
+
 def fit(texts: list[bytes], labels: list[int], c: float = 0.1, epochs: int = 12, seed: int = 1) -> dict:
     """Scale indicators by class log-count ratios, then hinge loss by dual coordinate descent; scores by a logistic fit of margins."""
     y = np.array(labels, float)
@@ -67,39 +91,20 @@ def fit(texts: list[bytes], labels: list[int], c: float = 0.1, epochs: int = 12,
         (pos if t else neg)[f] += 1
     ratio = np.log((pos / pos.sum()) / (neg / neg.sum()))
 
-    def descend(rows: np.ndarray) -> tuple[np.ndarray, float]:
-        w, b, alpha = np.zeros(FEATURES), 0.0, np.zeros(len(x))
-        scaled = {i: ratio[x[i]] / math.sqrt(max(1, len(x[i]))) for i in rows}
-        norm = {i: float(v @ v) + 1.0 for i, v in scaled.items()}
-        # each class weighs the same in all
-        cost = {i: c * len(rows) / (2 * max(1, (y[rows] == y[i]).sum())) * 20 for i in rows}
-        order = np.random.default_rng(seed)
-        for _ in range(epochs):
-            for i in order.permutation(rows):
-                s = 1.0 if y[i] else -1.0
-                gradient = s * (float(w[x[i]] @ scaled[i]) + b) - 1
-                new = min(max(alpha[i] - gradient / norm[i], 0.0), cost[i])
-                if new != alpha[i]:
-                    step = (new - alpha[i]) * s
-                    w[x[i]] += step * scaled[i]
-                    b += step
-                    alpha[i] = new
-        return w, b
-
     def margins(w: np.ndarray, b: float, rows) -> np.ndarray:
         return np.array([float((w[x[i]] * ratio[x[i]]).sum()) / math.sqrt(max(1, len(x[i]))) + b for i in rows])
 
     rows = np.arange(len(x))
     # The logistic scale comes from rows that a first fit has not seen.
     away = rows % 4 == 0
-    w, b = descend(rows[~away]) if len(set(y[~away])) == 2 else (np.zeros(FEATURES), 0.0)
+    w, b, _ = descend([x[i] for i in rows[~away]], y[~away], ratio, c, epochs, seed) if len(set(y[~away])) == 2 else (np.zeros(FEATURES), 0.0, None)
     m, t = margins(w, b, rows[away]), y[away]
     a0, a1 = 1.0, 0.0
     for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(a0 * m + a1, -30, 30)))
         a0 -= 0.5 * (float(((p - t) * m).mean()) / max(1e-9, float((m * m).mean())) * 4 + 1e-3 * a0)
         a1 -= 0.5 * float((p - t).mean()) * 4
-    w, b = descend(rows)
+    w, b, _ = descend(x, y, ratio, c, epochs, seed)
     return {"w": (w * ratio).astype(np.float32), "b": float(b), "scale": (max(0.1, float(a0)), float(a1))}
 
 

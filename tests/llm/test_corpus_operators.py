@@ -223,6 +223,46 @@ def test_stems_are_learned_only_with_enough_proof():
     assert not set(INSULTS) & learn_stems(["you idiot"] * 50 + ["fine"] * 50, [1] * 50 + [0] * 50)
 
 
+def test_dual_descent_reaches_the_optimum():
+    """On a small problem the primal and dual values meet, and the weights are those of the dual variables."""
+    from lodestrata.llm.quality import descend
+
+    r = np.random.default_rng(3)
+    x = [np.unique(r.integers(0, 40, 8)) for _ in range(60)]
+    y = np.array([float(len(set(f.tolist()) & set(range(10))) > 1) for f in x])
+    y[::9] = 1 - y[::9]
+    ratio, c = r.normal(size=40), 0.05
+    w, b, alpha = descend(x, y, ratio, c, 3000, 1)
+    s = np.where(y > 0, 1.0, -1.0)
+    cost = np.array([c * len(x) / (2 * (y == t).sum()) * 20 for t in y])
+    dense = np.zeros((60, 41))
+    for i, f in enumerate(x):
+        dense[i, f], dense[i, 40] = ratio[f] / np.sqrt(len(f)), 1.0
+    assert np.allclose(dense.T @ (alpha * s), np.append(w, b)) and (alpha >= 0).all() and (alpha <= cost + 1e-12).all()
+    theta = np.append(w, b)
+    primal = theta @ theta / 2 + (cost * np.maximum(0, 1 - s * (dense @ theta))).sum()
+    assert primal == pytest.approx(alpha.sum() - theta @ theta / 2, rel=1e-3)
+
+
+def test_quality_scores_equal_a_plain_version(spark):
+    """Ratios, indicators and scores of the fitted model, one text at a time."""
+    import math
+
+    from lodestrata.llm import quality as Q
+
+    r = random.Random(8)
+    texts = [" ".join(r.choice("haus baum ### $$ zeit und viel 12 99".split()) for _ in range(r.randint(3, 30))) for _ in range(60)]
+    labels = [int("haus" in t) for t in texts]
+    model = Q.fit([t.encode() for t in texts], labels)
+    df = docs(spark, list(enumerate(texts)) + [(100, None), (101, "")])
+    got = {x.doc_id: x.own for x in Q.score_quality(df.select("doc_id", "text"), model, "text", "own").collect()}
+    for i, t in [*enumerate(texts), (100, ""), (101, "")]:
+        f = Q.indicators([t.encode()])[0]
+        z = sum(float(model["w"][k]) for k in f) / math.sqrt(max(1, len(f))) + model["b"]
+        a0, a1 = model["scale"]
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, a0 * z + a1)))), rel=1e-4)
+
+
 # 5
 
 
@@ -397,3 +437,50 @@ def test_payload_join_without_broadcast(spark, monkeypatch):
 
     monkeypatch.setattr(warc, "BROADCAST_BYTES", 0)
     test_archives_round_trip(spark)
+
+
+def hot_rows():
+    """A third of all rows are copies, one word is in nearly all, one text is very long, some rows repeat, some are null or empty."""
+    r = random.Random(31)
+    rows = [(i, "the " + " ".join(r.choice("red green blue grey of the".split()) for _ in range(r.randint(1, 40)))) for i in range(120)]
+    rows += [(200 + i, "the same copied text of a few words that very many documents have in common") for i in range(70)]
+    return rows + [(900, " ".join(r.choice("red green blue the".split()) for _ in range(60_000))), (901, None), (902, ""), (3, rows[3][1]), (None, rows[4][1])]
+
+
+def test_contamination_with_hot_terms_and_long_texts(spark):
+    rows = hot_rows()
+    items = [(1, "the"), (2, "the same copied text of a few words that very many"), (3, " ".join(rows[-5][1].split()[40_000:40_015])), (4, "of the of the of the of the of the"), (5, "grey red")]
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"), 10).collect())
+    assert got == brute_contamination(rows, items, 10)
+
+
+def test_fingerprints_of_hot_and_long_texts(spark):
+    rows = hot_rows()
+
+    def fingerprint(t):
+        w = (t or "").encode().lower().split()
+        h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))] if w else []
+        return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+
+    fps = [fingerprint(t) for _, t in rows]
+    best = [-(2**63) if i is None else i for i, _ in rows]
+    for _ in range(20):
+        best = [min(b for b, g in zip(best, fps) if (f ^ g).bit_count() <= 2) for f in fps]
+    got = sorted((-(2**63) if x.doc_id is None else x.doc_id, x.fingerprint, -(2**63) if x.component_id is None else x.component_id) for x in near_duplicates(docs(spark, rows), 3, 2).collect())
+    assert got == sorted((-(2**63) if i is None else i, f"{f:016x}", c) for (i, _), f, c in zip(rows, fps, best))
+
+
+def test_shards_and_archives_of_hot_and_long_texts(spark):
+    rows = hot_rows()
+    got = sorted((r.shard, r.slot, r.size) for r in shard_by_bytes(docs(spark, rows), 5).collect())
+    total, before = sum(x[2] for x in got), 0
+    assert len(got) == len(rows) and total == sum(len((t or "").encode()) + 1 for _, t in rows)
+    for shard in range(5):
+        assert [x[1] for x in got if x[0] == shard] == list(range(sum(x[0] == shard for x in got)))
+    for shard, _, size in got:
+        assert shard == before * 5 // total
+        before += size
+    pages = spark.createDataFrame([(i, "u", t, 1) for i, t in rows], "page_id long, url string, html string, first long")
+    back = archive_and_read(pages, least=20).collect()
+    assert len(back) == len(rows) and sum(x.record_type == "revisit" and x.refers_to == 200 for x in back) == 69
+    assert max(x.payload_bytes for x in back) == len(rows[-5][1])

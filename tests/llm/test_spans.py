@@ -195,3 +195,24 @@ def test_covered_windows():
     text = np.frombuffer(b"xxABCDyyzzABCDyy", np.uint8)
     lo, hi = covered(text, np.array([8, 16]), np.arange(2), np.zeros(2, int), 5)
     assert (lo[0], hi[0]) == (0, 0) and (lo[1], hi[1]) == (2, 8)
+
+
+@pytest.mark.parametrize("other_document", [False, True])
+def test_windows_of_hot_buckets_over_many_batches(other_document):
+    """Windows by digest, in batches that cut their buckets: all but the first of each are covered; known runs are passed on."""
+    unit, r, table = spans.Unit(13, 5, True, other_document), random.Random(5), []
+    for h in range(30):
+        for _ in range(r.choice([1, 1, 3, 200])):
+            table.append((h, r.randint(0, 60), r.randint(0, 3), r.choice([b"aaaa", b"bbbb"])))
+    table.sort(key=lambda x: (x[0], x[1], x[2]))
+    batch = pa.RecordBatch.from_arrays([pa.array([x[0] for x in table]), pa.array([x[1] for x in table]), pa.array([x[1] for x in table]), pa.array([x[2] for x in table], pa.int32()), pa.array([spans.WINDOW] * len(table), pa.int32()), pa.array([x[3] for x in table], pa.binary())], ["h", "k", "tag", "pos", "before", "context"])
+    known = pa.RecordBatch.from_arrays([pa.array([99]), pa.array([7]), pa.array([8]), pa.array([20], pa.int32()), pa.array([30], pa.int32()), pa.array([None], pa.binary())], batch.schema.names)
+    first, want = {}, [(7, 8, 20, 50)]
+    for h, k, pos, digest in table:
+        who, at = first.setdefault((h, digest), (k, pos))
+        if k != who or not other_document and pos != at:
+            want.append((k, k, pos, pos + 13))
+    for size in (1000, 37, 1):
+        cut = [*(batch.slice(i, size) for i in range(0, batch.num_rows, size)), known]
+        got = [x for b in spans._covers_of(unit, parsed_buckets(13))(iter(cut)) for x in zip(*(c.to_pylist() for c in b.columns))]
+        assert sorted(got) == sorted(want)
