@@ -327,7 +327,7 @@ def filter_text_rules(spark, d):
 # Aggregates.
 
 
-@register("SELECT 'customer' AS type, 'c_mktsegment' AS field, 0::BIGINT AS nulls, count(DISTINCT c_mktsegment) AS distinct_values, max(strlen(c_mktsegment))::BIGINT AS max_bytes, sum(strlen(c_mktsegment))::BIGINT AS total_bytes FROM customer UNION ALL SELECT 'customer', 'c_name', 0, count(DISTINCT c_name), max(strlen(c_name)), sum(strlen(c_name)) FROM customer UNION ALL SELECT 'customer', 'odd', count(*) - count(CASE WHEN c_custkey % 2 = 1 THEN 1 END), count(DISTINCT CASE WHEN c_custkey % 2 = 1 THEN c_custkey END), max(CASE WHEN c_custkey % 2 = 1 THEN strlen(c_custkey::VARCHAR) END), sum(CASE WHEN c_custkey % 2 = 1 THEN strlen(c_custkey::VARCHAR) END) FROM customer")
+@register("SELECT 'customer' AS type, 'c_mktsegment' AS field, 0::BIGINT AS nulls, count(DISTINCT c_mktsegment) AS distinct_values, max(strlen(c_mktsegment))::BIGINT AS max_bytes, sum(strlen(c_mktsegment))::BIGINT AS total_bytes FROM customer UNION ALL SELECT 'customer', 'c_name', 0, count(DISTINCT c_name), max(strlen(c_name)), sum(strlen(c_name))::BIGINT FROM customer UNION ALL SELECT 'customer', 'odd', count(*) - count(CASE WHEN c_custkey % 2 = 1 THEN 1 END), count(DISTINCT CASE WHEN c_custkey % 2 = 1 THEN c_custkey END), max(CASE WHEN c_custkey % 2 = 1 THEN strlen(c_custkey::VARCHAR) END), sum(CASE WHEN c_custkey % 2 = 1 THEN strlen(c_custkey::VARCHAR) END)::BIGINT FROM customer")
 def field_statistics(spark, d):
     c = table(spark, d, "customer").select("c_name", "c_mktsegment", F.when(F.col("c_custkey") % 2 == 1, F.col("c_custkey")).alias("odd"))
     return Dataset({"customer": c}).field_statistics()
@@ -537,7 +537,7 @@ def flat_record_dump(spark, d):
     return Dataset(normalize(records, from_spark("Customer", c.schema), "Customer")[0]).counts()
 
 
-@register("SELECT 'orders' AS type, (SELECT count(*) FROM orders) AS records, 6 AS fields, 'o_orderkey' AS key UNION ALL SELECT 'customer', (SELECT count(*) FROM customer), (SELECT count(*) FROM (DESCRIBE customer)), 'c_custkey' UNION ALL SELECT 'nation', (SELECT count(*) FROM nation), 3, 'n_nationkey' UNION ALL SELECT 'region', (SELECT count(*) FROM region), 2, 'r_regionkey'")
+@register("SELECT 'orders' AS type, (SELECT count(*) FROM orders) AS records, 6 AS fields, 'o_orderkey' AS key UNION ALL SELECT 'customer', (SELECT count(*) FROM customer), (SELECT count(*) FROM (DESCRIBE customer))::INT, 'c_custkey' UNION ALL SELECT 'nation', (SELECT count(*) FROM nation), 3, 'n_nationkey' UNION ALL SELECT 'region', (SELECT count(*) FROM region), 2, 'r_regionkey'")
 def types_overview(spark, d):
     return type_overview(star(spark, d)).withColumn("fields", F.col("fields").cast("int"))
 
