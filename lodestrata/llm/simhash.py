@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import pickle
 import tempfile
-from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -102,14 +101,61 @@ class Forest:
         if i != j:
             self.up[max(i, j)] = min(i, j)
 
-    def unite(self, hits: np.ndarray, rows: np.ndarray, columns: np.ndarray, check: Callable[[int, int], bool] | None = None) -> None:
-        """Each row's hits fall together; hits within what is already one component cost nothing. check: confirms a link, if it isn't implied."""
+    def unite(self, hits: np.ndarray, rows: np.ndarray, columns: np.ndarray, check: Similar | None = None) -> None:
+        """Each row's hits fall together; hits within what is already one component cost nothing. check: confirms a link, if it isn't implied; pairs have to come both ways."""
         n, own, mine = len(self.up), self.roots(columns), self.roots(rows)
         low, high = np.where(hits, own, n).min(1), np.where(hits, own, -1).max(1)
         for i in np.flatnonzero((high >= 0) & ((low != high) | (low != mine))).tolist():
-            for c in columns[hits[i]].tolist():
-                if check is None or self.root(c) != self.root(int(rows[i])) and check(c, int(rows[i])):
-                    self.join(c, int(rows[i]))
+            row, found = int(rows[i]), columns[hits[i]]
+            if check:
+                found = found[found < row]
+                found = check.maybe(row, found[self.roots(found) != self.root(row)])
+            for c in found.tolist():
+                if check is None or self.root(c) != self.root(row) and check.sure(c, row):
+                    self.join(c, row)
+
+
+class Similar:
+    """Which sets of sorted hashes, end to end in an array (that may be a file), have a Jaccard similarity of so much."""
+
+    SLOTS, AT_ONCE = 1 << 22, 1 << 22
+
+    def __init__(self, hashes: np.ndarray, ends: list[int], similarity: float):
+        self.hashes, self.ends, self.least = hashes, np.array(ends), similarity
+        self.sizes = np.diff(self.ends)
+        self.mark = np.zeros(self.SLOTS, bool)
+
+    def _slots(self, a: int, b: int) -> np.ndarray:
+        return (self.hashes[a:b] & np.uint64(self.SLOTS - 1)).astype(np.int64)
+
+    def maybe(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of the others that could be as similar: by size, then by slots of their hashes, which are alike more often than the hashes, never less."""
+        few, many = np.minimum(self.sizes[others], self.sizes[i]), np.maximum(self.sizes[others], self.sizes[i])
+        others = others[few >= self.least * many]
+        if len(others) < 8:
+            return others
+        own = self._slots(self.ends[i], self.ends[i + 1])
+        self.mark[own] = True
+        common = np.zeros(len(others), np.int64)
+        first = 0
+        while first < len(others):  # so many at once that what is read of them stays small
+            last = first + max(1, int(np.searchsorted(np.cumsum(self.sizes[others[first:]]), self.AT_ONCE, "right")))
+            part = others[first:last]
+            if part[-1] - part[0] == len(part) - 1:  # neighbours: one range
+                slots, size = self._slots(self.ends[part[0]], self.ends[part[-1] + 1]), self.sizes[part]
+            else:
+                slots, size = np.concatenate([self._slots(self.ends[c], self.ends[c + 1]) for c in part.tolist()]), self.sizes[part]
+            sums = np.concatenate([[0], np.cumsum(self.mark[slots])])
+            edge = np.concatenate([[0], np.cumsum(size)])
+            common[first:last] = sums[edge[1:]] - sums[edge[:-1]]
+            first = last
+        self.mark[own] = False
+        both = self.sizes[others] + self.sizes[i]
+        return others[common >= self.least * (both - np.minimum(common, both - 1))]
+
+    def sure(self, i: int, j: int) -> bool:
+        few, many = sorted((self.sizes[i], self.sizes[j]))
+        return few >= self.least * many and jaccard(self.hashes[self.ends[i] : self.ends[i + 1]], self.hashes[self.ends[j] : self.ends[j + 1]]) >= self.least
 
 
 class BKTree:
@@ -158,14 +204,14 @@ class BKTree:
                         todo.append((child, follow))
 
 
-def tree_links(fps: np.ndarray, radius: int, check: Callable[[int, int], bool] | None = None) -> np.ndarray:
+def tree_links(fps: np.ndarray, radius: int, check: Similar | None = None) -> np.ndarray:
     """For each fingerprint the first member of its component under distance <= radius, by a BK-tree that all search together.
 
     With `check`, only links that it confirms count; it isn't asked about what is already one component.
     """
     forest = Forest(len(fps))
     for members, queries, hits in BKTree(fps).visit(fps, radius):
-        forest.unite(hits, members, queries, (lambda i, j: i != j and check(i, j)) if check else None)
+        forest.unite(hits, members, queries, check)
     return forest.roots(np.arange(len(fps)))
 
 
@@ -315,12 +361,7 @@ def confirmed(candidates: DataFrame, shingle: int, radius: int, lanes: int, simi
             def groups() -> pa.RecordBatch:
                 file.flush()
                 hashes = np.memmap(file, np.uint64, "r", shape=(ends[-1],)) if ends[-1] else np.zeros(0, np.uint64)
-
-                def check(i: int, j: int) -> bool:
-                    few, many = sorted((ends[i + 1] - ends[i], ends[j + 1] - ends[j]))
-                    return few >= similarity * many and jaccard(hashes[ends[i] : ends[i + 1]], hashes[ends[j] : ends[j + 1]]) >= similarity
-
-                label = tree_links(np.array(fps, np.uint8).view(">u8").astype(np.uint64), radius, check)
+                label = tree_links(np.array(fps, np.uint8).view(">u8").astype(np.uint64), radius, Similar(hashes, ends, similarity))
                 own = np.fromiter(names, np.int64, len(names))
                 return pa.RecordBatch.from_arrays([pa.array(own), pa.array(own[label])], ["same", "group"])
 

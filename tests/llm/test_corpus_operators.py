@@ -484,3 +484,25 @@ def test_shards_and_archives_of_hot_and_long_texts(spark):
     back = archive_and_read(pages, least=20).collect()
     assert len(back) == len(rows) and sum(x.record_type == "revisit" and x.refers_to == 200 for x in back) == 69
     assert max(x.payload_bytes for x in back) == len(rows[-5][1])
+
+
+def test_sets_are_compared_in_bulk():
+    """Components of links that sets confirm equal those of all pairs, where many sets are about as similar as is asked."""
+    from lodestrata.llm.simhash import Similar, jaccard, majority
+
+    r, sets = np.random.default_rng(5), []
+    base = np.unique(r.integers(0, 2**63, 200, dtype=np.uint64))
+    for _ in range(150):
+        k = int(r.integers(5, 70))
+        sets.append(np.unique(np.concatenate([base[r.permutation(len(base))[k:]], r.integers(0, 2**63, k, dtype=np.uint64)])))
+    sets.append(np.zeros(0, np.uint64))
+    fps = np.array([majority(s, 16) for s in sets], np.uint8).view(">u8").astype(np.uint64)
+    near = np.array([[np.bitwise_count(a ^ b).sum() <= 256 and jaccard(s, t) >= 0.8 for b, t in zip(fps, sets)] for a, s in zip(fps, sets)])
+    label = np.arange(len(sets))
+    for _ in range(60):
+        label = np.where(near, label[None, :], len(sets)).min(1)
+    hashes, ends = np.concatenate(sets), [0, *np.cumsum([len(s) for s in sets]).tolist()]
+    for at_once in (1 << 22, 500):
+        check = Similar(hashes, ends, 0.8)
+        check.AT_ONCE = at_once
+        assert (tree_links(fps, 256, check) == label).all() and 1 < len(set(label.tolist())) < len(sets)
