@@ -492,9 +492,9 @@ def json_discover(spark, d):
 
 @register("SELECT o_custkey, position::INT AS position, l[position + 1] AS value FROM (SELECT o_custkey, l, unnest(range(len(l))) AS position FROM (SELECT o_custkey, list(o_orderkey::VARCHAR ORDER BY o_orderkey) AS l FROM orders GROUP BY o_custkey))")
 def json_array_chunks(spark, d):
-    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.to_json(F.sort_array(F.collect_list("o_orderkey"))).alias("value"))
-    back = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").cast("string").alias("value"))
-    return chunks(o).select("position", "value").join(back, "value").select("o_custkey", "position", "value")
+    nulls = F.array_repeat(F.lit(None).cast("long"), F.count_if(F.col("o_orderkey").isNull()).cast("int"))
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.to_json(F.concat(F.sort_array(F.collect_list("o_orderkey")), nulls)).alias("value"))
+    return chunks(o, keep=["o_custkey"]).select("o_custkey", "position", F.nullif("value", F.lit("null")).alias("value"))
 
 
 

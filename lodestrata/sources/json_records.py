@@ -62,9 +62,15 @@ def array_records(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def chunks(df: DataFrame, column: str = "value") -> DataFrame:
-    """The elements of JSON array texts, a row each, as texts: a big array is cut once and its elements parsed wherever they lie. (record, position, value)"""
-    return df.select(F.monotonically_increasing_id().alias("record"), F.posexplode(F.variant_get(F.try_parse_json(column), "$", "array<variant>")).alias("position", "v")).select("record", "position", F.to_json("v").alias("value"))
+def chunks(df: DataFrame, column: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+    """The elements of JSON array texts, a row each, as texts: a big array is cut once and its elements parsed wherever they lie. (record, *keep, position, value)
+
+    keep: columns of df beside each element; don't join them back instead, as Spark takes these rows for hundreds of times smaller than they are and would broadcast them.
+    """
+    if clash := {"record", "position", "value"} & set(keep):
+        raise ValueError(f"keep has names of the result: {sorted(clash)}")
+    elements = F.variant_get(F.try_parse_json(column), "$", "array<variant>")
+    return df.select(F.monotonically_increasing_id().alias("record"), *keep, F.posexplode(elements).alias("position", "__v")).select("record", *keep, "position", F.to_json("__v").alias("value"))
 
 
 def flat_records(df: DataFrame, schema: T.StructType, column: str = "value") -> DataFrame:

@@ -2,7 +2,11 @@
 
 from collections import Counter
 
-from lodestrata.plans import catalog
+import duckdb
+import pytest
+
+from lodestrata.plans import catalog, catalog_more  # noqa: F401 - registers its queries in catalog
+from lodestrata.sources.json_records import chunks
 
 SF = "/root/testdata/sf0.01"
 
@@ -22,3 +26,24 @@ def test_hash_index_cross_indexes_every_customer(spark):
     nations = {r.c_nationkey for r in customers if r.c_mktsegment == "MACHINERY"}
     want = {r.c_custkey for r in customers if r.c_custkey in urgent and r.c_nationkey in nations}
     assert any(k % 5 for k in want) and got == want
+
+
+def test_json_array_chunks_keeps_its_keys_without_a_join(spark, tmp_path):
+    """Keys come along with the elements: a join back was broadcast at any size, mixed customers that share an order key, and lost null keys."""
+    rows = [(3, 1), (2, 1), (2, 2), (None, 2), (10, 2), (7, None), (None, 4), (5, 2), (5, 2)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    want = [tuple(r) for r in c.sql(catalog.SQL["json_array_chunks"]).fetchall()]
+    got = catalog.QUERIES["json_array_chunks"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr) and len(want) == len(rows)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_chunks_keep_columns(spark):
+    df = spark.createDataFrame([("a", 1, '[1, "x", null]'), ("b", 2, "[]"), ("c", None, "[[3]]")], "k string, v int, value string")
+    got = chunks(df, keep=["k", "v"])
+    assert got.columns == ["record", "k", "v", "position", "value"]
+    assert sorted((r.k, r.v, r.position, r.value) for r in got.collect()) == [("a", 1, 0, "1"), ("a", 1, 1, '"x"'), ("a", 1, 2, "null"), ("c", None, 0, "[3]")]
+    with pytest.raises(ValueError, match="value"):
+        chunks(df, keep=["value"])
