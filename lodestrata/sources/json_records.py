@@ -65,11 +65,14 @@ def array_records(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 def chunks(df: DataFrame, column: str = "value", keep: Sequence[str] = ()) -> DataFrame:
     """The elements of JSON array texts, a row each, as texts: a big array is cut once and its elements parsed wherever they lie. (record, *keep, position, value)
 
+    A text that isn't JSON has no elements. One of 20 MB or more that can't be parsed raises, as it may be an array beyond a variant's 128 MiB or hold a string of over 20 million characters.
     keep: columns of df beside each element; don't join them back instead, as Spark takes these rows for hundreds of times smaller than they are and would broadcast them.
     """
     if clash := {"record", "position", "value"} & set(keep):
         raise ValueError(f"keep has names of the result: {sorted(clash)}")
-    elements = F.variant_get(F.try_parse_json(column), "$", "array<variant>")
+    size = F.octet_length(column)
+    too_big = F.raise_error(F.concat(F.lit("can't be cut into elements: a text of "), size.cast("string"), F.lit(" bytes that isn't JSON or is too large for a variant")))
+    elements = F.variant_get(F.coalesce(F.try_parse_json(column), F.when(size >= 20_000_000, too_big)), "$", "array<variant>")
     return df.select(F.monotonically_increasing_id().alias("record"), *keep, F.posexplode(elements).alias("position", "__v")).select("record", *keep, "position", F.to_json("__v").alias("value"))
 
 

@@ -47,3 +47,10 @@ def test_chunks_keep_columns(spark):
     assert sorted((r.k, r.v, r.position, r.value) for r in got.collect()) == [("a", 1, 0, "1"), ("a", 1, 1, '"x"'), ("a", 1, 2, "null"), ("c", None, 0, "[3]")]
     with pytest.raises(ValueError, match="value"):
         chunks(df, keep=["value"])
+
+
+def test_chunks_lose_no_large_array_in_silence(spark):
+    texts = spark.range(1).selectExpr("""concat('[1, "', repeat('a', 20000100), '"]') AS value""", """concat('["', array_join(array_repeat(repeat('a', 100000), 250), '","'), '"]') AS longer""")
+    assert chunks(texts, "longer").selectExpr("count(value)", "sum(length(value))").first()[:] == (250, 250 * 100002)
+    with pytest.raises(Exception, match="a text of 20000107 bytes"):
+        chunks(texts).count()
